@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import shards, url_trust
+from docloom.llm import shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
+def op1_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    records = warc.archive_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolved(records)
+
+
+#: Base32 of the SHA-1 of ``html``: its 160 bits in groups of five, each a letter.
+BASE32_SHA1 = """array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+  + 16 * substr(bits, i + 1, 1)::INT + 8 * substr(bits, i + 2, 1)::INT + 4 * substr(bits, i + 3, 1)::INT + 2 * substr(bits, i + 4, 1)::INT + substr(bits, i + 5, 1)::INT, 1)), '')"""
+OP1_SQL = f"""
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages),
+named AS (SELECT page_id, payload_bytes, {BASE32_SHA1} AS payload_digest FROM hashed),
+led AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS leader FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
+FROM led
+"""
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -24,8 +43,11 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_legacy_archive": op1_legacy_archive,
     "op6_link_trust": op6_link_trust,
     "op10_external_shuffle": op10_external_shuffle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_legacy_archive": OP1_SQL,
+}
