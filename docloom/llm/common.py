@@ -19,6 +19,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Arrow operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,12 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docloom/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and no stage runs twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, *, drop: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and no stage runs twice.
+
+    ``drop`` is an earlier staged table that nothing needs any more; its files go.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    for old in {f.rpartition("/")[0] for f in drop.inputFiles()} if drop is not None else ():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import shards, url_trust, warc
+from docloom.llm import katz, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
@@ -28,6 +28,15 @@ FROM led
 """
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = katz.fit(docs.where(~katz.held_out()))
+    return katz.score(docs, model).select(
+        "doc_id", katz.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -43,6 +52,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
     "op6_link_trust": op6_link_trust,
     "op10_external_shuffle": op10_external_shuffle,
