@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import katz, shards, url_trust, warc
+from docloom.llm import jaccard, katz, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
@@ -37,6 +37,11 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.join_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,6 +59,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
+    "op5_jaccard_rtree": op5_jaccard_rtree,
     "op6_link_trust": op6_link_trust,
     "op10_external_shuffle": op10_external_shuffle,
 }
