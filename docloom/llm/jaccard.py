@@ -42,7 +42,7 @@ FREQUENT_IN = 200
 MOST_FREQUENT = 1 << 18
 TILE_DOCS = 256
 TILE_SHINGLES = 1 << 21
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 #: Links: 100 * overlap >= PERCENT * size of the union.
 PERCENT = 75
 

@@ -38,7 +38,7 @@ from docloom.llm.words import U64, Words, bucket_of, dealt, mixed, pack, runs, t
 WORD = 7
 END, BEGIN = U64(1), U64(0)
 FREQUENT = 1 << 16
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_000_000
 #: Counts up to this one are discounted.
 K = 5
 BLOBS = "kind int, bucket int, key binary, len binary, other binary, num binary, doc binary"
@@ -291,7 +291,7 @@ def _only(names: list[str], kinds: list[pa.DataType], keep: Callable[[dict], lis
     return pick
 
 
-def fit(texts: DataFrame, bucket_bytes: int = 32 << 20) -> Model:
+def fit(texts: DataFrame, bucket_bytes: int = 12 << 20) -> Model:
     """A model of the column ``text``; its tables are written to the shared folder."""
     texts = texts.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length(text_or_empty()) + 1), F.lit(0))).first()[0]
