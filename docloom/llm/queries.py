@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard, katz, shards, url_trust, warc
+from docloom.llm import jaccard, katz, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
@@ -37,6 +37,13 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.joined(F.col("spans"), secrets.KINDS[:3])
+    return spans.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op5_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.join_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,6 +66,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
+    "op3_randomness_battery": op3_randomness_battery,
     "op5_jaccard_rtree": op5_jaccard_rtree,
     "op6_link_trust": op6_link_trust,
     "op10_external_shuffle": op10_external_shuffle,
