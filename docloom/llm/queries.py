@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard, katz, secrets, shards, url_trust, warc
+from docloom.llm import forest, jaccard, katz, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
@@ -44,6 +44,11 @@ def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.join_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
     "op3_randomness_battery": op3_randomness_battery,
+    "op4_prefix_forest": op4_prefix_forest,
     "op5_jaccard_rtree": op5_jaccard_rtree,
     "op6_link_trust": op6_link_trust,
     "op10_external_shuffle": op10_external_shuffle,
