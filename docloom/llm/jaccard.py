@@ -13,7 +13,8 @@ similar share a shingle among the first quarter in any fixed order, here
 frequent shingles last, then by hash. Each set's tile is that of its most
 frequent such shingle, cut into tiles of bounded size, and the tiles to walk
 together are those that share any such shingle. Equal sets are one class and
-stand for their copies. A walk emits no more links than join its documents up
+stand for their copies. A walk across two tiles takes the documents that share such a
+shingle with the other tile. A walk emits no more links than join its documents up
 (links within one component follow), so large groups of near copies give rows in
 proportion to their size.
 
@@ -61,6 +62,15 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed_point(p: np.ndarray) -> bytes:
+    return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked_points(column: list[bytes]) -> np.ndarray:
+    narrow = len(b"".join(column)) == len(column) * GROUPS
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS) if narrow else np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.uint32) for x in column]).astype(np.uint32)
+
+
 def linkable(overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * overlap >= PERCENT * (size_a + size_b)
 
@@ -177,7 +187,7 @@ def _describe(frequent: np.ndarray, width: int):
                 [
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()),
-                    pa.array([p.tobytes() for p in points(sets)], pa.binary()),
+                    pa.array([packed_point(p) for p in points(sets)], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
                 names=["rid", "doc_id", "n", "cls", "cls2", "point", "keys"],
@@ -230,7 +240,7 @@ def _allowed(g: dict[str, np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _bounded(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     """Of a walk, the documents that the bound leaves in some pair."""
-    i, j, _ = _allowed(g, np.frombuffer(b"".join(g["point"]), np.uint32).reshape(-1, GROUPS))
+    i, j, _ = _allowed(g, unpacked_points(g["point"]))
     left = np.unique(np.concatenate([i, j]))
     return pa.record_batch([g[c][left] for c in ("ta", "tb", "side", "cls")], names=["ta", "tb", "side", "cls"]) if len(left) else None
 
@@ -315,13 +325,15 @@ def join_documents(docs: DataFrame, width: int = 5) -> DataFrame:
 
     placed = tiles(keys, classes.select("cls", "n", "rid"))
     members = staged(placed.join(classes, "cls").join(sets.select("rid", "point"), "rid").select("cls", "rid", "tile", "n", "point"), "members")
-    met = keys.join(members.select("cls", "tile"), "cls").select("key", "tile").distinct()
+    met = keys.join(members.select("cls", "tile"), "cls")
     several = met.groupBy("key").agg(F.min("tile").alias("lo"), F.max("tile").alias("hi")).where("lo < hi").select("key")
     met = staged(met.join(several, "key"), "met", drop=keys)
-    across = met.join(met.withColumnRenamed("tile", "tb"), "key").where("tile < tb").select(F.col("tile").alias("ta"), "tb").distinct()
-    within = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("tile").alias("ta"), F.col("tile").alias("tb"))
-    sides = across.unionByName(within).select("ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("tile"))
-    walks = sides.join(members.drop("rid"), "tile").select("ta", "tb", (F.col("tile") != F.col("ta")).cast("int").alias("side"), "cls", "n", "point")
+    others = met.select("key", F.col("tile").alias("other")).distinct()
+    ends = (F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    across = met.join(others, "key").where("tile <> other").select(*ends, "cls").distinct()
+    crowded = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tile")
+    within = members.join(crowded, "tile").select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls")
+    walks = across.unionByName(within).join(members.select("cls", "n", "point"), "cls")
     left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "n", "point")), "ta long, tb long, side int, cls long"), "left")
 
     wanted = left.select("cls").distinct().join(members.select("cls", "rid"), "cls")
