@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,28 +115,25 @@ def shares(total: np.ndarray, disc: np.ndarray, lower: np.ndarray) -> tuple[np.n
     return divisor, np.where(bare, 1.0, left) / divisor / (1 - lower)
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with an end after each text, their contexts, and the number of tokens of each text."""
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words with an end after each text, and the number of tokens of each text."""
     words = Words(column)
     counts = words.counts()
     sizes = counts + 1
     ids = np.full(int(sizes.sum()), END)
     row = np.repeat(np.arange(len(sizes)), counts)
     ids[np.arange(len(row)) + row] = words.hash >> U64(8)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = BEGIN
-    return ids, before, sizes
+    return ids, sizes
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+def _chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
     """Tokens of some texts at a time, and the other columns of their rows."""
     held, n, rows = [], 0, []
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            ids, before, sizes = _tokens(part.column(column))
-            held.append((ids, before, sizes))
+            ids, sizes = _tokens(part.column(column))
+            held.append((ids, sizes))
             rows.append(part.drop_columns([batch.schema.names[column]]))
             n += len(ids)
             if n >= CHUNK_TOKENS:
@@ -151,12 +149,20 @@ def _home(key: np.ndarray, other: np.ndarray, salted: np.ndarray, n: int) -> np.
     return bucket_of(mixed(np.where(hot, key ^ mixed(other), key)), n)
 
 
-def _pairs(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and their counts. Pairs are sorted as ranks among the few distinct words."""
-    u, at = np.unique(np.concatenate([key, other]), return_inverse=True)
-    both = (at[: len(key)].astype(U64) << U64(32)) | at[len(key) :].astype(U64)
-    both, counts = tallied(both)
-    return u[both >> U64(32)], u[both & U64(0xFFFFFFFF)], counts
+def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words after BEGIN, sorted, and each token's place among them."""
+    codes, found = pd.factorize(ids)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    return np.append(BEGIN, found[order]), rank[codes]
+
+
+def _before(code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.empty_like(code)
+    out[1:] = code[:-1]
+    out[np.cumsum(sizes) - sizes] = 0
+    return out
 
 
 def _summed_pairs(key: np.ndarray, other: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -192,7 +198,7 @@ def _by_bucket(df: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str
 
 def _word_blobs(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, _, _ in _chunks(batches):
+        for ids, _, _ in _chunks(batches):
             words, counts = tallied(ids)
             for b, at in dealt(bucket_of(mixed(words), n), n):
                 yield _blob(0, b, pack(words[at], WORD), num=pack(counts[at]))
@@ -217,8 +223,10 @@ def _merge_words(table: pa.Table) -> pa.Table:
 
 def _pair_blobs(c: Counts):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, before, _, _ in _chunks(batches):
-            word, context, counts = _pairs(ids, before)
+        for ids, sizes, _ in _chunks(batches):
+            u, code = _coded(ids)
+            both, counts = tallied((code.astype(U64) << U64(32)) | _before(code, sizes).astype(U64))
+            word, context = u[both >> U64(32)], u[both & U64(0xFFFFFFFF)]
             for b, at in dealt(_home(word, context, c.salted, c.buckets), c.buckets):
                 key, length = _grouped(word[at])
                 yield _blob(0, b, key, length, pack(context[at], WORD), pack(counts[at], 5))
@@ -334,9 +342,9 @@ def fit(texts: DataFrame, bucket_bytes: int = 12 << 20) -> Model:
 
 def _bigram_asks(c: Counts):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, before, sizes, rows in _chunks(batches):
-            u, at = np.unique(np.concatenate([before, ids]), return_inverse=True)
-            both = (at[: len(ids)].astype(U64) << U64(32)) | at[len(ids) :].astype(U64)
+        for ids, sizes, rows in _chunks(batches):
+            u, code = _coded(ids)
+            both = (_before(code, sizes).astype(U64) << U64(32)) | code.astype(U64)
             order = np.argsort(both, kind="stable")
             both = both[order]
             row = np.repeat(np.arange(len(sizes)), sizes)[order]
@@ -354,15 +362,11 @@ def _bigram_asks(c: Counts):
     return ask
 
 
-def _sum_blobs(bucket: int, place: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return _blob(0, bucket, key=pack(place), num=score.tobytes())
-
-
 def _answer(c: Counts):
     """Score what the bigrams know; ask the unigrams for the rest."""
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
+        rids, scores, missed, missed_rids = [], [], [], []
         contexts = words = counts = np.zeros(0, U64)
         length = np.zeros(0, np.int64)
         sums = np.zeros((3, 0))
@@ -388,12 +392,18 @@ def _answer(c: Counts):
             seen &= listed & np.repeat(met, own_length)
             score = np.where(np.repeat(met, own_length), np.log10(backoff)[rank] if len(backoff) else 0.0, 0.0)
             score[seen] = seen_score[at[seen]]
-            out.append(_sum_blobs(key[0].as_py(), place, np.bincount(doc, np.repeat(score, times), len(place))))
+            rids.append(place)
+            scores.append(np.bincount(doc, np.repeat(score, times), len(place)))
             missing = np.repeat(~seen, times)
-            word, doc = np.repeat(word, times)[missing], doc[missing]
-            for b, at in dealt(bucket_of(mixed(word), c.buckets), c.buckets):
-                at = at[np.argsort(word[at], kind="stable")]
-                out.append(_blob(1, b, *_grouped(word[at]), num=pack(place), doc=pack(doc[at], 4)))
+            missed.append(np.repeat(word, times)[missing])
+            missed_rids.append(place[doc[missing]])
+        out = [_blob(0, key[0].as_py(), key=pack(_joined(rids)), num=_joined(scores, float).tobytes())]
+        word, rid = _joined(missed), _joined(missed_rids)
+        order = np.argsort(word, kind="stable")
+        word, rid = word[order], rid[order]
+        for b, at in dealt(bucket_of(mixed(word), c.buckets), c.buckets):
+            place, doc = np.unique(rid[at], return_inverse=True)
+            out.append(_blob(1, b, *_grouped(word[at]), num=pack(place), doc=pack(doc, 4)))
         return pa.Table.from_batches(out, _SCHEMA)
 
     return answer
@@ -418,8 +428,8 @@ def _word_asks(c: Counts):
     """Each row's tokens, and the words that aren't frequent by bucket; frequent words are scored on the way."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, sizes, rows in _chunks(batches):
-            u, at = np.unique(ids, return_inverse=True)
+        for ids, sizes, rows in _chunks(batches):
+            u, at = _coded(ids)
             row = np.repeat(np.arange(len(sizes)), sizes)
             place, often = _found(c.frequent, u)
             score = np.where(often, _base(c, c.frequent_counts[place] if len(c.frequent) else np.zeros(len(u))), 0.0)
