@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import forest, jaccard, katz, secrets, shards, url_trust, warc
+from docloom.llm import decontaminate, forest, jaccard, katz, pieces, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, text_or_empty
 
 
@@ -58,6 +58,17 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = pieces.round_trips(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_tokens", pieces.ids_digest().alias("ids_crc32"), "parity", (F.col("decoded") == text_or_empty()).alias("round_trip"))
+
+
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = shards.external_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +86,8 @@ QUERIES = {
     "op4_prefix_forest": op4_prefix_forest,
     "op5_jaccard_rtree": op5_jaccard_rtree,
     "op6_link_trust": op6_link_trust,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_simhash_windows": op8_simhash_windows,
     "op10_external_shuffle": op10_external_shuffle,
 }
 
