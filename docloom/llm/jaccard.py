@@ -312,13 +312,13 @@ def tiles(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return led.join(cut, "leader").select("cls", F.xxhash64("leader", F.pmod(F.xxhash64("cls", F.lit(7)), "cut")).alias("tile"))
 
 
-def join_documents(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (rid, doc_id, n, cls), and of each class the row that stands for its component: ``first`` (no id, doc_id, rid)."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_shingles(docs.select("text"), width)
     sets = staged(rows.mapInArrow(_describe(frequent, width), SETS), "sets")
     full = sets.where("n > 0")
-    classes = full.groupBy("cls").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.first("n").alias("n")).withColumn("rid", F.col("first.rid"))
     keyed = full.select(F.explode("keys").alias("key"), "cls")
     shared = staged(keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("key", "df"), "shared")
     keys = staged(keyed.join(shared, "key").distinct(), "keys", drop=shared)
@@ -343,11 +343,23 @@ def join_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     links = staged(_sorted_walks(walks).mapInArrow(_by_walk(_verified, ("ta", "tb", "side", "cls", "n", "shingles")), "a long, b long"), "links")
 
     roots = components(links).withColumnRenamed("node", "cls")
-    rooted = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = rooted.join(least, "root").select("cls", "component_id")
+    rooted = classes.select("cls", "first").join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return sets, staged(rooted.select("cls", "root").join(least, "root").select("cls", "first"), "components")
+
+
+def join_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
+    sets, component = _joined(docs, width)
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return sets.where("n > 0").join(component, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")).unionByName(empty)
+
+
+def first_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those that links connect to a row of a smaller doc_id (null ids last, then the first row)."""
+    sets, component = _joined(docs, width)
+    stay = sets.where("n = 0").select("rid").unionByName(component.select(F.col("first.rid").alias("rid"))).distinct()
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stay.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").select(*docs.columns)
 
 
 def _sorted_walks(walks: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, forest, jaccard, katz, pieces, secrets, shards, url_trust, warc
-from docloom.llm.common import prepare, read_table, text_or_empty
+from docloom.llm import decontaminate, forest, jaccard, katz, pieces, quality, secrets, shards, url_trust, warc
+from docloom.llm.common import prepare, read_table, staged, text_or_empty
 
 
 def op1_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = staged(quality.with_statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "statistics")
+    labels = read_table(spark, sf_dir, "labels").where(quality.learnable()).select("doc_id", F.col("quality").alias("label"))
+    return quality.scored(found, quality.fit(found, labels)).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = shards.external_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -88,6 +95,7 @@ QUERIES = {
     "op6_link_trust": op6_link_trust,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash_windows": op8_simhash_windows,
+    "op9_rule_ensemble": op9_rule_ensemble,
     "op10_external_shuffle": op10_external_shuffle,
 }
 
