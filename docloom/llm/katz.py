@@ -340,6 +340,11 @@ def fit(texts: DataFrame, bucket_bytes: int = 12 << 20) -> Model:
     return Model(c, unigrams, bigrams)
 
 
+def _home_of(rid: np.ndarray, n: int) -> np.ndarray:
+    """The bucket in which a row's sums meet; rows that stand together stay together."""
+    return bucket_of(mixed(rid.astype(U64) >> U64(9)), n)
+
+
 def _bigram_asks(c: Counts):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, rows in _chunks(batches):
@@ -397,7 +402,8 @@ def _answer(c: Counts):
             missing = np.repeat(~seen, times)
             missed.append(np.repeat(word, times)[missing])
             missed_rids.append(place[doc[missing]])
-        out = [_blob(0, key[0].as_py(), key=pack(_joined(rids)), num=_joined(scores, float).tobytes())]
+        rid, score = _joined(rids), _joined(scores, float)
+        out = [_blob(0, b, key=pack(rid[at]), num=score[at].tobytes()) for b, at in dealt(_home_of(rid, c.buckets), c.buckets)]
         word, rid = _joined(missed), _joined(missed_rids)
         order = np.argsort(word, kind="stable")
         word, rid = word[order], rid[order]
@@ -437,7 +443,8 @@ def _word_asks(c: Counts):
             own["rid"], own["tokens"] = rows["rid"].to_numpy(), sizes
             own["known"] = np.bincount(row, often[at], len(sizes))
             own["base"] = np.bincount(row, score[at], len(sizes))
-            yield _blob(2, int(mixed(own["rid"][:1].astype(U64))[0] % U64(c.buckets)), doc=own.tobytes())
+            for b, some in dealt(_home_of(own["rid"], c.buckets), c.buckets):
+                yield _blob(2, b, doc=own[some].tobytes())
             rest = np.flatnonzero(~often[at])
             rest = rest[np.argsort(at[rest], kind="stable")]
             word, row = ids[rest], row[rest]
@@ -447,43 +454,58 @@ def _word_asks(c: Counts):
     return ask
 
 
-SUMS = "rid long, n_tokens long, n_known long, base_score double, score double"
-
-
 def _unigram_answer(c: Counts):
+    """Score what was asked of the unigrams, by the rows' buckets: kind 1 for the model, kind 3 for the base."""
+
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         words, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         for k, m in _columns(known, "key", "num"):
             words, counts = unpack(k, WORD), unpack(m).astype(np.int64)
-        rids, sums = [], []
-
-        def add(rid: np.ndarray, **columns: np.ndarray) -> None:
-            rids.append(rid.astype(np.int64))
-            sums.append(np.stack([columns[n] if n in columns else np.zeros(len(rid)) for n in ("tokens", "known", "base", "score")]))
-
+        out = []
+        by_kind: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {1: [], 3: []}
         for kind, k, n, m, d in _columns(asked, "kind", "key", "len", "num", "doc"):
-            if kind == 0:
-                add(unpack(k), score=np.frombuffer(m))
-            elif kind == 2:
-                own = np.frombuffer(d, _ROW)
-                add(own["rid"], tokens=own["tokens"], known=own["known"], base=own["base"])
-            else:
-                rid, doc = unpack(m), unpack(d, 4).astype(np.int64)
-                at, there = _found(words, unpack(k, WORD))
-                count = np.where(there, counts[at] if len(counts) else 0, 0)
-                many = unpack(n, 5).astype(np.int64)
-                if kind == 1:
-                    add(rid, score=np.bincount(doc, np.repeat(np.log10(c.unigram(count)), many), len(rid)))
-                else:
-                    add(rid, known=np.bincount(doc, np.repeat(there, many), len(rid)), base=np.bincount(doc, np.repeat(_base(c, count), many), len(rid)))
-        rid, at = np.unique(np.concatenate(rids), return_inverse=True) if rids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        every = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0))
-        tokens, known_, base, score = (np.bincount(at, x, len(rid)) for x in every)
-        return pa.table([rid, np.rint(tokens).astype(np.int64), np.rint(known_).astype(np.int64), base, score], names=["rid", "n_tokens", "n_known", "base_score", "score"])
+            if kind == 2:
+                out.append(_blob(2, key[0].as_py(), doc=d))
+                continue
+            rid, doc = unpack(m), unpack(d, 4).astype(np.int64)
+            at, there = _found(words, unpack(k, WORD))
+            count = np.where(there, counts[at] if len(counts) else 0, 0)
+            many = unpack(n, 5).astype(np.int64)
+            value = np.log10(c.unigram(count)) if kind == 1 else _base(c, count)
+            sums, hits = (np.bincount(doc, np.repeat(x, many), len(rid)) for x in (value, there))
+            by_kind[kind].append((rid, sums, np.rint(hits).astype(np.int64)))
+        for kind, parts in by_kind.items():
+            if parts:
+                rid, sums, hits = (np.concatenate(x) for x in zip(*parts, strict=True))
+                out += [_blob(kind, b, key=pack(rid[at]), num=sums[at].tobytes(), len_=pack(hits[at], 5)) for b, at in dealt(_home_of(rid, c.buckets), c.buckets)]
+        return pa.Table.from_batches(out, _SCHEMA)
 
     return answer
 
 
+SUMS = "rid long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """The sums of each row from all the buckets that saw its tokens."""
+    rids, parts = [], []
+    for kind, k, n, m, d in _columns(table, "kind", "key", "len", "num", "doc"):
+        own = np.frombuffer(d, _ROW)
+        rid = own["rid"].astype(U64) if kind == 2 else unpack(k)
+        sums = np.zeros((4, len(rid)))
+        if kind == 2:
+            sums[:3] = own["tokens"], own["known"], own["base"]
+        elif kind == 3:
+            sums[1:3] = unpack(n, 5), np.frombuffer(m)
+        else:
+            sums[3] = np.frombuffer(m)
+        rids.append(rid)
+        parts.append(sums)
+    rid, at = np.unique(np.concatenate(rids), return_inverse=True)
+    tokens, known, base, total = (np.bincount(at, x, len(rid)) for x in np.concatenate(parts, axis=1))
+    return pa.table([rid.astype(np.int64), np.rint(tokens).astype(np.int64), np.rint(known).astype(np.int64), base, total], names=["rid", "n_tokens", "n_known", "base_score", "score"])
+
+
 def score(docs: DataFrame, model: Model, slices: int = 2) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of each row of a stored table.
 
@@ -498,8 +520,9 @@ def score(docs: DataFrame, model: Model, slices: int = 2) -> DataFrame:
         answers = staged(asks.groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(_answer(c), BLOBS), f"answers{k}")
         parts = answers if parts is None else parts.unionByName(answers)
     asks = rows.select("text", "rid").mapInArrow(_word_asks(c), BLOBS)
-    words = parts.unionByName(asks).groupBy("bucket").cogroup(model.unigrams.select("bucket", "key", "num").groupBy("bucket")).applyInArrow(_unigram_answer(c), SUMS)
-    summed = words.groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
+    asked = parts.where("kind = 1").unionByName(asks)
+    words = asked.groupBy("bucket").cogroup(model.unigrams.select("bucket", "key", "num").groupBy("bucket")).applyInArrow(_unigram_answer(c), BLOBS)
+    summed = parts.where("kind = 0").unionByName(words).groupBy("bucket").applyInArrow(_sums, SUMS)
     return rows.select("doc_id", "rid").join(summed, "rid").drop("rid")
 
 
