@@ -1,7 +1,7 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document's set is its distinct word shingles. Shingles are hashed into groups
-and a set's counts per group are its point; two sets share at most the sum of
+(more for longer sets) and a set's counts per group are its point; two sets share at most the sum of
 the smaller coordinates of their points, and an R-tree node, which keeps the
 largest coordinates below it, bounds all of its points so. Trees of two tiles of
 documents are walked together, and what the bound leaves is verified on the
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import staged, text_or_empty
 from docloom.llm.words import U64, Words, bucket_of, dealt, mixed, pack, runs, shingle_hashes, tallied, unpack
 
-GROUPS = 256
+#: Groups of short sets, and of the longest.
+GROUPS, MOST_GROUPS = 256, 1 << 20
 FANOUT = 8
 #: A shingle in so many documents is put last in the order; of these, the most frequent ``MOST_FREQUENT`` are.
 FREQUENT_IN = 200
@@ -55,20 +56,29 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_hashes(words.hash[a:b], width))
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), GROUPS), np.uint32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return out
+def groups_of(n: int) -> int:
+    """The number of groups for a set of n shingles: a power of four times ``GROUPS``, two shingles a group at most."""
+    groups = GROUPS
+    while n > 2 * groups and groups < MOST_GROUPS:
+        groups *= 4
+    return groups
+
+
+def point(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s & U64(groups_of(len(s)) - 1)).astype(np.int64), minlength=groups_of(len(s)))
 
 
 def packed_point(p: np.ndarray) -> bytes:
     return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
 
 
-def unpacked_points(column: list[bytes]) -> np.ndarray:
-    narrow = len(b"".join(column)) == len(column) * GROUPS
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS) if narrow else np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.uint32) for x in column]).astype(np.uint32)
+def unpacked_point(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint32)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(axis=0)
 
 
 def linkable(overlap: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -102,7 +112,8 @@ def tree_join(points_a: np.ndarray, sizes_a: np.ndarray, points_b: np.ndarray, s
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
     for level in range(height, -1, -1):
         (top_a, least_a), (top_b, least_b) = a.levels[level], b.levels[level]
-        bound = np.concatenate([np.minimum(top_a[i[k : k + 8192]], top_b[j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)] or [np.zeros(0, np.int64)])
+        step = max(64, (1 << 22) // top_a.shape[1])
+        bound = np.concatenate([np.minimum(top_a[i[k : k + step]], top_b[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)] or [np.zeros(0, np.int64)])
         keep = linkable(bound, least_a[i], least_b[j])
         i, j, bound = i[keep], j[keep], bound[keep]
         if level:
@@ -187,7 +198,7 @@ def _describe(frequent: np.ndarray, width: int):
                 [
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()),
-                    pa.array([packed_point(p) for p in points(sets)], pa.binary()),
+                    pa.array([packed_point(point(x)) for x in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
                 names=["rid", "doc_id", "n", "cls", "cls2", "point", "keys"],
@@ -230,17 +241,25 @@ def _sides(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
 
 
-def _allowed(g: dict[str, np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _allowed(g: dict[str, np.ndarray], points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a walk that the bound leaves. Sets that may be similar have equal numbers of groups or neighbouring ones."""
     a, b = _sides(g)
-    i, j, bound = tree_join(p[a], g["n"][a], p[b], g["n"][b])
-    i, j = a[i], b[j]
-    keep = (i < j) if len(a) == len(g["ta"]) else np.ones(len(i), bool)
+    groups = np.array([len(p) for p in points])
+    found = [(a[:0], b[:0], a[:0])]
+    for own in np.unique(groups[a]).tolist():
+        for other in (own // 4, own, own * 4):
+            x, y, least = a[groups[a] == own], b[groups[b] == other], min(own, other)
+            if len(x) and len(y):
+                i, j, bound = tree_join(np.stack([folded(points[k], least) for k in x]), g["n"][x], np.stack([folded(points[k], least) for k in y]), g["n"][y])
+                found.append((x[i], y[j], bound))
+    i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = (i < j) if g["ta"][0] == g["tb"][0] else np.ones(len(i), bool)
     return i[keep], j[keep], bound[keep]
 
 
 def _bounded(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     """Of a walk, the documents that the bound leaves in some pair."""
-    i, j, _ = _allowed(g, unpacked_points(g["point"]))
+    i, j, _ = _allowed(g, [unpacked_point(p, n) for p, n in zip(g["point"], g["n"].tolist(), strict=True)])
     left = np.unique(np.concatenate([i, j]))
     return pa.record_batch([g[c][left] for c in ("ta", "tb", "side", "cls")], names=["ta", "tb", "side", "cls"]) if len(left) else None
 
@@ -248,7 +267,7 @@ def _bounded(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
 def _verified(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     """Links of a walk that join its documents up: a pair is verified unless found links connect it already."""
     sets = [np.frombuffer(s, "<u8") for s in g["shingles"]]
-    i, j, bound = _allowed(g, points(sets))
+    i, j, bound = _allowed(g, [point(x) for x in sets])
     order = np.argsort(-bound / (g["n"][i] + g["n"][j]), kind="stable")
     root = list(range(len(sets)))
 
