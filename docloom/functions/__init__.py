@@ -1 +1 @@
-"""Functions of docloom."""
+"""Column functions: all built-in expressions, none a UDF."""

@@ -1 +1 @@
-"""Operators of docloom."""
+"""Operators over files, pages, blocks and the catalog; DataFrames in, DataFrames out."""

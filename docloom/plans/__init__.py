@@ -1 +1 @@
-"""Plans of docloom."""
+"""Plans: whole jobs that put sources, operators and sinks together."""

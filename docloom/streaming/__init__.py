@@ -1 +1 @@
-"""Streaming of docloom."""
+"""Streaming: files that land in a folder are ingested as they come."""
