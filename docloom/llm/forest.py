@@ -13,7 +13,9 @@ are added up over all blocks before a query's prefix length is chosen. Equal
 vectors are one point of the index with their smallest ids, more than which no
 query can return, so copies neither fill a block nor use up the hits.
 
-``reach`` is the number of hits to ascend to, as a share of the points. On
+``reach`` is the number of hits to ascend to, as a share of the points; so many
+that ``k`` others must be among them are needed anyway (the query's own point is
+met in every tree). On
 vectors whose neighbours are hardly nearer than the rest a high recall needs
 most points as candidates; on clustered ones a small share will do.
 
@@ -135,7 +137,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, trees: int = 32
 
     hits = asked.groupBy(*place).cogroup(points.groupBy(*place)).applyInArrow(_hits(trees, seed), HITS).groupBy("query_id", "level").agg(F.sum("hits").alias("hits"))
     down = Window.partitionBy("query_id").orderBy(F.desc("level"))
-    enough = queries.join(index.groupBy("length").agg((F.count(F.lit(1)) * reach).alias("enough")), "length").select("query_id", "enough")
+    enough = queries.join(index.groupBy("length").agg(F.greatest(F.count(F.lit(1)) * reach + trees, F.lit(k * trees + 1.0)).alias("enough")), "length").select("query_id", "enough")
     reached = hits.withColumn("all", F.sum("hits").over(down)).join(enough, "query_id").where(F.col("all") >= F.col("enough"))
     level = reached.groupBy("query_id").agg(F.max("level").alias("level"))
     levelled = asked.join(level, "query_id", "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("long"))

@@ -301,18 +301,23 @@ def _sets_of(width: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): connected components of (a, b), by hooking each node to its smallest neighbour and contracting.
+    """(node, root): connected components of (a, b).
 
-    The rounds end when no link is left between different nodes; each contracts
-    every node that has a smaller neighbour, and is checkpointed.
+    Each round hooks every node to its smallest neighbour, follows the hooks to
+    their ends by doubling, and contracts, which leaves at most half the nodes
+    that had links; what a round makes is checkpointed.
     """
     links = links.where("a <> b").select("a", "b").checkpoint()
     roots = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("up")).where("up < at")
-        upper = up.select(F.col("at").alias("up"), F.col("up").alias("upper"))
-        up = up.join(upper, "up", "left").select("at", F.coalesce("upper", "up").alias("up")).checkpoint()
+        up = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("up")).where("up < at").checkpoint()
+        while True:
+            upper = up.select(F.col("at").alias("up"), F.col("up").alias("upper"))
+            followed = up.join(upper, "up", "left").select("at", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")).checkpoint()
+            up = followed.select("at", "up")
+            if followed.where("moved").isEmpty():
+                break
         moved = _renamed(_renamed(links, up, "a"), up, "b").where("a <> b")
         links = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
         roots = _renamed(roots, up, "root").checkpoint()
