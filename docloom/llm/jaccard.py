@@ -9,12 +9,13 @@ sets themselves.
 
 One tree over all points cannot prune (boxes of unrelated points in so many
 dimensions cover everything), so points are first dealt to tiles: sets that are
-similar share a shingle among the first quarter in any fixed order, here
-frequent shingles last, then by hash. Each set's tile is that of its most
+similar share a shingle, or with ``SHARED`` - 1 more at least ``SHARED`` of them,
+among the first quarter in any fixed order, here frequent shingles last, then by
+hash. Each set's tile is that of its most
 frequent such shingle, cut into tiles of bounded size, and the tiles to walk
 together are those that share any such shingle. Equal sets are one class and
-stand for their copies. A walk across two tiles takes the documents that share such a
-shingle with the other tile. A walk emits no more links than join its documents up
+stand for their copies. A walk takes the documents that share so many shingles with the
+other tile's documents of fitting sizes. A walk emits no more links than join its documents up
 (links within one component follow), so large groups of near copies give rows in
 proportion to their size.
 
@@ -42,6 +43,8 @@ FANOUT = 8
 #: A shingle in so many documents is put last in the order; of these, the most frequent ``MOST_FREQUENT`` are.
 FREQUENT_IN = 200
 MOST_FREQUENT = 1 << 18
+#: Similar sets have so many shingles in common (fewer, if 0.75 of a set is less) among the first quarter and ``SHARED`` more.
+SHARED = 3
 TILE_DOCS = 256
 TILE_SHINGLES = 1 << 21
 CHUNK_SHINGLES = 1_000_000
@@ -193,7 +196,7 @@ def _describe(frequent: np.ndarray, width: int):
                 if len(frequent):
                     last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~last], s[last]])
-                keys.append(s[: len(s) - -(-PERCENT * len(s) // 100) + 1].astype(np.int64))
+                keys.append(s[: len(s) - -(-PERCENT * len(s) // 100) + SHARED].astype(np.int64))
             yield pa.record_batch(
                 [
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -349,15 +352,14 @@ def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     placed = tiles(keys, classes.select("cls", "n", "rid"))
     members = staged(placed.join(classes, "cls").join(sets.select("rid", "point"), "rid").select("cls", "rid", "tile", "n", "point"), "members")
-    met = keys.join(members.select("cls", "tile"), "cls")
-    several = met.groupBy("key").agg(F.min("tile").alias("lo"), F.max("tile").alias("hi")).where("lo < hi").select("key")
-    met = staged(met.join(several, "key"), "met", drop=keys)
-    others = met.select("key", F.col("tile").alias("other")).distinct()
+    met = staged(keys.join(members.select("cls", "tile", "n"), "cls").select("key", "cls", "tile", "n"), "met", drop=keys)
+    others = met.groupBy("key", F.col("tile").alias("other")).agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (F.col("least") * 100 <= F.col("n") * 100 * 100 / PERCENT) & (F.col("most") * 100 >= F.col("n") * PERCENT)
+    pairs = met.join(others, "key").where(fits & ((F.col("tile") != F.col("other")) | (F.col("docs") > 1)))
     ends = (F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    across = met.join(others, "key").where("tile <> other").select(*ends, "cls").distinct()
-    crowded = members.groupBy("tile").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tile")
-    within = members.join(crowded, "tile").select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls")
-    walks = across.unionByName(within).join(members.select("cls", "n", "point"), "cls")
+    counted = pairs.groupBy(*ends, "cls").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
+    taking_part = counted.where(F.col("keys") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("ta", "tb", "side", "cls")
+    walks = taking_part.join(members.select("cls", "n", "point"), "cls")
     left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "n", "point")), "ta long, tb long, side int, cls long"), "left")
 
     wanted = left.select("cls").distinct().join(members.select("cls", "rid"), "cls")
