@@ -378,9 +378,13 @@ def _answer(c: Counts):
         for k, n, o, m, s in _columns(known, "key", "len", "other", "num", "sums"):
             contexts, length, words, counts = unpack(k, WORD), unpack(n, 5).astype(np.int64), unpack(o, WORD), unpack(m, 5).astype(np.int64)
             sums = np.frombuffer(s).reshape(3, -1).copy()
-        if len(c.salted) and len(contexts):
-            at = np.minimum(np.searchsorted(c.salted, contexts), len(c.salted) - 1)
-            hot = c.salted[at] == contexts
+        if len(c.salted):  # hot contexts are known in every bucket, with or without a follower there
+            extra = np.setdiff1d(c.salted, contexts)
+            order = np.argsort(np.concatenate([contexts, extra]), kind="stable")
+            contexts = np.concatenate([contexts, extra])[order]
+            length = np.concatenate([length, np.zeros(len(extra), np.int64)])[order]
+            sums = np.concatenate([sums, np.zeros((3, len(extra)))], axis=1)[:, order]
+            at, hot = _found(c.salted, contexts)
             sums[:, hot] = c.salted_sums[:, at[hot]]
         divisor, backoff = shares(*sums)
         vocabulary = np.unique(words)
