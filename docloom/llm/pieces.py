@@ -2,11 +2,9 @@
 
 The model's protobuf is parsed here, and its normaliser, metaspace marker,
 scores (unigram models) or merges in order of scores (BPE models), and byte
-fallback are rebuilt as a ``tokenizers.Tokenizer``. If no piece runs from a word
-over into a marker, texts split before markers encode part by part, so a task
-encodes each distinct part once, in multithreaded batches, and verifies it
-against the sentencepiece library; where the two differ (``parity`` false) the
-latter's ids hold.
+fallback are rebuilt as a ``tokenizers.Tokenizer``. It encodes in multithreaded
+batches, and every text is verified against the sentencepiece library; where the
+two differ (``parity`` false) the latter's ids hold.
 
 Defined results: null and empty texts have no ids, and no ids decode to an empty
 text; repeated rows are encoded each; a null list of ids decodes to null; other
@@ -16,8 +14,8 @@ columns pass through.
 from __future__ import annotations
 
 import os
-import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,12 +31,12 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: A model is sent with each task; larger files are refused.
 MOST_MODEL_BYTES = 64 << 20
 THREADS = 2
-#: Distinct parts that a task keeps encoded.
-KEPT_PARTS = 200_000
 MARK = "▁"
 #: Piece types and model types of the SentencePiece protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Fixed value: what an unknown piece decodes to.
+UNKNOWN_SURFACE = " \u2047 ".encode()
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -80,11 +78,6 @@ class Pieces:
     dummy_prefix: bool = True
     squeeze_spaces: bool = True
 
-    @property
-    def splits(self) -> bool:
-        """Whether no piece runs from a word over into a marker."""
-        return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.pieces)
-
 
 def parse_model(data: bytes) -> Pieces:
     found = Pieces([])
@@ -108,8 +101,8 @@ def parse_model(data: bytes) -> Pieces:
 
 
 def build(model: Pieces):
-    """(tokenizer of normalised parts, normaliser or None) for a parsed model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    """(tokenizer of normalised texts, normaliser or None) for a parsed model."""
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
@@ -119,13 +112,10 @@ def build(model: Pieces):
         usable = {p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
         merges = [(-score, vocab[p], k, (p[:k], p[k:])) for p, score, kind in model.pieces if p in usable for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
         core = models.BPE(vocab, [m[-1] for m in sorted(merges)], unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
-    tokenizer = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze_spaces:
         steps += [normalizers.Strip(True, True), normalizers.Replace(Regex(" {2,}"), " ")]
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
-    return tokenizer, normalizers.Sequence(steps) if steps else None
+    return Tokenizer(core), normalizers.Sequence(steps) if steps else None
 
 
 class Codec:
@@ -139,8 +129,14 @@ class Codec:
         self.model = parse_model(data)
         self.tokenizer, self.normalizer = build(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.kept: dict[str, tuple[bytes, bool]] = {}
-        self.part = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.model.splits and self.model.dummy_prefix else None
+        self.spelled = [self._spelled(piece, kind) for piece, _, kind in self.model.pieces]
+
+    @staticmethod
+    def _spelled(piece: str, kind: int) -> bytes:
+        """What a piece stands for in a decoded text."""
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind == CONTROL else UNKNOWN_SURFACE if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def normalised(self, text: str) -> str:
         """The text as pieces spell it."""
@@ -150,34 +146,17 @@ class Codec:
             return ""
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def _parts(self, text: str) -> list[str]:
-        if not self.part:
-            return [text] if text else []
-        return self.part.findall(text)
-
-    def _learn(self, parts: list[str], texts: dict[str, str]) -> None:
-        mine = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        theirs = self.other.encode([texts[p] for p in parts], num_threads=THREADS)
-        for p, a, b in zip(parts, mine, theirs, strict=True):
-            self.kept[p] = (np.array(b, "<i4").tobytes(), a == b)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bool]]:
-        """The ids of each text as bytes of int32, and whether both libraries agree."""
-        split = [self._parts(self.normalised(t or "")) for t in texts]
-        if len(self.kept) > KEPT_PARTS:
-            self.kept.clear()
-        new = list({p for parts in split for p in parts if p not in self.kept})
-        if self.part:
-            plain = {p: p[1:].replace(MARK, " ") for p in new}
-        else:
-            plain = {parts[0]: t for parts, t in zip(split, texts, strict=True) if parts}
-        self._learn(new, plain)
-        for parts in split:
-            found = [self.kept[p] for p in parts]
-            yield b"".join([x for x, _ in found]), all(y for _, y in found)
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bool]]:
+        """The ids of each text as bytes of int32, and whether both libraries agree; if not, the ids are sentencepiece's."""
+        mine = self.tokenizer.encode_batch_fast([self.normalised(t or "") for t in texts], add_special_tokens=False)
+        theirs = self.other.encode([t or "" for t in texts], num_threads=THREADS)
+        for a, b in zip(mine, theirs, strict=True):
+            yield array("i", b).tobytes(), a.ids == b
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """Pieces put together: markers as blanks, byte pieces as bytes, the blank that encoding put first taken off."""
+        texts = [b"".join(map(self.spelled.__getitem__, x)).decode(errors="replace") for x in ids]
+        return [t.removeprefix(" ") for t in texts] if self.model.dummy_prefix else texts
 
 
 @lru_cache(maxsize=2)
