@@ -8,18 +8,26 @@ TYPES = ("abstract", "publication")
 INGESTED, FAILED = "ingested", "processing_failed"
 STATUSES = (INGESTED, FAILED)
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema of plain columns; it needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
 #: One row per distinct content. ``hash`` is unique; ``metadata`` is a JSON object as text.
-CATALOG = T.StructType.fromDDL(
+CATALOG = _schema(
     "id string, original_filename string, storage_path string, type string, upload_date timestamp, hash string, "
     "status string, metadata string, created_at timestamp, updated_at timestamp"
 )
 #: Append-only; the latest row of an id is its status.
-STATUS_LOG = T.StructType.fromDDL("id string, status string, ts timestamp")
+STATUS_LOG = _schema("id string, status string, ts timestamp")
 #: What the ingestion operators read; ``content`` may be left out where ``hash`` is there.
-FILES = T.StructType.fromDDL("path string, name string, length long, content binary, type string, metadata string")
-PAGES = T.StructType.fromDDL("path string, page_no int, text string, error string")
-BLOCKS = T.StructType.fromDDL("path string, page_no int, block_no int, block_type string, text string, html string")
-RESPONSE = T.StructType.fromDDL("document_id string, original_filename string, storage_path string, type string, status string, message string, is_duplicate boolean")
+FILES = _schema("path string, name string, length long, content binary, type string, metadata string")
+PAGES = _schema("path string, page_no int, text string, error string")
+BLOCKS = _schema("path string, page_no int, block_no int, block_type string, text string, html string")
+RESPONSE = _schema("document_id string, original_filename string, storage_path string, type string, status string, message string, is_duplicate boolean")
 
 #: Longest values of text columns.
 MOST_CHARACTERS = {"original_filename": 255, "storage_path": 500, "hash": 64}
