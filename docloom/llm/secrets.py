@@ -164,7 +164,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(scanned: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """``spans``: pattern spans and the candidates that pass, by start and then kind as listed."""
+    """With ``__spans``: pattern spans and the candidates that pass, by start and then kind as listed."""
     base = F.concat("__assign", "__access", "__hex")
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else F.lit(None).cast("map<string,double>")
     passed = F.filter(
@@ -177,7 +177,7 @@ def _with_spans(scanned: DataFrame, limits: dict[str, float]) -> DataFrame:
 
     found = {"assign": "__assign", "access": "__access", "hex": "__hex", "random": passed}
     every = F.concat(*(F.transform(c, ranked(kind)) for kind, c in found.items()))
-    return scanned.withColumn("spans", F.array_sort(every))
+    return scanned.withColumn("__spans", F.array_sort(every))
 
 
 def joined(spans: Column, kinds: Sequence[str] = KINDS) -> Column:
@@ -193,7 +193,7 @@ def _limits(scanned: DataFrame) -> dict[str, float]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans`` (array of start, rank, stop, kind) of every row."""
     scanned = staged(_scanned(docs.select("doc_id", "text")).drop("text"), "scanned")
-    return _with_spans(scanned, _limits(scanned)).select("doc_id", "spans")
+    return _with_spans(scanned, _limits(scanned)).select("doc_id", F.col("__spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -202,7 +202,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     spans = _with_spans(_scanned(docs), limits)
     text = F.col("text")
     cut = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["stop"]).alias("at"),
@@ -210,4 +210,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return spans.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(text)).select(*docs.columns)
+    return spans.withColumn("text", F.when(F.size("__spans") > 0, cut).otherwise(text)).select(*docs.columns)
