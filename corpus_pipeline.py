@@ -25,9 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep what scores 0.5 or more. Labels that are held out (see ``quality.held_out``) aren't learnt."""
     prepare(spark)
     labels = read_table(spark, sf_dir, "labels").where(quality.learnable()).select("doc_id", F.col("quality").alias("label"))
-    found = quality.with_statistics(docs)
+    own = {c: f"__own_{c}" for c in docs.columns if c in (*quality.STATISTICS, "score", "predicted")}
+    found = quality.with_statistics(docs.withColumnsRenamed(own))
     learnt = staged(found.select("doc_id", *quality.STATISTICS).join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
-    return quality.scored(found, quality.fit(learnt, labels)).where("predicted = 1").select(*docs.columns)
+    return quality.scored(found, quality.fit(learnt, labels)).where("predicted = 1").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a window that is 0.75 similar to an item of ``benchmark``."""
     prepare(spark)
-    leaking = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    leaking = decontaminate.leaks(rows.select(F.col("__rid").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return rows.join(leaking.select(F.col("doc_id").alias("__rid")).distinct(), "__rid", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
