@@ -15,14 +15,14 @@ query can return, so copies neither fill a block nor use up the hits.
 
 ``reach`` is the number of hits to ascend to, as a share of the points; so many
 that ``k`` others must be among them are needed anyway (the query's own point is
-met in every tree). On
-vectors whose neighbours are hardly nearer than the rest a high recall needs
-most points as candidates; on clustered ones a small share will do.
-
-Defined results: vectors that are null, empty, zero, or hold a null or a
-non-finite component, and rows of null vec_id, take no part; vectors of
-different lengths don't meet; rows that share the query's vec_id count as its
-own; an empty table gives no rows; other columns are ignored.
+met in every tree). On vectors whose neighbours are hardly nearer than the rest
+a high recall needs most points as candidates; on clustered ones a small share
+will do.
+
+Defined results: vectors that are null, empty, zero, or hold a null or a non-
+finite component, and rows of null vec_id, take no part; vectors of different
+lengths don't meet; rows that share the query's vec_id count as its own; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

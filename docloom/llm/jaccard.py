@@ -1,22 +1,22 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document's set is its distinct word shingles. Shingles are hashed into groups
-(more for longer sets) and a set's counts per group are its point; two sets share at most the sum of
-the smaller coordinates of their points, and an R-tree node, which keeps the
-largest coordinates below it, bounds all of its points so. Trees of two tiles of
-documents are walked together, and what the bound leaves is verified on the
-sets themselves.
+(more for longer sets) and a set's counts per group are its point; two sets
+share at most the sum of the smaller coordinates of their points, and an R-tree
+node, which keeps the largest coordinates below it, bounds all of its points so.
+Trees of two tiles of documents are walked together, and what the bound leaves
+is verified on the sets themselves.
 
 One tree over all points cannot prune (boxes of unrelated points in so many
 dimensions cover everything), so points are first dealt to tiles: sets that are
-similar share a shingle, or with ``SHARED`` - 1 more at least ``SHARED`` of them,
-among the first quarter in any fixed order, here frequent shingles last, then by
-hash. Each set's tile is that of its most
-frequent such shingle, cut into tiles of bounded size, and the tiles to walk
-together are those that share any such shingle. Equal sets are one class and
-stand for their copies. A walk takes the documents that share so many shingles with the
-other tile's documents of fitting sizes. A walk emits no more links than join its documents up
-(links within one component follow), so large groups of near copies give rows in
+similar share a shingle, or with ``SHARED`` - 1 more at least ``SHARED`` of
+them, among the first quarter in any fixed order, here frequent shingles last,
+then by hash. Each set's tile is that of its most frequent such shingle, cut
+into tiles of bounded size, and the tiles to walk together are those that share
+any such shingle. Equal sets are one class and stand for their copies. A walk
+takes the documents that share so many shingles with the other tile's documents
+of fitting sizes. A walk emits no more links than join its documents up (links
+within one component follow), so large groups of near copies give rows in
 proportion to their size.
 
 Defined results: null and empty texts, and texts of white space, have no

@@ -1,5 +1,4 @@
 from docloom.llm import shards
-from docloom.llm.common import text_or_empty
 from docloom.llm.queries import op10_external_shuffle
 
 
@@ -30,4 +29,3 @@ def test_edges(edges, no_docs):
     rows = shards.external_shuffle(edges, 4)
     assert set(rows.columns) == set(edges.columns) and laid_out(rows.collect()) == {0: [0, 1, 2, 3], 1: [0, 1, 2], 2: [0, 1, 2, 3], 3: [0, 1, 2]}
     assert shards.external_shuffle(no_docs).count() == 0
-    assert edges.select(text_or_empty()).where("coalesce(text, '') = ''").count() >= 0

@@ -12,9 +12,9 @@ def test_hosts_paths_and_rules(table):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_trust.judge_urls(table(rows, SCHEMA, "pages")).collect()}
     assert got == {
         0: ("a.example.com", "/en/825", "com/en/", "block"), 1: ("m.x.example.com", "/en/7/z", "example.com/en/7", "allow"), 2: ("notexample.com", "/en/1", "com/en/", "block"),
-        3: ("net", "/de/8", "net/de/", "allow"), 4: ("example.net", "/de/8", "example.net/de/8", "block"), 5: ("a.org", "", None, "allow"), 6: ("a.org", "/es/1", "org/es/", "block"),
-        7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("", "", None, "allow"), 10: ("b.net", "/de/", "net/de/", "allow"), 11: ("b", "://c/d", None, "allow"),
-    } or got[5][3] == "block"
+        3: ("net", "/de/8", "net/de/", "allow"), 4: ("example.net", "/de/8", "example.net/de/8", "block"), 5: ("a.org", "", None, "block"), 6: ("a.org", "/es/1", "org/es/", "block"),
+        7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("", "", None, "allow"), 10: ("b.net", "/de/", "net/de/", "allow"), 11: ("b:", "//c/d", None, "allow"),
+    }
 
 
 def rank(hosts, edges, start, damping=0.85, rounds=20):
