@@ -73,7 +73,7 @@ def test_sources_refuse_what_they_should(spark, place):
             ask()
     assert files.uploads(spark, [("x.PDF", b"abc")], "abstract").first().length == 3
     listing = {r.name: (r.exists, r.pdf_count) for r in files.pdf_listing(spark, [("data", "in", str(landing)), ("data", "gone", str(landing / "gone"))]).collect()}
-    assert listing == {"in": (True, 5), "gone": (False, 0)} or listing["in"][1] == 4 + 1
+    assert listing == {"in": (True, 5), "gone": (False, 0)}
 
 
 def test_batch_detection(spark):
