@@ -69,37 +69,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, rounds: int = 20, tol: float = 1e-6) -> DataFrame:
-    """(host, rank): personalised PageRank with restart, and the mass of hosts without links, on ``seed`` weights.
-
-    ``hosts`` has (host, seed weight), ``edges`` (src, dst, weight). Ranks are
-    checkpointed each round and the rounds end once they move less than ``tol``.
+    """(host, rank, mass): what spreads from ``seed`` weights along ``edges`` (src, dst, weight); ``hosts`` has (host, seed weight).
+
+    ``rank`` is the personalised PageRank after ``rounds`` rounds, or once ranks
+    move less than ``tol``, with restart, and the mass of hosts without links, on
+    the seeds; it sums to one over all hosts. ``mass`` is that of the same walk in
+    units of the seed weights, without any sum over the hosts: its seed and
+    ``damping`` times what its links bring. So it depends on the hosts that lead to
+    a host alone, however many others there are. Rounds go on until no host's mass
+    moves by ``tol``. What a round makes is checkpointed.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
     total = hosts.agg(F.coalesce(F.sum(seed), F.lit(0.0))).first()[0]
-    start = hosts.select("host", (F.col(seed) / F.lit(total) if total else F.lit(0.0)).alias("start"))
-    ranks = start.select("host", F.col("start").alias("rank"))
-    if not total:
-        return ranks
-    for _ in range(rounds):
-        moved = steps.join(ranks.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        got = start.join(moved, "host", "left").select("host", "start", F.coalesce("got", F.lit(0.0)).alias("got")).checkpoint()
-        kept = got.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
-        new = got.select("host", ((1 - damping * kept) * F.col("start") + damping * F.col("got")).alias("rank"))
-        change = new.join(ranks.withColumnRenamed("rank", "old"), "host").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new
-        if change < tol:
-            break
-    return ranks
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 1e-4, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    now = hosts.select("host", F.col(seed).alias("seed"), (F.col(seed) / F.lit(total) if total else F.lit(0.0)).alias("rank"), F.col(seed).alias("mass"))
+    done, moving, ranking = 0, bool(total), bool(total)
+    while moving or ranking:
+        brought = lambda c: F.sum(F.col("share") * F.col(c))
+        moved = steps.join(now.select(F.col("host").alias("src"), "rank", "mass"), "src").groupBy(F.col("dst").alias("host")).agg(brought("rank").alias("got"), brought("mass").alias("came"))
+        met = now.join(moved, "host", "left").select("host", "seed", "rank", "mass", F.coalesce("got", F.lit(0.0)).alias("got"), F.coalesce("came", F.lit(0.0)).alias("came")).checkpoint()
+        rank, mass = F.col("rank"), F.col("seed") + damping * F.col("came")
+        if ranking:
+            kept = met.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
+            rank = (1 - damping * kept) * (F.col("seed") / F.lit(total)) + damping * F.col("got")
+        change, most = met.agg(F.sum(F.abs(rank - F.col("rank"))), F.max(F.abs(mass - F.col("mass")))).first()
+        now = met.select("host", "seed", rank.alias("rank"), mass.alias("mass"))
+        done += 1
+        ranking, moving = ranking and done < rounds and change >= tol, most >= tol
+    return now.select("host", "rank", "mass")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 1e-2, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A page that a rule fits gets the rule's verdict. Any other page gets its
-    host's: block if the host's distrust is at least ``threshold`` and above its
-    trust, else allow. Seeds are the hosts of pages that allow rules (trusted)
-    or block rules (blocked) fit, weighted by their numbers of such pages.
+    host's: block if the host's mass of distrust is at least ``threshold`` and
+    above its mass of trust, else allow. Seeds are the hosts of pages that allow
+    rules (trusted) or block rules (blocked) fit, weighted by their numbers of such
+    pages, so masses are in pages and a host with one blocked page has one at
+    least, whatever the other hosts are. ``trust`` and ``distrust`` are the ranks.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     pages = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -114,8 +122,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float
     trust = personalised_rank(hosts, edges, "allowed", damping, rounds)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = personalised_rank(hosts, against, "blocked", damping, rounds)
-    scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    scores = trust.withColumnsRenamed({"rank": "trust", "mass": "good"}).join(distrust.withColumnsRenamed({"rank": "distrust", "mass": "ill"}), "host")
+    bad = (F.col("ill") >= threshold) & (F.col("ill") > F.col("good"))
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust"
     )

@@ -51,5 +51,35 @@ def test_propagation_matches_a_dense_solution(table):
     assert {h: got[h].verdict for h in hosts} == {"good.net": "allow", "friend.info": "allow", "other.info": "allow", "neutral.info": "allow", "farm.info": "block", "bad.org": "block", "ring.info": "block"}
 
 
+def neighbourhood(k):
+    """Blocked and linking hosts of which no link leaves; a page of /x fits no rule."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
+    return [
+        (f"http://bad{k}.org/es/1", None), (f"http://bad{k}.org/x", None), (f"http://farm{k}.info/x", link(f"bad{k}.org")), (f"http://good{k}.net/de/1", link(f"mixed{k}.info")),
+        (f"http://mixed{k}.info/x", link(f"bad{k}.org")), (f"http://far{k}.info/x", link(f"farm{k}.info")), (f"http://calm{k}.info/x", None),
+    ]
+
+
+def test_verdicts_of_a_neighbourhood_do_not_change_with_the_corpus(table, spark):
+    verdicts = lambda pages: {(r.host, r.path): r.verdict for r in url_trust.judge_urls(pages, rounds=1).where("host RLIKE '^[a-z]+0[.]'").collect()}
+    rows = [(i, u, h, "", "") for i, (u, h) in enumerate(neighbourhood(0))]
+    alone = verdicts(table(rows, SCHEMA, "small"))
+    assert {p for p, v in alone.items() if v == "block"} == {("bad0.org", "/es/1"), ("bad0.org", "/x"), ("farm0.info", "/x"), ("far0.info", "/x")}
+    others = [(len(rows) + i, u, h, "", "") for i, (u, h) in enumerate(row for k in range(1, 40) for row in neighbourhood(k))]
+    blocked = [(10**6 + i, f"http://many{i % 300}x.org/es/{i}", None, "", "") for i in range(30_000)]
+    assert verdicts(table(rows + others + blocked, SCHEMA, "large")) == alone
+
+
+def test_masses_are_those_of_the_settled_walk(spark):
+    ring = [(f"h{i}", f"h{(i + 1) % 7}", 1.0) for i in range(7)] + [("h0", "h3", 3.0)]
+    hosts = spark.createDataFrame([(f"h{i}", 2.0 * (i == 1)) for i in range(7)], "host string, seed double")
+    got = {r.host: r.mass for r in url_trust.personalised_rank(hosts, spark.createDataFrame(ring, "src string, dst string, weight double"), "seed").collect()}
+    m = np.zeros((7, 7))
+    for s, d, w in ring:
+        m[int(d[1:]), int(s[1:])] += w
+    want = np.linalg.solve(np.eye(7) - 0.85 * m / m.sum(axis=0), 2.0 * (np.arange(7) == 1))
+    assert [got[f"h{i}"] for i in range(7)] == pytest.approx(want, abs=1e-5)
+
+
 def test_empty_table(table):
     assert url_trust.judge_urls(table([], SCHEMA, "pages", 1)).count() == 0
