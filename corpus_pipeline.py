@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, jaccard, pieces, quality, secrets
-from docloom.llm.common import prepare, read_table, staged
+from docloom.llm.common import numbered, prepare, read_table, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a window that is 0.75 similar to an item of ``benchmark``."""
     prepare(spark)
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    rows = numbered(docs, "__rid")
     leaking = decontaminate.leaks(rows.select(F.col("__rid").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     return rows.join(leaking.select(F.col("doc_id").alias("__rid")).distinct(), "__rid", "left_anti").select(*docs.columns)
 

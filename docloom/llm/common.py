@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python task; whole texts are kept, so the bound is on rows.
 ARROW_ROWS = 1000
+#: Low bits of a row's number that hold its place in its file.
+ROW_BITS = 40
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,18 @@ def staged(df: DataFrame, name: str, *, drop: DataFrame | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """``docs``, a stored Parquet table (columns may be chosen), with a number of each row: the place of its file by path, and its place there.
+
+    Unlike ``monotonically_increasing_id`` the numbers don't depend on how a job
+    splits the files, so separate jobs and plans give a row the same one.
+    """
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    order = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__file string, __place long")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(order), "__file")
+    return placed.select(*docs.columns, (F.shiftleft("__place", ROW_BITS) + F.col("__row")).alias(name))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

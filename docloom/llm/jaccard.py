@@ -22,7 +22,7 @@ proportion to their size.
 Defined results: null and empty texts, and texts of white space, have no
 shingles and no links; repeated rows and rows of null doc_id count like others;
 copies link with each other; an empty table gives an empty result. ``docs`` has
-to be a stored table; other columns are ignored.
+to be a stored Parquet table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import staged, text_or_empty
+from docloom.llm.common import numbered, staged, text_or_empty
 from docloom.llm.words import U64, Words, bucket_of, dealt, mixed, pack, runs, shingle_hashes, tallied, unpack
 
 #: Groups of short sets, and of the longest.
@@ -341,7 +341,7 @@ def tiles(keys: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """All rows (rid, doc_id, n, cls), and of each class the row that stands for its component: ``first`` (no id, doc_id, rid)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(docs.select("doc_id", "text")).select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_shingles(docs.select("text"), width)
     sets = staged(rows.mapInArrow(_describe(frequent, width), SETS), "sets")
     full = sets.where("n > 0")
@@ -385,7 +385,7 @@ def first_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without those that links connect to a row of a smaller doc_id (null ids last, then the first row)."""
     sets, component = _joined(docs, width)
     stay = sets.where("n = 0").select("rid").unionByName(component.select(F.col("first.rid").alias("rid"))).distinct()
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stay.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").select(*docs.columns)
+    return numbered(docs, "__rid").join(stay.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").select(*docs.columns)
 
 
 def _sorted_walks(walks: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ are read.
 
 Defined results: null and empty texts are one end token; repeated rows are
 scored each; a null doc_id is held out by no rule; without training texts every
-token has probability 1. ``docs`` has to be a stored table (its rows are told
-apart by their place). Other columns are ignored.
+token has probability 1. ``docs`` has to be a stored Parquet table (its rows are
+told apart by file and place). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import staged, text_or_empty
+from docloom.llm.common import numbered, staged, text_or_empty
 from docloom.llm.words import U64, Words, bucket_of, dealt, mixed, pack, runs, tallied, unpack
 
 WORD = 7
@@ -517,7 +517,7 @@ def score(docs: DataFrame, model: Model, slices: int = 2) -> DataFrame:
     asks of one slice are all that is on disk at once.
     """
     c = model.counts
-    rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    rows = numbered(docs.select("doc_id", "text"))
     parts = None
     for k in range(slices):
         asks = rows.where(F.pmod(F.col("rid"), F.lit(slices)) == k).select("text", "rid").mapInArrow(_bigram_asks(c), BLOBS)

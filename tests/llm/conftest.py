@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -43,3 +44,23 @@ def table(spark, tmp_path):
         return spark.read.parquet(str(tmp_path / f"{name}.parquet"))
 
     return store
+
+
+@pytest.fixture
+def redealt(spark):
+    """Have each staged table followed by other splits of files, as when executors come or go."""
+    name, deals = "spark.sql.files.minPartitionNum", itertools.cycle(["5", "4", "3"])
+
+    def wrap(staged):
+        def stage(*args, **kwargs):
+            out = staged(*args, **kwargs)
+            spark.conf.set(name, next(deals))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+            return out
+
+        spark.conf.set(name, "1")
+        return stage
+
+    yield wrap
+    spark.conf.unset(name)
+    spark.conf.unset("spark.sql.files.openCostInBytes")

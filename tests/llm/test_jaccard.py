@@ -98,3 +98,10 @@ def test_edges(edges, no_docs):
     kept = jaccard.first_documents(edges)
     assert kept.columns == edges.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 9, 10, 11]
+
+
+def test_first_documents_stay_when_files_are_dealt_anew(spark, table, redealt, monkeypatch):
+    texts = [" ".join(f"w{(i // 2) * 100 + j}" for j in range(20)) for i in range(60)]
+    docs = table(list(enumerate(texts)), "doc_id long, text string", parts=5)
+    monkeypatch.setattr(jaccard, "staged", redealt(jaccard.staged))
+    assert sorted(r.doc_id for r in jaccard.first_documents(docs).collect()) == list(range(0, 60, 2))

@@ -81,6 +81,16 @@ def test_edges(edges, no_docs):
     assert all(r.score == 0 and r.n_known == 0 for r in katz.score(edges, katz.fit(no_docs)).collect())
 
 
+def test_rows_keep_their_numbers_when_files_are_dealt_anew(spark, table, redealt, monkeypatch):
+    rows = [(i, " ".join(f"w{i * j % 23}" for j in range(i + 1))) for i in range(40)]
+    docs = table(rows, "doc_id long, text string", parts=5)
+    model = katz.fit(docs)
+    score = lambda: sorted((r.doc_id, r.n_tokens, round(r.score, 9)) for r in katz.score(docs, model).collect())
+    want = score()
+    monkeypatch.setattr(katz, "staged", redealt(katz.staged))
+    assert score() == want and len(want) == 40
+
+
 def test_discounts():
     d = katz.good_turing([1000, 400, 220, 140, 100, 75])
     assert np.all((d[1:] > 0) & (d[1:] <= 1)) and np.all(np.diff(d[1:]) > 0)
