@@ -3,26 +3,28 @@
 The model's protobuf is parsed here, and its normaliser, metaspace marker,
 scores (unigram models) or merges in order of scores (BPE models), and byte
 fallback are rebuilt as a ``tokenizers.Tokenizer``. It encodes in multithreaded
-batches, and every text is verified against the sentencepiece library; where the
-two differ (``parity`` false) the latter's ids hold.
+batches, and its ids are the result; every whole text is verified against the
+sentencepiece library, and ``parity`` says whether the two agree.
 
 Defined results: null and empty texts have no ids, and no ids decode to an empty
-text; repeated rows are encoded each; a null list of ids decodes to null; other
-columns pass through.
+text; repeated rows are encoded each; a null list of ids, and a null within one,
+decode to null; ids that the model doesn't have are an error; other columns pass
+through, but for those named like a result.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,12 +104,13 @@ def parse_model(data: bytes) -> Pieces:
 
 def build(model: Pieces):
     """(tokenizer of normalised texts, normaliser or None) for a parsed model."""
-    from tokenizers import Regex, Tokenizer, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
     if model.model_type == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unknown, model.byte_fallback)
+        top = max((s for _, s, kind in model.pieces if kind == NORMAL), default=0.0)
+        core = models.Unigram([(p, len(p.encode()) * top - 0.1 if kind == USER_DEFINED else s) for p, s, kind in model.pieces], unknown, model.byte_fallback)
     else:
         usable = {p for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
         merges = [(-score, vocab[p], k, (p[:k], p[k:])) for p, score, kind in model.pieces if p in usable for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
@@ -115,7 +118,10 @@ def build(model: Pieces):
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze_spaces:
         steps += [normalizers.Strip(True, True), normalizers.Replace(Regex(" {2,}"), " ")]
-    return Tokenizer(core), normalizers.Sequence(steps) if steps else None
+    tokenizer = Tokenizer(core)
+    if model.model_type == BPE:  # pieces that users defined are matched before any others, the longest first
+        tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
+    return tokenizer, normalizers.Sequence(steps) if steps else None
 
 
 class Codec:
@@ -129,7 +135,10 @@ class Codec:
         self.model = parse_model(data)
         self.tokenizer, self.normalizer = build(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.spelled = [self._spelled(piece, kind) for piece, _, kind in self.model.pieces]
+        spelled = [self._spelled(piece, kind) for piece, _, kind in self.model.pieces]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.ends = np.cumsum([0, *map(len, spelled)])
+        self.kinds = np.array([kind for _, _, kind in self.model.pieces])
 
     @staticmethod
     def _spelled(piece: str, kind: int) -> bytes:
@@ -146,17 +155,37 @@ class Codec:
             return ""
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bool]]:
-        """The ids of each text as bytes of int32, and whether both libraries agree; if not, the ids are sentencepiece's."""
-        mine = self.tokenizer.encode_batch_fast([self.normalised(t or "") for t in texts], add_special_tokens=False)
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, the number of each text's, and whether both libraries agree on a text."""
+        mine = [e.ids for e in self.tokenizer.encode_batch_fast([self.normalised(t or "") for t in texts], add_special_tokens=False)]
         theirs = self.other.encode([t or "" for t in texts], num_threads=THREADS)
-        for a, b in zip(mine, theirs, strict=True):
-            yield array("i", b).tobytes(), a.ids == b
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+        (ids, sizes), (others, other_sizes) = _end_to_end(mine), _end_to_end(theirs)
+        agree = sizes == other_sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        kept, compared = agree[row], np.repeat(agree, other_sizes)
+        agree[row[kept][ids[kept] != others[compared]]] = False
+        return ids, sizes, agree
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Pieces put together: markers as blanks, byte pieces as bytes, the blank that encoding put first taken off."""
-        texts = [b"".join(map(self.spelled.__getitem__, x)).decode(errors="replace") for x in ids]
-        return [t.removeprefix(" ") for t in texts] if self.model.dummy_prefix else texts
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.ends) - 1):
+            raise ValueError("an id is none of the model's")
+        begin = self.ends[ids]
+        long = self.ends[ids + 1] - begin
+        ends = np.cumsum(long)
+        data = self.spelled[np.repeat(begin - ends + long, long) + np.arange(long.sum())].tobytes()
+        starts = np.append(0, np.cumsum(sizes))
+        cuts = np.append(0, ends)[starts].tolist()
+        texts = [data[a:b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if not self.model.dummy_prefix:
+            return texts
+        unknown = np.append(self.kinds[ids] == UNKNOWN, False)[starts[:-1]].tolist()
+        return [t if u else t.removeprefix(" ") for t, u in zip(texts, unknown, strict=True)]
+
+
+def _end_to_end(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
 
 @lru_cache(maxsize=2)
@@ -181,44 +210,56 @@ def _schema(df: DataFrame, *fields_: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name not in names), *fields_])
 
 
-def encode(docs: DataFrame, path: str = MODEL_PATH, batch: int = 200) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``parity``; columns of these names are replaced."""
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType())
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def _encoded(own: Codec, texts: pa.Array) -> dict[str, pa.Array]:
+    ids, sizes, agree = own.encode(texts.to_pylist())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+    return {"ids": lists, "n_tokens": pa.array(sizes), "parity": pa.array(agree)}
+
+
+def _decoded(own: Codec, lists: pa.ListArray) -> dict[str, pa.Array]:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    gone = ~np.asarray(lists.is_valid())
+    gone[np.repeat(np.arange(len(sizes)), sizes)[np.asarray(flat.is_null())]] = True
+    texts = own.decode(flat.fill_null(0).to_numpy().astype(np.int64), sizes)
+    return {"decoded": pa.array(texts, pa.string(), mask=gone)}
+
+
+def _mapped(rows: DataFrame, path: str, batch: int, work: Callable[[Codec, pa.RecordBatch], dict[str, pa.Array]], *made: T.StructField) -> DataFrame:
     data = model_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(data)
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
-                rows = whole.slice(at, batch)
-                found = list(own.encode(rows.column("text").to_pylist()))
-                values = pa.array(np.frombuffer(b"".join(x for x, _ in found), "<i4"))
-                sizes = np.array([len(x) // 4 for x, _ in found], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
-                yield _with(rows, ids=ids, n_tokens=pa.array(sizes), parity=pa.array([y for _, y in found], pa.bool_()))
+                part = whole.slice(at, batch)
+                yield _with(part, **work(own, part))
 
-    schema = _schema(docs, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType()))
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, _schema(rows, *made))
+
+
+def encode(docs: DataFrame, path: str = MODEL_PATH, batch: int = 200) -> DataFrame:
+    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``parity``; columns of these names are replaced."""
+    return _mapped(docs, path, batch, lambda own, part: _encoded(own, part.column("text")), *IDS)
 
 
 def decode(rows: DataFrame, path: str = MODEL_PATH, column: str = "ids", batch: int = 200) -> DataFrame:
     """``rows`` with ``decoded``, the text of the ids in ``column``."""
-    data = model_bytes(path)
+    return _mapped(rows, path, batch, lambda own, part: _decoded(own, part.column(column)), DECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data)
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
-                ids = part.column(column).to_pylist()
-                texts = own.decode([x or [] for x in ids])
-                yield _with(part, decoded=pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string()))
 
-    return rows.mapInArrow(run, _schema(rows, T.StructField("decoded", T.StringType())))
+def round_trips(docs: DataFrame, path: str = MODEL_PATH, batch: int = 200) -> DataFrame:
+    """Encode and decode ``docs`` in one pass: the columns of ``encode``, and ``decoded``."""
 
+    def both(own: Codec, part: pa.RecordBatch) -> dict[str, pa.Array]:
+        made = _encoded(own, part.column("text"))
+        return made | _decoded(own, made["ids"])
 
-def round_trips(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """Encode and decode ``docs``: the columns of ``encode``, and ``decoded``."""
-    return decode(encode(docs, path), path)
+    return _mapped(docs, path, batch, both, *IDS, DECODED)
 
 
 def ids_digest(column: str = "ids"):
