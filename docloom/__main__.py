@@ -6,15 +6,15 @@ import argparse
 import json
 import logging
 import sys
-import tempfile
+
+from pyspark.sql import SparkSession
 
 from docloom.config import Settings, app_info
-from docloom.operators.stats import batch_summary, service_stats
-from docloom.operators.validity import valid_light
-from docloom.plans.ingest import ingest
-from docloom.schemas import TYPES
+from docloom.operators.stats import batch_summary, extract_stats, service_stats
+from docloom.plans.extract import extract, work_dir, write_extracts
+from docloom.plans.routes import extract_inputs, take_in
+from docloom.schemas import RESPONSE, TYPES
 from docloom.sources.files import SourceError, scan_directory, scan_file, scan_storage
-from docloom.sources.pdf import read_blocks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     take.add_argument("--metadata", default="{}")
     take.add_argument("--batch", action="store_true")
     take.add_argument("--recursive", action="store_true")
+    text = commands.add_parser("extract", help="write the text and metadata of a PDF file, or of a folder's")
+    text.add_argument("input")
+    text.add_argument("output")
+    text.add_argument("--recursive", action="store_true")
     commands.add_parser("stats", help="count the storage")
     commands.add_parser("info", help="name and version")
     return out
@@ -53,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
         print(service_stats(scan_storage(spark, settings.storage_dir), settings.max_file_size, settings.retry_attempts).toJSON().first())
         return 0
     try:
+        if args.command == "extract":
+            return _extract(spark, args, settings, log)
         if args.file:
             files = scan_file(spark, args.file, args.type, args.metadata, args.batch)
         else:
@@ -60,14 +66,24 @@ def main(argv: list[str] | None = None) -> int:
     except SourceError as e:
         log.error("%s", e)
         return 1
-    blocks = read_blocks(files.where(files["length"] <= settings.max_file_size))
-    work = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/ingest"
-    found = ingest(spark, files, valid_light(blocks.where("error IS NULL")), settings, work, args.batch)
-    for line in found.toJSON().toLocalIterator():
+    found = take_in(files, settings, batch=args.batch)
+    for line in found.select(*RESPONSE.names).toJSON().toLocalIterator():
         print(line)
     print(batch_summary(found).toJSON().first())
     return 0
 
 
+def _extract(spark: SparkSession, args: argparse.Namespace, settings: Settings, log: logging.Logger) -> int:
+    """Print what was written, and the run's statistics; 1 if a file couldn't be read."""
+    found = extract(extract_inputs(spark, args.input, args.recursive), settings, work_dir(spark, settings))
+    for row in write_extracts(found, args.output).toLocalIterator():
+        print(f"Saved: {row.storage_path}")
+    for row in found.where("error IS NOT NULL").select("path", "error").toLocalIterator():
+        log.error("%s: %s", row.path, row.error)
+    stats = extract_stats(found)
+    print(stats.toJSON().first())
+    return 1 if stats.first().failed else 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

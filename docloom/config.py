@@ -39,6 +39,10 @@ def _truth(text: str) -> bool:
     return text.strip().lower() == "true"
 
 
+#: The largest file that Spark's source of whole files can read.
+MOST_READABLE = (1 << 31) - 1
+
+
 @dataclass(frozen=True)
 class Settings:
     max_file_size_mb: int = 100
@@ -48,6 +52,7 @@ class Settings:
     storage_dir: str = "./storage"
     data_dir: str = "./data"
     catalog_dir: str = "./catalog"
+    reader: str = "light"
     keywords: tuple[str, ...] = BATCH_KEYWORDS
     similarity_threshold: float = SIMILARITY_THRESHOLD
 
@@ -65,6 +70,7 @@ class Settings:
             storage_dir=env.get("STORAGE_DIR", "./storage"),
             data_dir=env.get("DATA_DIR", "./data"),
             catalog_dir=env.get("CATALOG_DIR", "./catalog"),
+            reader=env.get("DOCLOOM_READER", "light"),
         )
 
     def session(self, name: str = NAME) -> SparkSession:
@@ -73,12 +79,12 @@ class Settings:
             SparkSession.builder.appName(name)
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.task.maxFailures", str(max(1, self.retry_attempts)))
-            .config("spark.sql.sources.binaryFile.maxLength", str(max(self.max_file_size, 1)))
+            .config("spark.sql.sources.binaryFile.maxLength", str(min(max(self.max_file_size, 1), MOST_READABLE)))
             .getOrCreate()
         )
 
     def extractor_options(self) -> dict[str, object]:
-        """Options for layout readers."""
+        """Options that a reader is made with. Fixed values, but for the two settings."""
         return {
             "output_format": "markdown",
             "extract_images": self.extract_images,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: All code points that count as white space.
 WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPLIT = r"(?U)[\s\x1c-\x1f]+"
+#: How much of a page is compared, and a header that stands for none.
 FIRST_CHARACTERS, FIRST_WORDS = 200, 50
 SENTINEL = "Text that appears at the top of a page, like a page title."
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_wins(rows: DataFrame, order: str = "path", key: str = "hash") -> DataFrame:
+def first_wins(rows: DataFrame, order: str = "path", key: str = "hash", **firsts: Column) -> DataFrame:
     """``rows`` with ``is_first`` and ``first`` (the value of ``order`` that comes first among rows of equal ``key``).
 
-    The first is an aggregate that is combined before anything moves, and rows
-    meet it by a join, so a key with very many rows is no single task's.
+    ``firsts`` are further columns, each with its value in the first row. The
+    first is an aggregate that is combined before anything moves, and rows meet it
+    by a join, so a key with very many rows is no single task's.
     """
-    least = rows.groupBy(key).agg(F.min(order).alias("first"))
+    least = rows.groupBy(key).agg(F.min(order).alias("first"), *(F.min_by(c, order).alias(name) for name, c in firsts.items()))
     return rows.join(least, key, "left").withColumn("is_first", F.col(order).eqNullSafe(F.col("first")))
 
 
@@ -40,7 +41,3 @@ def latest_status(log: DataFrame, tie: str = "ts") -> DataFrame:
     """(id, status): the status of each id's latest row; ``tie`` orders rows of one time."""
     return log.groupBy("id").agg(F.max_by("status", F.struct("ts", tie) if tie != "ts" else F.col("ts")).alias("status"))
 
-
-def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` with their ``place`` among rows of one key, from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))

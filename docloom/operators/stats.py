@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import megabytes
-from docloom.schemas import FAILED, INGESTED
+from docloom.schemas import FAILED, INGESTED, RESPONSE
 
 
 def _count_if(condition):
@@ -30,6 +30,25 @@ def batch_summary(responses: DataFrame, collect: bool = False) -> DataFrame:
     )
 
 
+def directory_results(answers: DataFrame) -> DataFrame:
+    """(file, success, response, error): what came of each file; ``answers`` has a response's columns, ``path``, and ``error`` where an exception ended it."""
+    failed = F.col("error").isNotNull()
+    return answers.select(F.col("path").alias("file"), (~failed).alias("success"), F.when(~failed, F.struct(*RESPONSE.names)).alias("response"), "error")
+
+
+def directory_answer(results: DataFrame, directory: str) -> DataFrame:
+    """One row: message, directory, total_files, successful and failed; without files instead of the counts ``files_processed``, 0."""
+    n, any_ = F.count(F.lit(1)), F.count(F.lit(1)) > 0
+    return results.agg(
+        F.when(any_, "Directory processing complete").otherwise("No PDF files found in directory").alias("message"),
+        F.lit(directory).alias("directory"),
+        F.when(any_, n).alias("total_files"),
+        F.when(any_, _count_if(F.col("success"))).alias("successful"),
+        F.when(any_, _count_if(~F.col("success"))).alias("failed"),
+        F.when(~any_, F.lit(0).cast("long")).alias("files_processed"),
+    )
+
+
 def directory_summary(results: DataFrame) -> DataFrame:
     """total_files, successful and failed as to exceptions (``error``), and the same as to status."""
     return results.agg(

@@ -2,41 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.config import Settings
+from docloom.functions.metadata import merged
 from docloom.functions.text import stem
 from docloom.operators.batch import page_texts
 from docloom.operators.headers import header_text, page_headers, with_headers
 from docloom.sources.markdown import render_pages
+from docloom.sources.pdf import Reader, read_blocks, reader_of
+
+
+def work_dir(spark: SparkSession, settings: Settings) -> str:
+    """A new folder for one run's intermediate tables, which all executors share: in ``spark.checkpoint.dir``, else beside the catalog."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{settings.catalog_dir.rstrip('/')}/work"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def extracted(blocks: DataFrame, settings: Settings, processor: str = "layout") -> DataFrame:
-    """(path, text, metadata, error) of blocks with their errors, from one reading of the files.
+    """(path, text, metadata, error, started, elapsed) of stored blocks with their errors.
 
-    The text is the pages as paginated markdown under the page headers. A file
-    that couldn't be read has its error, no text, and ``{}`` for metadata.
+    The text is the pages as paginated markdown under the page headers. The
+    metadata is what the reader told, and what is known of the run, which wins. A
+    file that couldn't be read has its error, no text, and ``{}`` for metadata.
+    ``blocks`` is used several times: store it first, as ``extract`` does.
     """
-    errors = blocks.where(F.col("error").isNotNull()).select("path", "error").distinct()
     good = blocks.where(F.col("error").isNull() & F.col("page_no").isNotNull())
     markdown = render_pages(page_texts(good), "path")
     html = good.groupBy("path", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "html"))), lambda b: b["html"]), "").alias("html"))
     headers = header_text(page_headers(good, html))
-    pages = good.groupBy("path").agg(F.countDistinct("page_no").alias("pages"))
+    own = [c for c in ("metadata", "started", "elapsed") if c in blocks.columns]
+    told = {c: F.max(c) if c in own else F.lit(None).cast(kind) for c, kind in (("metadata", "string"), ("started", "double"), ("elapsed", "double"))}
+    files = blocks.groupBy("path").agg(F.max("error").alias("error"), F.countDistinct("page_no").alias("pages"), *(c.alias(name) for name, c in told.items()))
     facts = F.struct(
         F.col("pages"), F.lit(processor).alias("processor"), F.lit(settings.use_llm).alias("use_llm"), F.lit(settings.extract_images).alias("extract_images"),
         (F.unix_micros(F.current_timestamp()) / 1e6).alias("processing_timestamp"),
     )
-    texts = markdown.join(headers, "path", "left").join(pages, "path")
-    done = texts.select("path", with_headers(F.col("header_text"), F.col("markdown")).alias("text"), F.to_json(facts, {"pretty": "true"}).alias("metadata"), F.lit(None).cast("string").alias("error"))
-    return done.unionByName(errors.select("path", F.lit(None).cast("string").alias("text"), F.lit("{}").alias("metadata"), "error"))
+    done = F.col("error").isNull()
+    text = with_headers(F.col("header_text"), F.coalesce("markdown", F.lit("")))
+    return files.join(markdown, "path", "left").join(headers, "path", "left").select(
+        "path", F.when(done, text).alias("text"), F.when(done, merged(F.col("metadata"), F.to_json(facts), pretty=True)).otherwise("{}").alias("metadata"), "error", "started", "elapsed"
+    )
+
+
+def extract(files: DataFrame, settings: Settings, work: str, reader: Reader | None = None) -> DataFrame:
+    """``extracted`` of (path, content): files are read once, and what was read and made of it is stored below ``work``."""
+    spark = files.sparkSession
+    read_blocks(files, reader or reader_of(settings)).write.parquet(f"{work}/blocks")
+    extracted(spark.read.parquet(f"{work}/blocks"), settings, settings.reader).write.parquet(f"{work}/extracts")
+    return spark.read.parquet(f"{work}/extracts")
 
 
-def write_extracts(extracts: DataFrame, path: str) -> None:
-    """Write ``{stem}.md`` and ``{stem}.json`` of each file, by one sink for both."""
+def write_extracts(extracts: DataFrame, path: str) -> DataFrame:
+    """Write ``{stem}.md`` and ``{stem}.json`` of each file, by one sink for both; return their paths as (path, storage_path)."""
     from docloom.plans.storage import write_files
 
     names = F.explode(F.array(F.struct(F.lit(".md").alias("end"), F.col("text").alias("body")), F.struct(F.lit(".json").alias("end"), F.col("metadata").alias("body"))))
-    out = extracts.where(F.col("text").isNotNull()).select(stem(F.col("path")).alias("stem"), names.alias("file"))
-    write_files(out.select(F.concat(F.lit(f"{path}/"), "stem", "file.end").alias("storage_path"), F.col("file.body").cast("binary").alias("content")))
+    out = extracts.where(F.col("text").isNotNull()).select("path", names.alias("file")).withColumn("storage_path", F.concat(F.lit(f"{path}/"), stem(F.col("path")), "file.end"))
+    write_files(out.select("storage_path", F.col("file.body").cast("binary").alias("content")))
+    return out.select("path", "storage_path")

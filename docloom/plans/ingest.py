@@ -5,12 +5,16 @@ hash, and duplicates, first against the catalog and then within the run, where
 the first path wins. Files that fail a check are never stored, never catalogued
 and take no part in finding duplicates.
 
+Files that look like several documents in one are noted and taken in as one.
+
 Identifiers of ingested documents are derived from their content's hash, so they
 are the same however often a task runs; failures have none.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +30,12 @@ from docloom.sources.files import stored_path
 
 INVALID = "Invalid or corrupted PDF file"
 INGESTED_MESSAGE, KNOWN_MESSAGE = "Document successfully ingested", "Document already exists"
+#: So many new files (their paths) are sent to all tasks that read contents; beyond that, contents are shuffled.
+MOST_BROADCAST = 100_000
 SINGLE, BATCH = "Processing failed: ", "Batch processing failed: "
 
+log = logging.getLogger(__name__)
+
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
@@ -40,11 +48,12 @@ def document_id(hash_: Column) -> Column:
 def checked(files: DataFrame, validity: DataFrame, max_file_size: int, prefix: str = SINGLE) -> DataFrame:
     """``files`` with ``failure``, the message of the first check that fails, or null.
 
-    ``validity`` has (path, valid); files it doesn't have are invalid. The
-    content of a file that is too large isn't read, if the source can tell its
-    length without.
+    ``validity`` has (path, valid) and maybe is_batch; files it doesn't have are
+    invalid. The content of a file that is too large isn't read, if the source can
+    tell its length without.
     """
-    known = files.join(validity.select("path", "valid"), "path", "left")
+    noted = [F.col(c) for c in validity.columns if c == "is_batch"] or [F.lit(None).cast("boolean").alias("is_batch")]
+    known = files.join(validity.select("path", "valid", *noted), "path", "left")
     large = too_large(F.col("length"), max_file_size)
     why = (
         F.when(large, size_message(F.col("length"), max_file_size))
@@ -57,26 +66,23 @@ def checked(files: DataFrame, validity: DataFrame, max_file_size: int, prefix: s
 def resolved(files: DataFrame, catalog: DataFrame, base: str) -> DataFrame:
     """Checked ``files`` with what becomes of them: the columns of a response, ``hash``, and ``is_new``.
 
-    ``files`` has (path, name, type, metadata, hash, failure), ``catalog`` the
+    ``files`` has (path, name, type, metadata, hash, is_batch, failure), ``catalog`` the
     catalog's rows. A duplicate answers with the row it repeats: its id, name,
     path, type and status.
     """
     good = files.where(F.col("failure").isNull()).withColumn("storage_path", stored_path(base))
-    own = against_catalog(first_wins(good), catalog)
-    winners = good.select(
-        F.col("path").alias("first"), F.struct(document_id(F.col("hash")).alias("id"), F.col("name").alias("original_filename"), "storage_path", "type", F.lit(INGESTED).alias("status")).alias("winner")
-    )
-    own = own.join(winners, "first")
+    winner = F.struct(document_id(F.col("hash")).alias("id"), F.col("name").alias("original_filename"), "storage_path", "type", F.lit(INGESTED).alias("status"))
+    own = against_catalog(first_wins(good, winner=winner), catalog)
     is_new = F.col("known").isNull() & F.col("is_first")
     row = F.coalesce("known", "winner")
     answers = own.select(
-        "path", "hash", "metadata",
+        "path", "hash", "metadata", "is_batch",
         row["id"].alias("document_id"), row["original_filename"].alias("original_filename"), row["storage_path"].alias("storage_path"),
         row["type"].alias("type"), row["status"].alias("status"),
         F.when(is_new, INGESTED_MESSAGE).otherwise(KNOWN_MESSAGE).alias("message"), (~is_new).alias("is_duplicate"), is_new.alias("is_new"),
     )
     failures = files.where(F.col("failure").isNotNull()).select(
-        "path", F.lit(None).cast("string").alias("hash"), "metadata",
+        "path", F.lit(None).cast("string").alias("hash"), "metadata", "is_batch",
         F.lit(None).cast("string").alias("document_id"), F.col("name").alias("original_filename"), F.lit("").alias("storage_path"),
         "type", F.lit(FAILED).alias("status"), F.col("failure").alias("message"), F.lit(False).alias("is_duplicate"), F.lit(False).alias("is_new"),
     )
@@ -84,7 +90,8 @@ def resolved(files: DataFrame, catalog: DataFrame, base: str) -> DataFrame:
 
 
 def responses(outcome: DataFrame) -> DataFrame:
-    return outcome.select(*RESPONSE.names)
+    """The responses, with the path that each is for and whether the file looks like a batch."""
+    return outcome.select(*RESPONSE.names, "path", "is_batch")
 
 
 def catalog_rows(outcome: DataFrame) -> DataFrame:
@@ -105,13 +112,17 @@ def ingest(spark: SparkSession, files: DataFrame, validity: DataFrame, settings:
     catalog = Catalog(spark, settings.catalog_dir)
     catalog.create()
     bootstrap(spark, settings.storage_dir)
-    rows = checked(files, validity, settings.max_file_size, BATCH if batch else SINGLE)
     large = too_large(F.col("length"), settings.max_file_size)
+    rows = checked(files, validity, settings.max_file_size, BATCH if batch else SINGLE)
     hashed = rows.where(~large).withColumn("hash", F.when(F.col("failure").isNull(), content_hash(F.col("content")))).drop("content")
     hashed = hashed.unionByName(rows.where(large).drop("content").withColumn("hash", F.lit(None).cast("string")))
     resolved(hashed, catalog.rows(), settings.storage_dir).write.mode("overwrite").parquet(work)
     outcome = spark.read.parquet(work)
     new = outcome.where("is_new").select("path", "storage_path")
-    write_files(files.select("path", "content").join(new, "path"))
+    added, several = outcome.agg(F.count_if("is_new"), F.count_if(F.col("is_batch") & (F.col("status") == INGESTED))).first()
+    if several and not batch:
+        log.info("%d batch files taken in as single documents", several)
+    contents = files.where(~large).select("path", "content")
+    write_files(contents.join(F.broadcast(new) if added <= MOST_BROADCAST else new, "path"))
     catalog.append(catalog_rows(outcome))
     return responses(outcome)

@@ -1,4 +1,4 @@
-"""Content sinks: a blob table by type, and plain files under content-addressed names."""
+"""The content sink: plain files under content-addressed names."""
 
 from __future__ import annotations
 
@@ -16,11 +16,6 @@ def bootstrap(spark: SparkSession, base: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
 
 
-def write_blobs(files: DataFrame, path: str) -> None:
-    """Append (hash, storage_path, content, type) to a table partitioned by type: the sink for large runs."""
-    files.select("hash", "storage_path", "content", "type").write.mode("append").partitionBy("type").parquet(path)
-
-
 def write_files(files: DataFrame) -> None:
     """Write each ``content`` to its ``storage_path``.
 

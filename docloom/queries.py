@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.config import Settings
 from docloom.functions import metadata as meta
 from docloom.functions import text as fn
 from docloom.operators import batch, dedup, headers, stats, validity
 from docloom.plans import catalog as cat
-from docloom.plans import ingest
+from docloom.plans import extract, ingest
 from docloom.sources import markdown
 
 STORE = "/store"
-#: So small that files of all kinds of failures occur.
-MOST_BYTES = 3000
+#: The production limit, and one that many documents go over.
+MOST_BYTES, SMALL = Settings().max_file_size, 3000
+LAYOUT_KEYWORDS = ("the ", "Please")
 KEYWORDS = ("License", "The ", "de la")
 
 
@@ -80,6 +82,18 @@ def valid_files(spark, sf_dir):
     return validity.valid_light(_lines(spark, sf_dir))
 
 
+def valid_layout(spark, sf_dir):
+    """Conversations as files, each fifth without pages."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("conv_id") % 5 != 0, F.col("turn")).alias("page_no"))
+    return validity.valid_layout(turns, "conv_id")
+
+
+def size_check(spark, sf_dir):
+    """The size check's message of every document under a small limit; null if it passes."""
+    length = F.col("length")
+    return _files(spark, sf_dir).select("doc_id", F.when(validity.too_large(length, SMALL), validity.size_message(length, SMALL)).alias("message"))
+
+
 def _outcome(spark, sf_dir):
     files = _files(spark, sf_dir)
     seen = ingest.checked(files, validity.valid_light(_lines(spark, sf_dir)), MOST_BYTES)
@@ -94,9 +108,22 @@ def batch_summary(spark, sf_dir):
     return stats.batch_summary(_outcome(spark, sf_dir))
 
 
+def _with_errors(spark, sf_dir):
+    """Outcomes of which every tenth stands for one that an exception ended."""
+    return _outcome(spark, sf_dir).withColumn("error", F.when(F.col("path").endswith("7.pdf"), "OSError: unreadable"))
+
+
 def directory_summary(spark, sf_dir):
-    results = _outcome(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
-    return stats.directory_summary(results)
+    return stats.directory_summary(_with_errors(spark, sf_dir))
+
+
+def directory_results(spark, sf_dir):
+    found = stats.directory_results(_with_errors(spark, sf_dir))
+    return found.select("file", "success", F.col("response.document_id").alias("document_id"), F.col("response.message").alias("message"), "error")
+
+
+def directory_answer(spark, sf_dir):
+    return stats.directory_answer(stats.directory_results(_with_errors(spark, sf_dir)), "/landing")
 
 
 def storage_stats(spark, sf_dir):
@@ -130,8 +157,7 @@ def list_documents(spark, sf_dir):
 
 def find_by_hash(spark, sf_dir):
     own = _catalog(_files(spark, sf_dir))
-    least = own.agg(F.min("hash").alias("hash"))
-    return own.join(least, "hash").select("id", "hash", "original_filename")
+    return cat.by_hash(own, own.agg(F.min("hash")).first()[0]).select("id", "hash", "original_filename")
 
 
 def find_by_id(spark, sf_dir):
@@ -151,8 +177,16 @@ def metadata_extract(spark, sf_dir):
 
 
 def metadata_merge(spark, sf_dir):
-    own = meta.merged(F.col("props"), F.to_json(F.struct(F.col("event_type").alias("k"), F.col("user_id").alias("user"))))
-    return _table(spark, sf_dir, "events").select("event_id", meta.field(own, "k").alias("k"), meta.field(own, "user", "long").alias("user"))
+    """A key of the left object alone (k), one of the right alone (user), and one of both (kind)."""
+    left = meta.merged(F.col("props"), F.to_json(F.struct(F.upper("event_type").alias("kind"))))
+    own = meta.merged(left, F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user"))))
+    return _table(spark, sf_dir, "events").select("event_id", meta.field(own, "k", "int").alias("k"), meta.field(own, "kind").alias("kind"), meta.field(own, "user", "long").alias("user"))
+
+
+def metadata_or_empty(spark, sf_dir):
+    """Metadata that is an object, missing, or an array."""
+    given = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "[1]")
+    return _table(spark, sf_dir, "events").select("event_id", meta.parsed(given).alias("metadata"), meta.metadata_error(given).alias("error"))
 
 
 def is_batch(spark, sf_dir):
@@ -163,6 +197,30 @@ def is_batch_standard(spark, sf_dir):
     return batch.is_batch(_lines(spark, sf_dir))
 
 
+def _blocks(spark, sf_dir):
+    """Conversations as files of a header and of pages with one block each, text or markup; each tenth can't be read."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("bad", F.col("conv_id") % 10 == 7)
+    header = F.struct(F.lit(0).alias("block_no"), F.lit("PageHeader").alias("block_type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("<h1>Conversation "), F.col("conv_id").cast("string"), F.lit("</h1>")).alias("html"))
+    body = F.struct(F.lit(1).alias("block_no"), F.lit("Text").alias("block_type"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"), F.concat(F.lit("<p> "), "text", F.lit(" </p>")).alias("html"))
+    blocks = turns.where("NOT bad").select("conv_id", F.col("turn").cast("int").alias("page_no"), F.explode(F.when(F.col("turn") == 0, F.array(header, body)).otherwise(F.array(body))).alias("b")).select("conv_id", "page_no", "b.*")
+    failed = turns.where("bad").select("conv_id", F.lit("ValueError: unreadable").alias("error")).distinct()
+    told = F.when((F.col("page_no") == 0) & (F.col("block_no") == 0), F.to_json(F.struct(F.lit("a reader").alias("producer"), F.lit("none").alias("processor"))))
+    return blocks.withColumn("metadata", told).unionByName(failed, allowMissingColumns=True).withColumns({"path": F.col("conv_id").cast("string"), "started": F.col("conv_id").cast("double"), "elapsed": F.lit(0.5)})
+
+
+def extracts(spark, sf_dir):
+    found = extract.extracted(_blocks(spark, sf_dir), Settings())
+    return found.select("path", "text", "error", *(meta.field(F.col("metadata"), name).alias(name) for name in ("pages", "processor", "producer")))
+
+
+def extract_stats(spark, sf_dir):
+    return stats.extract_stats(extract.extracted(_blocks(spark, sf_dir), Settings()))
+
+
+def is_batch_layout(spark, sf_dir):
+    return batch.is_batch_layout(_blocks(spark, sf_dir).where("error IS NULL"), keywords=LAYOUT_KEYWORDS)
+
+
 def page_difference(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page_no"), "text")
     return batch.is_batch(turns, "conv_id", ())
@@ -225,7 +283,7 @@ def paginated_split(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hash, dedup_first_wins, dedup_vs_catalog, new_documents, orphan_files, valid_files, ingest_responses, batch_summary, directory_summary,
+        content_hash, dedup_first_wins, dedup_vs_catalog, new_documents, orphan_files, valid_files, valid_layout, size_check, directory_results, directory_answer, metadata_or_empty, extracts, extract_stats, is_batch_layout, ingest_responses, batch_summary, directory_summary,
         storage_stats, service_stats, pdf_count_by_folder, folder_preview, list_documents, find_by_hash, find_by_id, latest_status, metadata_extract,
         metadata_merge, is_batch, is_batch_standard, page_difference, turn_similarity, page_counts, strip_html, page_headers, header_text, block_text, paginated_split,
     )
@@ -257,8 +315,8 @@ def _similarity(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-def _batch_sql(source: str, key: str, keywords: tuple[str, ...]) -> str:
-    any_of = " OR ".join(f"contains(text, '{k}')" for k in keywords) or "false"
+def _batch_sql(source: str, key: str, keywords: tuple[str, ...], searched: str = "text") -> str:
+    any_of = " OR ".join(f"contains({searched}, '{k}')" for k in keywords) or "false"
     return f"""heads AS (SELECT {key}, count(*) AS pages, coalesce(bool_or(page_no < 3 AND ({any_of})), false) AS keyword,
   {_set("substr(coalesce(max(text) FILTER (page_no = 0), ''), 1, 200)")} AS a, {_set("substr(coalesce(max(text) FILTER (page_no = 1), ''), 1, 200)")} AS b FROM {source} GROUP BY {key})
 SELECT {key}, pages, CASE WHEN pages <= 1 THEN false WHEN keyword THEN true WHEN pages > 2 THEN len(a) = 0 OR len(b) = 0 OR {_similarity('a', 'b')} < 0.3 ELSE false END AS is_batch FROM heads"""
@@ -277,6 +335,10 @@ UNION ALL SELECT path, NULL, name, '', type, 'processing_failed', failure, false
 STORAGE = "count(*) AS total_files, coalesce(sum(length), 0)::BIGINT AS total_size_bytes, round_even(coalesce(sum(length), 0)::BIGINT / 1048576, 2) AS total_size_mb"
 CAPITALS = f"""(SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]+)</p>', 1), lambda p: trim(p, '{_WS}')), lambda p: length(p) > 5 AND upper(p) = p AND lower(p) <> p) AS headers FROM pages)"""
 BARE = f"trim(regexp_replace({{}}, '<[^>]+>', '', 'g'), '{_WS}')"
+BLOCKS = f"""pages AS (SELECT conv_id, conv_id::VARCHAR AS path, turn AS page_no, CASE WHEN turn % 2 = 0 THEN text END AS own, coalesce(CASE WHEN turn = 0 THEN 'Conversation ' || conv_id || ' ' ELSE '' END
+  || CASE WHEN turn % 2 = 0 AND text <> '' THEN trim(text, '{_WS}') ELSE nullif({BARE.format("'<p> ' || text || ' </p>'")}, '') END, CASE WHEN turn = 0 THEN 'Conversation ' || conv_id ELSE '' END) AS text FROM conversations)"""
+EXTRACTS = f"""WITH {BLOCKS}, extracted AS (SELECT path, CASE WHEN conv_id % 10 <> 7 THEN CASE WHEN min(page_no) = 0 THEN chr(10) || '--- Page 1 Header ---' || chr(10) || 'Conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || chr(10) || chr(10) ELSE '' END
+  || string_agg('{{' || page_no || '}}' || repeat('-', 48) || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY page_no) END AS text, count(*) AS pages, CASE WHEN conv_id % 10 = 7 THEN 'ValueError: unreadable' END AS error FROM pages GROUP BY conv_id, path)"""
 
 ORACLES = {
     "content_hash": f"WITH {FILES} SELECT doc_id, hash, substr(hash, 1, 8) AS hash_prefix FROM files",
@@ -287,7 +349,15 @@ ORACLES = {
     "valid_files": f"WITH {FILES}, {LINES}, {VALID} SELECT path, valid FROM valid",
     "ingest_responses": f"WITH {OUTCOME} SELECT * FROM outcome",
     "batch_summary": f"WITH {OUTCOME} SELECT count(*) AS total_processed, count_if(status = 'ingested')::BIGINT AS successful, count_if(status = 'processing_failed')::BIGINT AS failed, count_if(is_duplicate)::BIGINT AS duplicates FROM outcome",
-    "directory_summary": f"WITH {OUTCOME} SELECT count(*) AS total_files, count(*) AS successful, 0::BIGINT AS failed, count_if(status = 'ingested')::BIGINT AS ingested, count_if(status = 'processing_failed')::BIGINT AS processing_failed FROM outcome",
+    "valid_layout": "SELECT conv_id, conv_id % 5 <> 0 AS valid FROM conversations GROUP BY conv_id",
+    "size_check": f"WITH {FILES} SELECT doc_id, CASE WHEN length > {SMALL} THEN 'File size ' || length || ' bytes exceeds maximum {SMALL} bytes' END AS message FROM files",
+    "directory_results": f"WITH {OUTCOME} SELECT path AS file, path NOT LIKE '%7.pdf' AS success, CASE WHEN path NOT LIKE '%7.pdf' THEN document_id END AS document_id, CASE WHEN path NOT LIKE '%7.pdf' THEN message END AS message, CASE WHEN path LIKE '%7.pdf' THEN 'OSError: unreadable' END AS error FROM outcome",
+    "directory_answer": f"WITH {OUTCOME} SELECT 'Directory processing complete' AS message, '/landing' AS directory, count(*) AS total_files, count_if(path NOT LIKE '%7.pdf')::BIGINT AS successful, count_if(path LIKE '%7.pdf')::BIGINT AS failed, NULL::BIGINT AS files_processed FROM outcome",
+    "extracts": f"""{EXTRACTS} SELECT path, text, error, CASE WHEN error IS NULL THEN pages::VARCHAR END AS pages, CASE WHEN error IS NULL THEN 'layout' END AS processor, CASE WHEN error IS NULL THEN 'a reader' END AS producer FROM extracted""",
+    "extract_stats": f"""{EXTRACTS} SELECT count_if(error IS NULL)::BIGINT AS successful, count_if(error IS NOT NULL)::BIGINT AS failed, sum(0.5)::DOUBLE AS total_time, min(path::BIGINT)::DOUBLE AS start_time FROM extracted""",
+    "is_batch_layout": f"""WITH {BLOCKS}, good AS (SELECT path, page_no, own, text FROM pages WHERE conv_id % 10 <> 7), {_batch_sql('good', 'path', LAYOUT_KEYWORDS, "coalesce(own, '')")}""",
+    "metadata_or_empty": "SELECT event_id, CASE WHEN event_id % 3 = 0 AND json_type(props) = 'OBJECT' THEN props ELSE '{}' END AS metadata, CASE WHEN event_id % 3 = 1 THEN 'metadata is not an object' END AS error FROM events",
+    "directory_summary": f"WITH {OUTCOME} SELECT count(*) AS total_files, count_if(path NOT LIKE '%7.pdf')::BIGINT AS successful, count_if(path LIKE '%7.pdf')::BIGINT AS failed, count_if(status = 'ingested')::BIGINT AS ingested, count_if(status = 'processing_failed')::BIGINT AS processing_failed FROM outcome",
     "storage_stats": f"WITH {FILES} SELECT {STORAGE} FROM files",
     "service_stats": f"WITH {FILES} SELECT {STORAGE}, 100::BIGINT AS max_file_size_mb, 3 AS retry_attempts FROM files",
     "pdf_count_by_folder": f"WITH {FILES}, seen AS (SELECT source AS folder, count(*) AS n FROM files GROUP BY source) SELECT folder, true AS exists, n AS pdf_count FROM seen UNION ALL SELECT 'empty', false, 0",
@@ -297,7 +367,7 @@ ORACLES = {
     "find_by_id": f"WITH {FILES}, {_catalog_sql()} SELECT 'URN:UUID:{{' || upper(id) || '}}' AS asked, id, original_filename FROM catalog",
     "latest_status": "SELECT user_id AS id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "metadata_extract": "SELECT event_id, json_type(props) = 'OBJECT' AS is_object, json_extract_string(props, '$.k')::INT AS k FROM events",
-    "metadata_merge": "SELECT event_id, event_type AS k, user_id AS user FROM events",
+    "metadata_merge": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, event_type AS kind, user_id AS user FROM events",
     "is_batch": f"WITH {FILES}, {LINES}, {_batch_sql('lines', 'path', KEYWORDS)}",
     "is_batch_standard": f"WITH {FILES}, {LINES}, {_batch_sql('lines', 'path', batch.BATCH_KEYWORDS)}",
     "page_difference": f"WITH turns AS (SELECT conv_id, turn AS page_no, text FROM conversations), {_batch_sql('turns', 'conv_id', ())}",

@@ -31,7 +31,7 @@ def landing_files(spark: SparkSession, path: str, type_: str) -> DataFrame:
 def ingest_landing(
     spark: SparkSession, path: str, type_: str, settings: Settings, work: str, validity: Callable[[DataFrame], DataFrame], on_responses: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
-    """Ingest what has landed and stop (start again for more); ``validity`` gives (path, valid) of a batch of files."""
+    """Ingest what has landed and stop (start again for more); ``validity`` gives (path, valid), and maybe is_batch, of a batch of files."""
 
     def one(files: DataFrame, batch: int) -> None:
         found = ingest(files.sparkSession, files, validity(files), settings, f"{work}/batch={batch}")

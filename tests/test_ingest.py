@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from docloom.__main__ import main
 from docloom.config import Settings
 from docloom.operators import batch, headers, stats, validity
+from docloom.plans import routes
 from docloom.plans.catalog import Catalog
-from docloom.plans.extract import extracted, write_extracts
+from docloom.plans.extract import extract, extracted, write_extracts
 from docloom.plans.ingest import ingest
 from docloom.sources import files, markdown, pdf
 from docloom.streaming.landing import ingest_landing
@@ -66,6 +67,88 @@ def test_a_folder_end_to_end(spark, place):
     catalog.drop()
 
 
+class Limited(Small):
+    def session(self, name="limited"):
+        spark = super().session(name)
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+        return spark
+
+
+def test_an_oversize_file_is_never_read(spark, place):
+    landing, base, tmp = place
+    own = Limited(storage_dir=base.storage_dir, catalog_dir=base.catalog_dir)
+    session = own.session()
+    try:
+        answer, results = routes.ingest_directory(session, str(landing), "abstract", own, reader=reader)
+        row = json.loads(answer.toJSON().first())
+        assert row == {"message": "Directory processing complete", "directory": str(landing), "total_files": 5, "successful": 5, "failed": 0}
+        got = {r.file.rpartition("/")[2]: r.response.message for r in results.collect()}
+        assert got["e.pdf"] == "Processing failed: File size 200 bytes exceeds maximum 100 bytes" and got["a.pdf"] == "Document successfully ingested" and got["b.PDF"] == "Document already exists"
+        assert Catalog(session, own.catalog_dir).rows().count() == 1
+    finally:
+        session.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_a_batch_is_noted_and_taken_in_as_one(spark, place):
+    landing, own, _ = place
+    (landing / "deep/many.pdf").write_text("Abstract: one thing\fanother thing")
+    got = {r.original_filename: r for r in routes.take_in(files.scan_directory(spark, str(landing / "deep"), "abstract"), own, reader).collect()}
+    assert {n: (r.is_batch, r.status) for n, r in got.items()} == {"many.pdf": (True, "ingested"), "g.pdf": (False, "ingested")}
+
+
+def test_routes_and_their_answers(spark, place, tmp_path):
+    landing, own, _ = place
+    up = routes.ingest_upload(spark, "u.pdf", b"first document", "abstract", own, reader=reader).first()
+    assert up.success and up.document.original_filename == "u.pdf" and (up.message, up.source) == ("Document ingested successfully", "upload")
+    local = routes.ingest_local(spark, str(landing / "a.pdf"), "abstract", own, reader=reader).first()
+    assert local.document.is_duplicate and local.document.document_id == up.document.document_id and local.file_path == str(landing / "a.pdf")
+    bad = routes.ingest_upload_batch(spark, "v.pdf", b"bad file", "abstract", own, reader=reader).first()
+    assert (bad.total_processed, bad.failed, bad.errors) == (1, 1, ["Batch processing failed: Invalid or corrupted PDF file"])
+    good = routes.ingest_local_batch(spark, str(landing / "deep/g.pdf"), "publication", own, reader=reader).first()
+    assert (good.total_processed, good.successful, good.failed, good.duplicates, len(good.documents)) == (1, 1, 0, 0, 1)
+    (tmp_path / "none").mkdir()
+    answer, results = routes.ingest_directory(spark, str(tmp_path / "none"), "abstract", own, reader=reader)
+    assert json.loads(answer.toJSON().first()) == {"message": "No PDF files found in directory", "directory": str(tmp_path / "none"), "files_processed": 0} and results.count() == 0
+
+
+def test_extraction_reads_once_and_measures(spark, place, capsys, monkeypatch):
+    landing, own, tmp = place
+    made = []
+
+    def make(options):
+        made.append(options)
+        return lambda content: pdf.Document(reader(content), {"producer": "stub", "pages": 99, "use_llm": None})
+
+    pdf.register("stub", make)
+    own = Settings(storage_dir=own.storage_dir, catalog_dir=own.catalog_dir, reader="stub", use_llm=True)
+    found = extract(routes.extract_inputs(spark, str(landing)), own, str(tmp / "x"))
+    got = {r.path.rpartition("/")[2]: r for r in found.collect()}
+    assert made[0]["use_llm"] is True and made[0]["output_format"] == "markdown" and len(got) == 5
+    told = json.loads(got["a.pdf"].metadata)
+    assert (told["producer"], told["pages"], told["processor"], told["use_llm"]) == ("stub", 1, "stub", True)
+    assert got["d.pdf"].error == "ValueError: not a document" and got["d.pdf"].text is None and got["d.pdf"].metadata == "{}"
+    counts = stats.extract_stats(found).first()
+    assert (counts.successful, counts.failed) == (4, 1) and counts.total_time > 0 and counts.start_time == min(r.started for r in got.values())
+    for name, value in (("DOCLOOM_READER", "stub"), ("CATALOG_DIR", own.catalog_dir)):
+        monkeypatch.setenv(name, value)
+    assert main(["extract", str(landing / "a.pdf"), str(tmp / "out")]) == 0
+    assert f"Saved: {tmp}/out/a.md" in capsys.readouterr().out and json.loads((tmp / "out/a.json").read_text())["producer"] == "stub"
+    assert main(["extract", str(landing), str(tmp / "out")]) == 1 and main(["extract", str(landing / "zz.pdf"), str(tmp / "out")]) == 1
+    monkeypatch.setenv("STORAGE_DIR", own.storage_dir)
+    capsys.readouterr()
+    assert main(["ingest", "--file", str(landing / "a.pdf"), "--type", "abstract"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert lines[0]["message"] == "Document successfully ingested" and lines[1]["successful"] == 1
+    with pytest.raises(ValueError):
+        pdf.reader_of(Settings(reader="unheard of"))
+
+
+def test_health(spark):
+    from docloom.config import is_healthy
+
+    assert is_healthy(spark) and Settings(max_file_size_mb=1 << 20).session().conf.get("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_sources_refuse_what_they_should(spark, place):
     landing, _, _ = place
     for ask in (lambda: files.scan_directory(spark, str(landing / "none"), "abstract"), lambda: files.scan_directory(spark, str(landing / "a.pdf"), "abstract"), lambda: files.scan_file(spark, str(landing / "f.txt"), "abstract"), lambda: files.scan_file(spark, str(landing / "z.pdf"), "abstract"), lambda: files.scan_directory(spark, str(landing), "book"), lambda: files.uploads(spark, [("x.txt", b"")], "abstract")):

@@ -9,8 +9,8 @@ from docloom.functions import text as fn
 
 #: (a, b, whether they are different)
 PAIRS = [
-    ("This is a test document about melanoma research", "This is a test document about cancer research", False),
-    ("This is a test document about melanoma research", "Completely different topic about engineering", True),
+    ("the quick brown fox jumps over one lazy dog", "The quick brown cat jumps over one lazy dog", False),
+    ("the quick brown fox jumps over one lazy dog", "rain fell on a red roof all week", True),
     ("", "some text", True),
     ("text", "", True),
     ("", "", True),
