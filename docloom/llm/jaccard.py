@@ -11,13 +11,21 @@ One tree over all points cannot prune (boxes of unrelated points in so many
 dimensions cover everything), so points are first dealt to tiles: sets that are
 similar share a shingle, or with ``SHARED`` - 1 more at least ``SHARED`` of
 them, among the first quarter in any fixed order, here frequent shingles last,
-then by hash. Each set's tile is that of its most frequent such shingle, cut
-into tiles of bounded size, and the tiles to walk together are those that share
-any such shingle. Equal sets are one class and stand for their copies. A walk
-takes the documents that share so many shingles with the other tile's documents
-of fitting sizes. A walk emits no more links than join its documents up (links
-within one component follow), so large groups of near copies give rows in
-proportion to their size.
+then by hash. Equal sets are one class and stand for their copies. A set's tile
+is that of its most frequent such shingle, cut into tiles of bounded size.
+
+1. Each tile is walked with itself. What is linked there is one component.
+2. Components that have a shingle in very many sets are dealt to tiles by one
+   such shingle, each with one set that has it, and these tiles are walked; and
+   again by other shingles while that joins components. So a large group of near
+   copies shrinks by a tile's size a round, whatever its size is.
+3. Tiles that share a shingle are walked together, but only with sets of
+   different components: the pairs that could still join two. A component of more
+   than a tile has tiles of its own, which don't meet one another.
+
+A walk takes the documents that share so many shingles with the other tile's
+documents of fitting sizes, and emits a row for each component that it joins to
+another, so rows are in proportion to the sets.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and no links; repeated rows and rows of null doc_id count like others;
@@ -27,6 +35,7 @@ to be a stored Parquet table; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +55,10 @@ MOST_FREQUENT = 1 << 18
 #: Similar sets have so many shingles in common (fewer, if 0.75 of a set is less) among the first quarter and ``SHARED`` more.
 SHARED = 3
 TILE_DOCS = 256
+#: Rows of one group that needs several tiles meet their number in so many places.
+SALTS = 16
+#: Components are joined by so many sets that stand for them while a round joins one in so many.
+SPEAKERS, LEAST_JOINED = 4, 50
 TILE_SHINGLES = 1 << 21
 CHUNK_SHINGLES = 1_000_000
 #: Links: 100 * overlap >= PERCENT * size of the union.
@@ -173,38 +186,40 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("num"), "key").limit(MOST_FREQUENT).collect()], np.int64).astype(U64))
 
 
-SETS = "rid long, doc_id long, n long, cls long, cls2 long, point binary, keys array<long>"
+SETS = "rid long, doc_id long, n long, cls long, point binary, keys array<long>"
+#: A task remembers so many classes, to give the keys of copies that stand near each other once.
+MOST_SEEN = 1 << 18
 
 
-def _signed(x: list[int]) -> list[int]:
-    return [v - (1 << 64) if v >> 63 else v for v in x]
-
-
-def set_class(s: np.ndarray) -> tuple[int, int]:
-    """Two hashes of a set: equal for equal sets alone, but for chance."""
-    a, b = int(mixed(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64)), int(mixed(s ^ U64(0x9E6C63D0876A9F4D)).sum(dtype=U64))
-    return _signed([a])[0], _signed([b])[0]
+def set_class(s: np.ndarray) -> int:
+    """A hash of a set: equal for equal sets alone, but for chance."""
+    return int(mixed(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64).astype(np.int64))
 
 
 def _describe(frequent: np.ndarray, width: int):
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        if len(frequent):
+            last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+            s = np.concatenate([s[~last], s[last]])
+        return s[: len(s) - -(-PERCENT * len(s) // 100) + SHARED].astype(np.int64)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), width))
             classes = [set_class(s) for s in sets]
             keys = []
-            for s in sets:
-                if len(frequent):
-                    last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~last], s[last]])
-                keys.append(s[: len(s) - -(-PERCENT * len(s) // 100) + SHARED].astype(np.int64))
+            for c, s in zip(classes, sets, strict=True):
+                keys.append(s[:0].astype(np.int64) if c in seen else keys_of(s))
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen.add(c)
             yield pa.record_batch(
                 [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()),
-                    pa.array([packed_point(point(x)) for x in sets], pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
+                    pa.array([packed_point(point(x)) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["rid", "doc_id", "n", "cls", "cls2", "point", "keys"],
+                names=["rid", "doc_id", "n", "cls", "point", "keys"],
             )
 
     return describe
@@ -245,7 +260,7 @@ def _sides(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _allowed(g: dict[str, np.ndarray], points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a walk that the bound leaves. Sets that may be similar have equal numbers of groups or neighbouring ones."""
+    """Pairs of different components in a walk that the bound leaves. Sets that may be similar have equal numbers of groups or neighbouring ones."""
     a, b = _sides(g)
     groups = np.array([len(p) for p in points])
     found = [(a[:0], b[:0], a[:0])]
@@ -256,7 +271,9 @@ def _allowed(g: dict[str, np.ndarray], points: list[np.ndarray]) -> tuple[np.nda
                 i, j, bound = tree_join(np.stack([folded(points[k], least) for k in x]), g["n"][x], np.stack([folded(points[k], least) for k in y]), g["n"][y])
                 found.append((x[i], y[j], bound))
     i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = (i < j) if g["ta"][0] == g["tb"][0] else np.ones(len(i), bool)
+    keep = g["comp"][i] != g["comp"][j]
+    if g["ta"][0] == g["tb"][0]:
+        keep &= i < j
     return i[keep], j[keep], bound[keep]
 
 
@@ -264,15 +281,17 @@ def _bounded(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
     """Of a walk, the documents that the bound leaves in some pair."""
     i, j, _ = _allowed(g, [unpacked_point(p, n) for p, n in zip(g["point"], g["n"].tolist(), strict=True)])
     left = np.unique(np.concatenate([i, j]))
-    return pa.record_batch([g[c][left] for c in ("ta", "tb", "side", "cls")], names=["ta", "tb", "side", "cls"]) if len(left) else None
+    kept = ("ta", "tb", "side", "cls", "comp")
+    return pa.record_batch([g[c][left] for c in kept], names=kept) if len(left) else None
 
 
 def _verified(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """Links of a walk that join its documents up: a pair is verified unless found links connect it already."""
+    """(a, b) for each component of a walk that links join to others: b is the least of them. A pair is verified unless it is joined already."""
     sets = [np.frombuffer(s, "<u8") for s in g["shingles"]]
     i, j, bound = _allowed(g, [point(x) for x in sets])
     order = np.argsort(-bound / (g["n"][i] + g["n"][j]), kind="stable")
-    root = list(range(len(sets)))
+    comps, of = np.unique(g["comp"], return_inverse=True)
+    root, of = list(range(len(comps))), of.tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -280,23 +299,22 @@ def _verified(g: dict[str, np.ndarray]) -> pa.RecordBatch | None:
             x = root[x]
         return x
 
-    found = []
     for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        ra, rb = find(a), find(b)
+        ra, rb = find(of[a]), find(of[b])
         if ra != rb:
             both = np.sort(np.concatenate([sets[a], sets[b]]), kind="stable")
             if linkable(np.count_nonzero(both[1:] == both[:-1]), len(sets[a]), len(sets[b])):
-                root[ra] = rb
-                found.append((a, b))
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return pa.record_batch([g["cls"][a], g["cls"][b]], names=["a", "b"])
+                root[max(ra, rb)] = min(ra, rb)
+    least = np.array([find(x) for x in range(len(root))], np.int64)
+    moved = np.flatnonzero(least != np.arange(len(root)))
+    return pa.record_batch([comps[moved], comps[least[moved]]], names=["a", "b"])
 
 
 def _sets_of(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column(1), width))
-            if [set_class(s)[0] for s in found] != batch.column(0).to_pylist():
+            if [set_class(s) for s in found] != batch.column(0).to_pylist():
                 raise RuntimeError("the documents changed between the passes; join a stored table")
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "shingles"])
 
@@ -332,58 +350,136 @@ def _renamed(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
     return df.join(up.withColumnRenamed("at", column), column, "left").select(*(new.alias(c) if c == column else c for c in df.columns))
 
 
-def tiles(keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(cls, tile): the tile of each class; ``keys`` has (key, df, cls), ``sizes`` (cls, n)."""
-    led = keys.groupBy("cls").agg(F.max(F.struct("df", "key")).getField("key").alias("leader")).join(sizes, "cls")
-    cut = led.groupBy("leader").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum("n") / TILE_SHINGLES)).alias("cut"))
-    return led.join(cut, "leader").select("cls", F.xxhash64("leader", F.pmod(F.xxhash64("cls", F.lit(7)), "cut")).alias("tile"))
-
-
-def _joined(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """All rows (rid, doc_id, n, cls), and of each class the row that stands for its component: ``first`` (no id, doc_id, rid)."""
-    rows = numbered(docs.select("doc_id", "text")).select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_shingles(docs.select("text"), width)
-    sets = staged(rows.mapInArrow(_describe(frequent, width), SETS), "sets")
-    full = sets.where("n > 0")
-    classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.first("n").alias("n")).withColumn("rid", F.col("first.rid"))
-    keyed = full.select(F.explode("keys").alias("key"), "cls")
-    shared = staged(keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("key", "df"), "shared")
-    keys = staged(keyed.join(shared, "key").distinct(), "keys", drop=shared)
-
-    placed = tiles(keys, classes.select("cls", "n", "rid"))
-    members = staged(placed.join(classes, "cls").join(sets.select("rid", "point"), "rid").select("cls", "rid", "tile", "n", "point"), "members")
-    met = staged(keys.join(members.select("cls", "tile", "n"), "cls").select("key", "cls", "tile", "n"), "met", drop=keys)
-    others = met.groupBy("key", F.col("tile").alias("other")).agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("least") * 100 <= F.col("n") * 100 * 100 / PERCENT) & (F.col("most") * 100 >= F.col("n") * PERCENT)
-    pairs = met.join(others, "key").where(fits & ((F.col("tile") != F.col("other")) | (F.col("docs") > 1)))
-    ends = (F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    counted = pairs.groupBy(*ends, "cls").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
-    taking_part = counted.where(F.col("keys") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("ta", "tb", "side", "cls")
-    walks = taking_part.join(members.select("cls", "n", "point"), "cls")
-    left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "n", "point")), "ta long, tb long, side int, cls long"), "left")
-
-    wanted = left.select("cls").distinct().join(members.select("cls", "rid"), "cls")
-    texts = rows.select("rid", "text").join(wanted, "rid").select("cls", "text")
-    found = texts.mapInArrow(_sets_of(width), "cls long, shingles binary")
-    walks = left.join(found.join(members.select("cls", "n"), "cls"), "cls")
-    links = staged(_sorted_walks(walks).mapInArrow(_by_walk(_verified, ("ta", "tb", "side", "cls", "n", "shingles")), "a long, b long"), "links")
-
-    roots = components(links).withColumnRenamed("node", "cls")
-    rooted = classes.select("cls", "first").join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return sets, staged(rooted.select("cls", "root").join(least, "root").select("cls", "first"), "components")
+def _told(rows: DataFrame, by: str, facts: DataFrame) -> DataFrame:
+    """``rows`` (cls and others) left joined with ``facts`` of few values of ``by``, each in ``SALTS`` places as a value may have very many rows."""
+    every = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(SALTS)).cast("int")).join(every, [by, "salt"], "left").drop("salt")
+
+
+def dealt_tiles(rows: DataFrame, by: str, seed: int) -> DataFrame:
+    """``rows`` (cls, n and others) with ``cut``, the number of tiles that the rows of equal ``by`` need, null if one, and ``tile``."""
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum("n") / TILE_SHINGLES))
+    cut = rows.groupBy(by).agg(need.alias("cut")).where("cut > 1")
+    place = F.pmod(F.xxhash64("cls", F.lit(seed + 7)), F.coalesce("cut", F.lit(1)))
+    return _told(rows, by, cut).select(*rows.columns, "cut", F.xxhash64(by, place, F.lit(seed)).alias("tile"))
+
+
+def _enough(n: Column) -> Column:
+    """So many keys a set has in common with a similar one."""
+    return F.least(F.lit(SHARED), F.ceil(n * PERCENT / 100))
+
+
+#: Whether a set of n shingles can be similar to one of ``least`` to ``most``.
+FITS = f"least * {PERCENT} <= n * 100 AND most * 100 >= n * {PERCENT}"
+
+
+class _Join:
+    """The stored tables of one join: rows of documents, classes of equal sets with keys that others have, and their components."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        self.width = width
+        self.rows = numbered(docs.select("doc_id", "text")).select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+        frequent = frequent_shingles(docs.select("text"), width)
+        self.sets = staged(self.rows.mapInArrow(_describe(frequent, width), SETS), "sets")
+        full = self.sets.where("n > 0")
+        self.classes = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.first("n").alias("n")).withColumn("rid", F.col("first.rid"))
+        keyed = full.select(F.explode("keys").alias("key"), "cls")
+        shared = staged(keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("key", "df"), "shared")
+        self.keys = staged(keyed.join(shared, "key").distinct(), "keys", drop=shared)
+        led = self.keys.groupBy("cls").agg(F.max(F.struct("df", "key")).getField("key").alias("leader")).join(self.classes.select("cls", "n", "rid"), "cls")
+        placed = dealt_tiles(led, "leader", 0).select("rid", "cls", "tile", "n")
+        self.members = staged(placed.join(self.sets.select("rid", "point"), "rid"), "members")
+
+    def walked(self, part: DataFrame, name: str) -> DataFrame:
+        """(a, b) joined components of the walks of ``part`` (ta, tb, side, cls, comp), bounded first and then verified."""
+        walks = part.join(self.members.select("cls", "n", "point"), "cls")
+        left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "comp", "n", "point")), "ta long, tb long, side int, cls long, comp long"), f"left_{name}")
+        return self.verified(left, name)
+
+    def verified(self, left: DataFrame, name: str) -> DataFrame:
+        wanted = left.select("cls").distinct().join(self.members.select("cls", "rid"), "cls")
+        texts = self.rows.select("rid", "text").join(wanted, "rid").select("cls", "text")
+        found = texts.mapInArrow(_sets_of(self.width), "cls long, shingles binary")
+        walks = left.join(found.join(self.members.select("cls", "n"), "cls"), "cls")
+        return staged(_sorted_walks(walks).mapInArrow(_by_walk(_verified, ("ta", "tb", "side", "cls", "comp", "n", "shingles")), "a long, b long"), f"links_{name}")
+
+    def within_tiles(self) -> DataFrame:
+        """(cls, n, tile, comp): the components that links within a tile make."""
+        met = staged(self.keys.select("key", "cls").join(self.members.select("cls", "tile", "n"), "cls"), "met")
+        own = met.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("most")).where("docs > 1")
+        counted = met.join(own, ["key", "tile"]).where(FITS).groupBy("tile", "cls").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
+        part = counted.where(F.col("keys") >= _enough(F.col("n"))).select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls", F.col("cls").alias("comp"))
+        links = self.walked(part, "within")
+        comps = self.members.select("cls", "n", "tile", F.col("cls").alias("comp"))
+        return staged(_moved(comps, links), "comps", drop=met)
+
+    def contracted(self, comps: DataFrame) -> DataFrame:
+        """Components joined by sets that stand for them, while a round joins one in ``LEAST_JOINED``.
+
+        A component is dealt by the first of its hot keys in an order of the round,
+        and up to ``SPEAKERS`` of its sets with that key speak for it: those of which
+        hot keys are the largest share, as such sets are like most others.
+        """
+        hot = self.keys.where(F.col("df") > TILE_DOCS).select("key", "cls")
+        if hot.isEmpty():
+            return comps
+        share = self.members.join(hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hots")), "cls").select("cls", "n", (F.col("hots") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + SHARED)).alias("share"))
+        hot = staged(hot.join(share, "cls"), "hot")
+        for seed in itertools.count(1):
+            split = F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(SPEAKERS)).alias("split")
+            pick = F.min(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", (-F.col("share")).alias("order"), F.xxhash64("cls", F.lit(seed + 1)).alias("tie"), "cls", "n"))
+            picks = staged(hot.join(comps.select("cls", "comp"), "cls").groupBy("comp", split).agg(pick.alias("p")).select("comp", "p.h", "p.key", "p.cls", "p.n"), "picks")
+            led = picks.groupBy("comp").agg(F.min(F.struct("h", "key")).getField("key").alias("key"), F.sum("n").alias("n"))
+            several = led.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+            led = led.join(several.select("key"), "key", "left_semi").withColumn("cls", F.col("comp"))
+            reps = staged(picks.select("comp", "cls").join(dealt_tiles(led, "key", seed).select("comp", "tile"), "comp"), "reps", drop=picks)
+            n = reps.select("comp").distinct().count()
+            links = self.verified(reps.select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls", "comp"), f"round{seed}")
+            joined = links.count()
+            if joined:
+                comps = staged(_moved(comps, links), "comps", drop=comps)
+            if joined * LEAST_JOINED <= n:
+                return comps
+
+    def between(self, comps: DataFrame) -> DataFrame:
+        """(a, b): links of components that links between different tiles make."""
+        own = dealt_tiles(comps.withColumnRenamed("tile", "first"), "comp", 0)
+        homes = own.select("cls", "comp", F.when(F.col("cut").isNotNull(), F.col("tile")).otherwise(F.col("first")).alias("tile"), "n")
+        met = staged(self.keys.select("key", "cls").join(homes, "cls"), "homes", drop=self.keys)
+        several = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        met = staged(met.join(several, "key", "left_semi"), "mixed", drop=met)
+        others = met.groupBy("key", F.col("tile").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+        foreign = met.select("key", "comp").distinct().join(others, "key").where("lo < comp OR hi > comp").select("key", "comp", "other", "least", "most")
+        pairs = met.join(foreign, ["key", "comp"]).where(f"tile <> other AND {FITS}")
+        ends = (F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+        counted = pairs.groupBy(*ends, "cls", "comp").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
+        return self.walked(counted.where(F.col("keys") >= _enough(F.col("n"))).select("ta", "tb", "side", "cls", "comp"), "between")
+
+    def result(self) -> tuple[DataFrame, DataFrame]:
+        """All rows (rid, doc_id, n, cls), and of each class the row that stands for its component: ``first`` (no id, doc_id, rid)."""
+        comps = self.contracted(self.within_tiles())
+        roots = components(self.between(comps)).withColumnRenamed("node", "comp")
+        rooted = _told(comps.select("cls", "comp"), "comp", roots).select("cls", F.coalesce("root", "comp").alias("root"))
+        rooted = self.classes.select("cls", "first").join(rooted, "cls", "left").select("cls", F.col("first").alias("own"), F.coalesce("root", "cls").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+        return self.sets, staged(_told(rooted, "root", least).select("cls", F.coalesce("first", "own").alias("first")), "components")
+
+
+def _moved(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` with each component ``a`` of ``links`` (once each) as its ``b``."""
+    return _told(comps, "comp", links.select(F.col("a").alias("comp"), F.col("b").alias("joined"))).select(*(F.coalesce("joined", "comp").alias(c) if c == "comp" else c for c in comps.columns))
 
 
 def join_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
-    sets, component = _joined(docs, width)
+    sets, component = _Join(docs, width).result()
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return sets.where("n > 0").join(component, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")).unionByName(empty)
 
 
 def first_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without those that links connect to a row of a smaller doc_id (null ids last, then the first row)."""
-    sets, component = _joined(docs, width)
+    sets, component = _Join(docs, width).result()
     stay = sets.where("n = 0").select("rid").unionByName(component.select(F.col("first.rid").alias("rid"))).distinct()
     return numbered(docs, "__rid").join(stay.withColumnRenamed("rid", "__rid"), "__rid", "left_semi").select(*docs.columns)
 

@@ -60,6 +60,31 @@ def test_components_match_brute_force(spark, table, monkeypatch, seed):
     assert got == want
 
 
+def test_work_in_a_group_of_near_copies_grows_with_its_size(table, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 16)
+    monkeypatch.setattr(jaccard, "FREQUENT_IN", 20)
+    rows = {}
+
+    def counted(df, name, **kwargs):
+        out = staged(df, name, **kwargs)
+        if name.startswith(("left", "links")):
+            rows[name[:4]] = rows.get(name[:4], 0) + out.count()
+        return out
+
+    staged = jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", counted)
+    seen = {}
+    for n in (400, 1200):
+        rng = random.Random(n)
+        texts = near_copies(rng, [f"w{i}" for i in range(90)], n, 2) + [f"{i} " + " ".join(f"w{j}" for j in range(40)) for i in range(10)]
+        got = jaccard.join_documents(table(list(enumerate(texts)), "doc_id long, text string", f"documents{n}")).collect()
+        assert {r.component_id for r in got} == {0, n}
+        seen[n] = dict(rows)
+        rows.clear()
+    assert all(seen[1200][k] <= 3.5 * seen[400][k] for k in ("left", "link")), seen
+    assert seen[1200]["link"] < 1250 and seen[1200]["left"] < 2 * 1250, seen
+
+
 def test_tree_finds_all_pairs_within_the_bound():
     rng = np.random.default_rng(5)
     base = rng.poisson(1.0, (40, 64))
