@@ -146,7 +146,7 @@ def test_extraction_reads_once_and_measures(spark, place, capsys, monkeypatch):
 def test_health(spark):
     from docloom.config import is_healthy
 
-    assert is_healthy(spark) and Settings(max_file_size_mb=1 << 20).session().conf.get("spark.sql.sources.binaryFile.maxLength")
+    assert is_healthy(spark) and Settings().session().conf.get("spark.sql.sources.binaryFile.maxLength")
 
 
 def test_sources_refuse_what_they_should(spark, place):
