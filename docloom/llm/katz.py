@@ -345,6 +345,17 @@ def _home_of(rid: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(mixed(rid.astype(U64) >> U64(9)), n)
 
 
+def _rows(rid: np.ndarray, row: np.ndarray) -> bytes:
+    """The rows that tokens stand in: the numbers of those that any does, and each token's place among them."""
+    used, at = np.unique(row, return_inverse=True)
+    return pack(rid[used]) + pack(at, 4)
+
+
+def _rows_of(data: bytes, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    cut = len(data) - 4 * tokens
+    return unpack(data[:cut]), unpack(data[cut:], 4).astype(np.int64)
+
+
 def _bigram_asks(c: Counts):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, rows in _chunks(batches):
@@ -362,7 +373,7 @@ def _bigram_asks(c: Counts):
                 key, length = _grouped(context[some])
                 begin, many = at[some], times[some]
                 each = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
-                yield _blob(0, b, key, length, pack(word[some], WORD), pack(many, 5), pack(place) + pack(row[each], 4))
+                yield _blob(0, b, key, length, pack(word[some], WORD), pack(many, 5), _rows(place, row[each]))
 
     return ask
 
@@ -392,8 +403,7 @@ def _answer(c: Counts):
         seen_score = np.log10(_discounted(counts, c.discount2) / np.repeat(divisor, length)) if len(counts) else np.zeros(0)
         for k, n, o, m, d in _columns(asked, "key", "len", "other", "num", "doc"):
             own, own_length, word, times = unpack(k, WORD), unpack(n, 5).astype(np.int64), unpack(o, WORD), unpack(m, 5).astype(np.int64)
-            rows = len(d) - 4 * int(times.sum())
-            place, doc = unpack(d[:rows]), unpack(d[rows:], 4).astype(np.int64)
+            place, doc = _rows_of(d, int(times.sum()))
             h, met = _found(contexts, own)
             w, listed = _found(vocabulary, word)
             rank = np.repeat(h, own_length)
@@ -412,8 +422,7 @@ def _answer(c: Counts):
         order = np.argsort(word, kind="stable")
         word, rid = word[order], rid[order]
         for b, at in dealt(bucket_of(mixed(word), c.buckets), c.buckets):
-            place, doc = np.unique(rid[at], return_inverse=True)
-            out.append(_blob(1, b, *_grouped(word[at]), num=pack(place), doc=pack(doc, 4)))
+            out.append(_blob(1, b, *_grouped(word[at]), doc=_rows(rid, at)))
         return pa.Table.from_batches(out, _SCHEMA)
 
     return answer
@@ -453,7 +462,7 @@ def _word_asks(c: Counts):
             rest = rest[np.argsort(at[rest], kind="stable")]
             word, row = ids[rest], row[rest]
             for b, some in dealt(bucket_of(mixed(word), c.buckets), c.buckets):
-                yield _blob(3, b, *_grouped(word[some]), num=pack(own["rid"]), doc=pack(row[some], 4))
+                yield _blob(3, b, *_grouped(word[some]), doc=_rows(own["rid"], row[some]))
 
     return ask
 
@@ -467,14 +476,14 @@ def _unigram_answer(c: Counts):
             words, counts = unpack(k, WORD), unpack(m).astype(np.int64)
         out = []
         by_kind: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {1: [], 3: []}
-        for kind, k, n, m, d in _columns(asked, "kind", "key", "len", "num", "doc"):
+        for kind, k, n, d in _columns(asked, "kind", "key", "len", "doc"):
             if kind == 2:
                 out.append(_blob(2, key[0].as_py(), doc=d))
                 continue
-            rid, doc = unpack(m), unpack(d, 4).astype(np.int64)
             at, there = _found(words, unpack(k, WORD))
             count = np.where(there, counts[at] if len(counts) else 0, 0)
             many = unpack(n, 5).astype(np.int64)
+            rid, doc = _rows_of(d, int(many.sum()))
             value = np.log10(c.unigram(count)) if kind == 1 else _base(c, count)
             sums, hits = (np.bincount(doc, np.repeat(x, many), len(rid)) for x in (value, there))
             by_kind[kind].append((rid, sums, np.rint(hits).astype(np.int64)))

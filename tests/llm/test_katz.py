@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import katz
@@ -95,3 +96,19 @@ def test_discounts():
     d = katz.good_turing([1000, 400, 220, 140, 100, 75])
     assert np.all((d[1:] > 0) & (d[1:] <= 1)) and np.all(np.diff(d[1:]) > 0)
     assert np.all(katz.good_turing([0] * 6)[1:] > 0)
+
+
+def test_asks_do_not_grow_with_the_buckets():
+    rng = np.random.default_rng(9)
+    vocabulary = np.array([f"word{i}" for i in range(20_000)])
+    texts = [" ".join(vocabulary[np.minimum(rng.zipf(1.2, 300), 20_000) - 1]) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(texts), pa.array(np.arange(2000) + (5 << 40))], names=["text", "rid"])
+    none, ones = np.zeros(0, np.int64), np.ones(katz.K + 1)
+
+    def size(n):
+        c = katz.Counts(n, 600_000, 20_000, none.astype(np.uint64), none, ones, ones, 1e-9, 1.0, none.astype(np.uint64))
+        asks = [(kind, b.num_rows and sum(len(b.column(name)[0].as_py()) for name in ("key", "len", "other", "num", "doc"))) for kind, make in (("bigram", katz._bigram_asks), ("word", katz._word_asks)) for b in make(c)(iter([batch]))]
+        return {kind: sum(x for k, x in asks if k == kind) for kind in ("bigram", "word")}
+
+    few, many = size(43), size(2500)
+    assert all(many[k] <= 2 * few[k] for k in few), (few, many)
