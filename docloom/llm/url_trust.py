@@ -30,6 +30,11 @@ RULES: tuple[Rule, ...] = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: So many hosts' scores (some 100 bytes each) are sent to all tasks.
+MOST_BROADCAST = 200_000
+SALTS = 16
+#: Rounds of a walk in one job.
+ROUNDS = 8
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 
 
@@ -68,38 +73,42 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, rounds: int = 20, tol: float = 1e-6) -> DataFrame:
-    """(host, rank, mass): what spreads from ``seed`` weights along ``edges`` (src, dst, weight); ``hosts`` has (host, seed weight).
+def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, tol: float = 1e-4) -> DataFrame:
+    """(host, rank, mass): what spreads from ``seed`` weights along ``edges`` (src, dst, weight); ``hosts`` has (host, seed weight), each host of an edge among them.
 
-    ``rank`` is the personalised PageRank after ``rounds`` rounds, or once ranks
-    move less than ``tol``, with restart, and the mass of hosts without links, on
-    the seeds; it sums to one over all hosts. ``mass`` is that of the same walk in
-    units of the seed weights, without any sum over the hosts: its seed and
-    ``damping`` times what its links bring. So it depends on the hosts that lead to
-    a host alone, however many others there are. Rounds go on until no host's mass
-    moves by ``tol``. What a round makes is checkpointed.
+    ``mass`` is a host's seed and ``damping`` times what its links bring, so it
+    depends on the hosts that lead to a host alone, however many others there are.
+    ``rank`` is its share of all mass: the personalised PageRank with restart, and
+    the mass of hosts without links, on the seeds.
+
+    Rounds move on what the round before brought, until that is less than ``tol``
+    for each host. A round moves ``damping`` times as much as the one before at
+    most, so they come to an end. ``ROUNDS`` of them are one job, whose outcome is
+    checkpointed.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
-    total = hosts.agg(F.coalesce(F.sum(seed), F.lit(0.0))).first()[0]
-    now = hosts.select("host", F.col(seed).alias("seed"), (F.col(seed) / F.lit(total) if total else F.lit(0.0)).alias("rank"), F.col(seed).alias("mass"))
-    done, moving, ranking = 0, bool(total), bool(total)
-    while moving or ranking:
-        brought = lambda c: F.sum(F.col("share") * F.col(c))
-        moved = steps.join(now.select(F.col("host").alias("src"), "rank", "mass"), "src").groupBy(F.col("dst").alias("host")).agg(brought("rank").alias("got"), brought("mass").alias("came"))
-        met = now.join(moved, "host", "left").select("host", "seed", "rank", "mass", F.coalesce("got", F.lit(0.0)).alias("got"), F.coalesce("came", F.lit(0.0)).alias("came")).checkpoint()
-        rank, mass = F.col("rank"), F.col("seed") + damping * F.col("came")
-        if ranking:
-            kept = met.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
-            rank = (1 - damping * kept) * (F.col("seed") / F.lit(total)) + damping * F.col("got")
-        change, most = met.agg(F.sum(F.abs(rank - F.col("rank"))), F.max(F.abs(mass - F.col("mass")))).first()
-        now = met.select("host", "seed", rank.alias("rank"), mass.alias("mass"))
-        done += 1
-        ranking, moving = ranking and done < rounds and change >= tol, most >= tol
-    return now.select("host", "rank", "mass")
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 1e-2, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    stay = hosts.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))
+    steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).unionByName(stay).checkpoint()
+    now = hosts.select("host", F.col(seed).alias("mass"), F.col(seed).alias("moving"))
+    brought = damping * F.col("share") * F.col("moving")
+    while (now.agg(F.max("moving")).first()[0] or 0) >= tol:
+        for _ in range(ROUNDS):
+            met = now.withColumnRenamed("host", "src").join(steps, "src")
+            now = met.groupBy(F.col("dst").alias("host")).agg(F.sum(F.coalesce(brought, "mass")).alias("mass"), F.sum(F.coalesce(brought, F.lit(0.0))).alias("moving"))
+        now = now.checkpoint()
+    total = now.agg(F.sum("mass")).first()[0]
+    return now.select("host", (F.col("mass") / F.lit(total) if total else F.lit(0.0)).alias("rank"), "mass")
+
+
+def with_scores(pages: DataFrame, scores: DataFrame) -> DataFrame:
+    """``pages`` left joined with ``scores`` by host. A host may have very many pages: few scores go to all tasks, more meet their pages in ``SALTS`` places."""
+    if scores.count() <= MOST_BROADCAST:
+        return pages.join(F.broadcast(scores), "host", "left")
+    every = scores.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("__salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(every, ["host", "__salt"], "left").drop("__salt")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 1e-2, damping: float = 0.85, tol: float = 1e-4) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A page that a rule fits gets the rule's verdict. Any other page gets its
@@ -119,11 +128,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float
     )
     linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
     hosts = seeds.join(linked, "host", "full_outer").select("host", F.coalesce("allowed", F.lit(0.0)).alias("allowed"), F.coalesce("blocked", F.lit(0.0)).alias("blocked")).checkpoint()
-    trust = personalised_rank(hosts, edges, "allowed", damping, rounds)
+    trust = personalised_rank(hosts, edges, "allowed", damping, tol)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(hosts, against, "blocked", damping, rounds)
-    scores = trust.withColumnsRenamed({"rank": "trust", "mass": "good"}).join(distrust.withColumnsRenamed({"rank": "distrust", "mass": "ill"}), "host")
+    distrust = personalised_rank(hosts, against, "blocked", damping, tol)
+    scores = trust.withColumnsRenamed({"rank": "trust", "mass": "good"}).join(distrust.withColumnsRenamed({"rank": "distrust", "mass": "ill"}), "host").checkpoint()
     bad = (F.col("ill") >= threshold) & (F.col("ill") > F.col("good"))
-    return ruled.join(scores, "host", "left").select(
+    return with_scores(ruled, scores).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust"
     )

@@ -17,7 +17,7 @@ def test_hosts_paths_and_rules(table):
     }
 
 
-def rank(hosts, edges, start, damping=0.85, rounds=20):
+def rank(hosts, edges, start, damping=0.85):
     at = {h: i for i, h in enumerate(hosts)}
     m = np.zeros((len(hosts), len(hosts)))
     for (s, d), w in edges.items():
@@ -26,12 +26,8 @@ def rank(hosts, edges, start, damping=0.85, rounds=20):
     m = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
     v = np.array([start.get(h, 0.0) for h in hosts])
     v = v / v.sum()
-    r = v.copy()
-    for _ in range(rounds):
-        got = m @ r
-        r, old = (1 - damping * got.sum()) * v + damping * got, r
-        if np.abs(r - old).sum() < 1e-6:
-            break
+    r = np.linalg.solve(np.eye(len(v)) - damping * m, v)  # all mass that doesn't go along links goes to the seeds
+    r = r / r.sum()
     return dict(zip(hosts, r, strict=True))
 
 
@@ -47,7 +43,7 @@ def test_propagation_matches_a_dense_solution(table):
     trust = rank(hosts, edges, {"good.net": 1})
     distrust = rank(hosts, {(d, s): w for (s, d), w in edges.items()}, {"bad.org": 1})
     for h in hosts:
-        assert got[h].trust == pytest.approx(trust[h], abs=1e-9) and got[h].distrust == pytest.approx(distrust[h], abs=1e-9)
+        assert got[h].trust == pytest.approx(trust[h], abs=1e-4) and got[h].distrust == pytest.approx(distrust[h], abs=1e-4)
     assert {h: got[h].verdict for h in hosts} == {"good.net": "allow", "friend.info": "allow", "other.info": "allow", "neutral.info": "allow", "farm.info": "block", "bad.org": "block", "ring.info": "block"}
 
 
@@ -61,7 +57,7 @@ def neighbourhood(k):
 
 
 def test_verdicts_of_a_neighbourhood_do_not_change_with_the_corpus(table, spark):
-    verdicts = lambda pages: {(r.host, r.path): r.verdict for r in url_trust.judge_urls(pages, rounds=1).where("host RLIKE '^[a-z]+0[.]'").collect()}
+    verdicts = lambda pages: {(r.host, r.path): r.verdict for r in url_trust.judge_urls(pages, tol=1e-2).where("host RLIKE '^[a-z]+0[.]'").collect()}
     rows = [(i, u, h, "", "") for i, (u, h) in enumerate(neighbourhood(0))]
     alone = verdicts(table(rows, SCHEMA, "small"))
     assert {p for p, v in alone.items() if v == "block"} == {("bad0.org", "/es/1"), ("bad0.org", "/x"), ("farm0.info", "/x"), ("far0.info", "/x")}
@@ -73,7 +69,7 @@ def test_verdicts_of_a_neighbourhood_do_not_change_with_the_corpus(table, spark)
 def test_masses_are_those_of_the_settled_walk(spark):
     ring = [(f"h{i}", f"h{(i + 1) % 7}", 1.0) for i in range(7)] + [("h0", "h3", 3.0)]
     hosts = spark.createDataFrame([(f"h{i}", 2.0 * (i == 1)) for i in range(7)], "host string, seed double")
-    got = {r.host: r.mass for r in url_trust.personalised_rank(hosts, spark.createDataFrame(ring, "src string, dst string, weight double"), "seed").collect()}
+    got = {r.host: r.mass for r in url_trust.personalised_rank(hosts, spark.createDataFrame(ring, "src string, dst string, weight double"), "seed", tol=1e-6).collect()}
     m = np.zeros((7, 7))
     for s, d, w in ring:
         m[int(d[1:]), int(s[1:])] += w
@@ -83,3 +79,12 @@ def test_masses_are_those_of_the_settled_walk(spark):
 
 def test_empty_table(table):
     assert url_trust.judge_urls(table([], SCHEMA, "pages", 1)).count() == 0
+
+
+def test_scores_meet_pages_alike_in_either_way(table, monkeypatch):
+    rows = [(i, u, h, "", "") for i, (u, h) in enumerate(row for k in range(3) for row in neighbourhood(k))] + [(None, None, None, "", ""), (7, "http://bad0.org/x", None, "", "")]
+    pages = table(rows, SCHEMA, "pages")
+    judged = lambda: sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in url_trust.judge_urls(pages).collect())
+    want = judged()
+    monkeypatch.setattr(url_trust, "MOST_BROADCAST", 0)
+    assert judged() == want and len(want) == len(rows)
