@@ -3,14 +3,17 @@
 Each benchmark item has a SimHash over its five-word shingles, weighted by how
 often they occur in it. A document's windows of an item's length are
 fingerprinted alike. A multi-index over the items' fingerprints of one length
-(the 64 bits in blocks, of which one has at most radius / blocks wrong bits if
-the whole has at most radius) finds every item within the radius, and the exact
-weighted Jaccard similarity of the shingles verifies what it finds.
+(the 128 bits in blocks, of which one has at most radius / blocks wrong bits if
+the whole has at most radius; a block's values with so many wrong bits are listed)
+finds every item within the radius, and the exact weighted Jaccard similarity of
+the shingles verifies what it finds. Two in five unrelated fingerprints meet in
+some block and are compared whole.
 
 Windows without a shingle of any item have similarity 0 and are not
 fingerprinted. Of one document and item the best window is returned (the first
 of equal ones). The items are taken in blocks of bounded size, each of which one
-pass over the documents serves.
+pass over the documents serves; what a pass finds is stored before the next
+block is read, so the driver holds one block at a time.
 
 Defined results: null and empty texts, and items without words, match nothing;
 an item of fewer than five words is one shingle and matches documents of just
@@ -24,20 +27,21 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_or_empty
+from docloom.llm.common import staged, text_or_empty
 from docloom.llm.words import U64, Words, mixed, shingle_hashes
 
-BITS = 64
-#: Similar texts (0.75 or more) have 11 of 64 bits wrong on average, with a deviation of 3.
-RADIUS = 20
-BLOCKS = 11
-ITEM_BLOCK_BYTES = 16 << 20
+BITS = 128
+#: Similar texts (0.75 or more) have 22 of 128 bits wrong on average, with a deviation of 4.3.
+RADIUS = 35
+BLOCKS = 12
+ITEM_BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
 #: Windows of a document that are fingerprinted at a time.
 STRETCH = 10_000
@@ -46,11 +50,22 @@ LEAKS = "doc_id long, item_id long, similarity double, start_word long, end_word
 
 def signs(shingles: np.ndarray) -> np.ndarray:
     """One row of +1 and -1 for each shingle."""
-    return ((shingles[:, None] >> np.arange(BITS, dtype=U64)) & U64(1)).astype(np.int32) * 2 - 1
+    bits = [(x[:, None] >> np.arange(64, dtype=U64)) & U64(1) for x in (shingles, mixed(shingles ^ U64(0xD6E8FEB86659FD93)))]
+    return np.concatenate(bits, axis=1).astype(np.int32) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return (sums > 0).astype(U64) @ (U64(1) << np.arange(BITS, dtype=U64))
+    """(n, 2): two halves of each fingerprint."""
+    return (sums > 0).reshape(len(sums), 2, 64).astype(U64) @ (U64(1) << np.arange(64, dtype=U64))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+def _wrong(bits: int, most: int) -> np.ndarray:
+    """All values of so many bits of which at most ``most`` are set."""
+    return np.array([sum(1 << b for b in some) for k in range(most + 1) for some in combinations(range(bits), k)], np.int64)
 
 
 class MultiIndex:
@@ -58,25 +73,34 @@ class MultiIndex:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        cuts = np.linspace(0, BITS, BLOCKS + 1).astype(int)
-        self.blocks = [(U64(a), U64((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        cuts = np.linspace(0, 64, BLOCKS // 2 + 1).astype(int).tolist()
+        self.blocks = [(half, U64(a), U64((1 << (b - a)) - 1)) for half in range(2) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.tables = []
-        for shift, mask in self.blocks:
-            values = np.arange(int(mask) + 1, dtype=U64)
-            near = np.bitwise_count(values[:, None] ^ ((prints >> shift) & mask)) <= RADIUS // BLOCKS
-            of, stored = np.nonzero(near)
-            self.tables.append((np.searchsorted(of, np.arange(len(values) + 1)), stored))
+        for block in self.blocks:
+            near = (self._values(prints, block)[:, None] ^ _wrong(int(block[2]).bit_length(), RADIUS // BLOCKS)).astype(np.int32)
+            order = np.argsort(near, axis=None, kind="stable")
+            self.tables.append((near.ravel()[order], (order // near.shape[1]).astype(np.int32)))
+
+    @staticmethod
+    def _values(prints: np.ndarray, block: tuple[int, np.uint64, np.uint64]) -> np.ndarray:
+        half, shift, mask = block
+        return ((prints[:, half] >> shift) & mask).astype(np.int64)
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the asked, place of the stored) of all pairs that meet in some block."""
+        pairs = []
+        for block, (near, stored) in zip(self.blocks, self.tables, strict=True):
+            value = self._values(asked, block).astype(np.int32)
+            begin = np.searchsorted(near, value)
+            many = np.searchsorted(near, value, side="right") - begin
+            at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs.append(np.repeat(np.arange(len(asked)), many) * len(self.prints) + stored[at])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
 
     def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the asked, place of the stored) of all pairs within the radius."""
-        pairs = []
-        for (shift, mask), (ends, stored) in zip(self.blocks, self.tables, strict=True):
-            value = ((asked >> shift) & mask).astype(np.int64)
-            many = ends[value + 1] - ends[value]
-            at = np.repeat(ends[value] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            pairs.append(np.repeat(np.arange(len(asked)), many) * len(self.prints) + stored[at])
-        i, j = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
-        keep = np.bitwise_count(asked[i] ^ self.prints[j]) <= RADIUS
+        i, j = self.candidates(asked)
+        keep = distance(asked[i], self.prints[j]) <= RADIUS
         return i[keep], j[keep]
 
 
@@ -106,7 +130,7 @@ def index_items(rows: list[tuple[int, str | None]], width: int) -> Items:
             counts.append(Counter(shingles.tolist()))
             sizes.append(len(shingles))
             words.append(len(own))
-            prints.append(fingerprints(signs(shingles).sum(axis=0)))
+            prints.append(fingerprints(signs(shingles).sum(axis=0, keepdims=True))[0])
             for s in counts[-1]:
                 holders[s].add(len(ids) - 1)
     by_size = defaultdict(list)
@@ -190,5 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float =
         items = index_items([(r.item_id, r.text) for r in own.collect()], width)
         if items.ids:
             found = rows.mapInArrow(_scan(items, width, least), LEAKS)
+            found = staged(found, f"leaks{k}") if blocks > 1 else found
             out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)

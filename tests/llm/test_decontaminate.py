@@ -68,17 +68,33 @@ def test_finds_what_brute_force_finds(spark, table, planted, monkeypatch):
         assert len(rows) == len(want) + 1 and len(want) > 10
 
 
-def test_multi_index_guarantees_the_radius():
+def test_multi_index_guarantees_the_radius_and_prunes():
     rng = np.random.default_rng(8)
-    stored = rng.integers(0, 2**63, 200).astype(U64)
-    flips = np.zeros(400, U64)
-    for k in range(400):
-        for b in rng.choice(64, rng.integers(0, 30), replace=False):
-            flips[k] ^= U64(1) << U64(b)
-    asked = stored[rng.integers(0, 200, 400)] ^ flips
-    i, j = decontaminate.MultiIndex(stored).within(asked)
-    want = {(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(asked[:, None] ^ stored[None]) <= decontaminate.RADIUS), strict=True)}
-    assert {(a, b) for a, b in zip(i, j, strict=True)} == want
+    stored = rng.integers(0, 2**63, (200, 2)).astype(U64) * U64(2) + rng.integers(0, 2, (200, 2)).astype(U64)
+    asked = stored[rng.integers(0, 200, 600)]
+    for k in range(600):
+        for b in rng.choice(128, rng.integers(0, 50), replace=False).tolist():
+            asked[k, b // 64] ^= U64(1) << U64(b % 64)
+    index = decontaminate.MultiIndex(stored)
+    i, j = index.within(asked)
+    want = {(a, b) for a, b in zip(*np.nonzero(decontaminate.distance(asked[:, None], stored[None]) <= decontaminate.RADIUS), strict=True)}
+    assert {(a, b) for a, b in zip(i, j, strict=True)} == want and len(want) > 200
+    others = rng.integers(0, 2**63, (500, 2)).astype(U64) * U64(2)
+    share = len(index.candidates(others)[0]) / (500 * 200)
+    assert 0.3 < share < 0.45
+
+
+def test_similar_windows_are_within_the_radius():
+    rng = np.random.default_rng(9)
+    far = []
+    for _ in range(2000):
+        m = int(rng.integers(11, 60))
+        shared = -(-6 * m // 7)  # of m shingles each, for a similarity of 0.75 at least
+        own = rng.integers(0, 2**63, 2 * m).astype(U64)
+        a, b = own[:m], np.concatenate([own[:shared], own[m : 2 * m - shared]])
+        x, y = (decontaminate.fingerprints(decontaminate.signs(s).sum(axis=0, keepdims=True)) for s in (a, b))
+        far.append(int(decontaminate.distance(x, y)[0]))
+    assert np.mean(np.array(far) > decontaminate.RADIUS) < 0.005 and 15 < np.mean(far) < 23
 
 
 def test_edges(spark, table, edges, no_docs):
