@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -62,6 +63,71 @@ def test_p_values_are_uniform_for_random_strings(spark):
     assert abs(p[200] - 0.5) < 0.12 and p[20] > 0.005
 
 
+def python_p(text):
+    """The battery in plain Python, with the normal tail of the standard library."""
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    enc = next((e for e, a in secrets.ENCODINGS.items() if set(text) <= set(a)), None)
+    if enc is None:
+        return None
+    alphabet = secrets.ENCODINGS[enc]
+    n, k = len(text), len(alphabet)
+    chi = k / n * sum(text.count(c) ** 2 for c in alphabet) - n
+    p_chi = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    x = [alphabet.index(c) + 1 for c in text]
+    bits = [2 * (v - 1) >= k for v in x]
+    high, runs = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:], strict=False))
+    expected = 2 * high * (n - high) / n + 1
+    p_runs = 2.0 ** (1 - n) if high in (0, n) else 2 * tail(abs(runs - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1))))
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = 99 if spread == 0 else abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread + 1 / n) * math.sqrt(n)
+    half = -sum(math.log(max(1e-15, p)) for p in (p_chi, p_runs, 2 * tail(serial)))
+    return enc, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_p_values_match_python(spark):
+    rng = random.Random(3)
+    strings = ["".join(rng.choice(a) for _ in range(rng.choice([20, 21, 33, 64, 200]))) for a in secrets.ENCODINGS.values() for _ in range(12)]
+    strings += ["a1" * 20, "a" * 25, "abcdefghijklmnopqrstuvwxyz0123456789", "user_name_of_the_person_1_and_2", "A+_" * 9]
+    df = spark.createDataFrame([(s,) for s in strings], "s string").select("s", F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("stop"), F.col("s").alias("found"))).alias("c"))
+    for r in secrets.with_tests(df, "c").collect():
+        want = python_p(r.s)
+        if want is None:
+            assert r.c == []
+        else:
+            assert r.c[0].enc == want[0] and abs(r.c[0].p - want[1]) < 1e-4, r.s
+
+
+def test_false_share_among_added_spans_where_patterns_abound(table):
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    vocabulary = ["user", "Order", "invoice", "Total", "monthly", "report", "Region", "sales"]
+    named = lambda: "_".join(rng.choice(vocabulary) for _ in range(4)) + f"_{rng.randrange(2000, 2030)}_v2"
+    covered = [f"token = {draw(40)}" for _ in range(2000)]
+    bare = [f"see {draw(40)}!" for _ in range(60)]
+    plain = [f"open {named()}." for _ in range(400)]
+    docs = table([(i, t) for i, t in enumerate(covered + bare + plain)], "doc_id long, text string")
+    added = {r.doc_id for r in secrets.scan(docs).collect() if any(s.kind == "random" for s in r.spans)}
+    true = {i for i in added if 2000 <= i < 2060}
+    assert len(true) >= 50 and len(added - true) <= 0.2 * len(added) and not {i for i in added if i < 2000}
+
+
+def test_very_many_matches_in_one_text(spark, table):
+    rng = random.Random(5)
+    text = " é ".join(f"{rng.getrandbits(64):016x}" if i % 3 else f"secret: {rng.getrandbits(64):016x}" for i in range(4000))
+    docs = table([(1, text), (2, "x " + text[:2000])], "doc_id long, text string")
+    for r in secrets.scan(docs).collect():
+        whole = text if r.doc_id == 1 else "x " + text[:2000]
+        assert [(s.start, s.rank, s.stop, s.kind) for s in r.spans] == brute(whole)
+    for r in secrets.redacted(docs).collect():
+        whole, out, at = (text if r.doc_id == 1 else "x " + text[:2000]), [], 0
+        for a, _, b, _ in brute(whole):
+            if a >= at:
+                out += [whole[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r.text == "".join(out) + whole[at:]
+
+
 def test_redaction_and_edges(spark, table, edges, no_docs):
     docs = table([(1, "a token=abcdefghijkl b AKIA" + "A1" * 8 + "!"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {1: "a [SECRET] b [SECRET]!", 2: "clean", 3: None}
