@@ -20,19 +20,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import shared_dir, text_or_empty
+from docloom.llm.common import numbered, shared_dir, text_or_empty
 
-BUCKET = "__bucket"
+BUCKET, PLACE = "__bucket", "__place"
 SHARD_COLUMNS = ("shard", "slot")
 
 
 def scatter(docs: DataFrame, n_buckets: int, seed: int) -> DataFrame:
-    """Pass one: a uniform bucket for each record.
+    """Pass one: a uniform bucket for each record, with its place.
 
-    ``docs`` has to be a stored table: a record's place in it is what is hashed,
-    so a task that runs again deals its records as before.
+    ``docs`` has to be a stored Parquet table: a record's place in it, by file, is
+    what is hashed, so however the files are split a record is dealt as before.
     """
-    return docs.withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int"))
+    return numbered(docs, PLACE).withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), PLACE), F.lit(n_buckets)).cast("int"))
 
 
 def bucket_offsets(counts: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def _shuffled(rows: int, n_shards: int, seed: int, names: list[str]):
         before, expected = right["__before"][0].as_py(), right["__rows"][0].as_py()
         if expected != left.num_rows:
             raise RuntimeError("the input changed between the passes; shuffle a stored table")
-        order = np.arange(left.num_rows)
+        order = np.argsort(left[PLACE].to_numpy(), kind="stable")  # a shuffle brings a bucket's records in any order
         np.random.default_rng([seed, key[0].as_py()]).shuffle(order)
         place = before + np.arange(left.num_rows, dtype=np.int64)
         shard = place * n_shards // rows

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -39,6 +40,30 @@ def test_rules_generalise(labelled):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_compiled_score_matches_plain_python(labelled):
+    docs, labels = labelled
+    found = quality.with_statistics(docs.drop("score"))
+    rules = quality.fit(found, labels)
+    got = quality.scored(found, rules).collect()
+    for r in got:
+        total = rules.intercept + sum(w for rule, w in rules.weights if all((r[f] <= t) == at_most for f, at_most, t in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12) and r.predicted == int(r.score >= 0.5)
+    # and the statistics themselves, by hand
+    for r in got[:40]:
+        text = r.text or ""
+        words = text.lower().split(" ") if text else []
+        assert r.st_words == pytest.approx(math.log1p(len(words))) and r.st_chars == pytest.approx(math.log1p(len(text)))
+        assert r.st_distinct_words == pytest.approx(len(set(words)) / max(1, len(words)))
+        assert r.st_distinct_pairs == pytest.approx(len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1))
+        assert r.st_top_word == pytest.approx(max(map(words.count, words), default=0) / max(1, len(words)))
+
+
+def test_very_long_texts(table):
+    long = "word " * 400_000 + "end"
+    got = quality.with_statistics(table([(1, long), (2, "word end")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].st_words == pytest.approx(math.log1p(400_001)) and got[0].st_top_word == pytest.approx(400_000 / 400_001) and got[1].st_distinct_words == 1
+
+
 def test_one_kind_of_label_and_none(labelled, no_docs):
     docs, labels = labelled
     found = quality.with_statistics(docs)
