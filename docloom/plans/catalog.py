@@ -1,22 +1,34 @@
 """The catalog: an append-only table of documents and a log of their statuses.
 
-Both are parquet folders. A document's status is the latest of its row and the
-log, so no row is ever rewritten. One writer appends at a time; ``check`` finds
+Both are parquet folders, partitioned by the first two digits of the hash, with
+which an id begins as well, so what looks for few documents reads few partitions.
+A document's status is the latest of its row and the log, so no row is ever
+rewritten. One writer appends at a time; ``check`` finds
 hashes that two writers brought in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import normalised_uuid
 from docloom.operators.dedup import latest_status, repeated_hashes
 from docloom.schemas import CATALOG, MOST_CHARACTERS, STATUS_LOG, STATUSES, TYPES
 
 
+SHARD, DIGITS = "shard", 2
+
+
+def shard_of(hash_or_id: Column) -> Column:
+    """The partition of a hash, or of an id that derives from it."""
+    return F.substring(hash_or_id, 1, DIGITS)
+
+
 def page_of(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page in order of (upload_date, id), with the numbers of its rows and of all as ``total`` and ``total_available``."""
     if limit < 0 or offset < 0:
@@ -43,9 +55,8 @@ class Catalog:
 
     def create(self) -> None:
         """Make empty tables where there are none."""
-        for name, schema in (("documents", CATALOG), ("status", STATUS_LOG)):
-            if not self._exists(name):
-                self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+        for name in ("documents", "status"):
+            self._at(name).getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(self._at(name))
 
     def drop(self) -> None:
         for name in ("documents", "status"):
@@ -55,16 +66,17 @@ class Catalog:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _exists(self, name: str) -> bool:
-        return self._at(name).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self._at(name))
+    def _read(self, name: str, schema: T.StructType, shards: Sequence[str] | None) -> DataFrame:
+        own = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(SHARD, T.StringType())])).parquet(f"{self.path}/{name}")
+        return (own if shards is None else own.where(F.col(SHARD).isin(*shards))).drop(SHARD)
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(STATUS_LOG).parquet(f"{self.path}/status")
+    def log(self, shards: Sequence[str] | None = None) -> DataFrame:
+        return self._read("status", STATUS_LOG, shards)
 
-    def rows(self) -> DataFrame:
-        """All documents with their present status."""
-        own = self.spark.read.schema(CATALOG).parquet(f"{self.path}/documents")
-        changed = self.log().groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
+    def rows(self, shards: Sequence[str] | None = None) -> DataFrame:
+        """All documents, or those of some shards, with their present status."""
+        own = self._read("documents", CATALOG, shards)
+        changed = self.log(shards).groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
         return own.join(changed, "id", "left").select(*(F.coalesce("__status", "status").alias(c) if c == "status" else F.coalesce("__ts", c).alias(c) if c == "updated_at" else c for c in CATALOG.names))
 
     def append(self, rows: DataFrame) -> None:
@@ -73,13 +85,14 @@ class Catalog:
         for name, most in MOST_CHARACTERS.items():
             good = good & F.col(name).isNotNull() & (F.length(name) <= most)
         checked = rows.withColumn("type", F.when(good, F.col("type")).otherwise(F.raise_error(F.lit("a catalog row has a wrong type or status, or a missing or too long text"))))
-        checked.select(*CATALOG.names).write.mode("append").parquet(f"{self.path}/documents")
+        checked.select(*CATALOG.names, shard_of(F.col("hash")).alias(SHARD)).write.mode("append").partitionBy(SHARD).parquet(f"{self.path}/documents")
 
     def find_by_hash(self, hash_: str) -> DataFrame:
-        return by_hash(self.rows(), hash_)
+        return by_hash(self.rows([hash_[:DIGITS]]), hash_)
 
     def find_by_id(self, id_: str) -> DataFrame:
-        return by_id(self.rows(), id_)
+        shard = self.spark.range(1).select(shard_of(normalised_uuid(F.lit(id_)))).first()[0]
+        return by_id(self.rows([shard]), id_)
 
     def exists(self, hash_: str) -> bool:
         return not self.find_by_hash(hash_).isEmpty()
@@ -98,7 +111,7 @@ class Catalog:
         found = self.find_by_id(id_).select("id", F.lit(status).alias("status"), F.current_timestamp().alias("ts"))
         if found.isEmpty():
             return False
-        found.write.mode("append").parquet(f"{self.path}/status")
+        found.withColumn(SHARD, shard_of(F.col("id"))).write.mode("append").partitionBy(SHARD).parquet(f"{self.path}/status")
         return True
 
     def statuses(self) -> DataFrame:

@@ -23,7 +23,7 @@ from docloom.functions.metadata import metadata_error, parsed
 from docloom.functions.text import normalised_uuid
 from docloom.operators.dedup import against_catalog, first_wins
 from docloom.operators.validity import size_message, too_large
-from docloom.plans.catalog import Catalog
+from docloom.plans.catalog import Catalog, shard_of
 from docloom.plans.storage import bootstrap, write_files
 from docloom.schemas import FAILED, INGESTED, RESPONSE
 from docloom.sources.files import stored_path
@@ -106,8 +106,10 @@ def catalog_rows(outcome: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, files: DataFrame, validity: DataFrame, settings: Settings, work: str, batch: bool = False) -> DataFrame:
     """Take files in: store contents, add to the catalog, return the responses.
 
-    ``work`` is a folder that all executors share; what was decided is written
-    there once and read again, so storing and cataloguing see one decision.
+    ``work`` is a folder that all executors share. The hashes are written there, so
+    contents are read once for them, and what was decided, so storing and
+    cataloguing see one decision. Of the catalog only the shards of these hashes
+    are read.
     """
     catalog = Catalog(spark, settings.catalog_dir)
     catalog.create()
@@ -116,8 +118,11 @@ def ingest(spark: SparkSession, files: DataFrame, validity: DataFrame, settings:
     rows = checked(files, validity, settings.max_file_size, BATCH if batch else SINGLE)
     hashed = rows.where(~large).withColumn("hash", F.when(F.col("failure").isNull(), content_hash(F.col("content")))).drop("content")
     hashed = hashed.unionByName(rows.where(large).drop("content").withColumn("hash", F.lit(None).cast("string")))
-    resolved(hashed, catalog.rows(), settings.storage_dir).write.mode("overwrite").parquet(work)
-    outcome = spark.read.parquet(work)
+    hashed.write.mode("overwrite").parquet(f"{work}/hashed")
+    hashed = spark.read.parquet(f"{work}/hashed")
+    shards = [r[0] for r in hashed.where("hash IS NOT NULL").select(shard_of(F.col("hash"))).distinct().collect()]
+    resolved(hashed, catalog.rows(shards), settings.storage_dir).write.mode("overwrite").parquet(f"{work}/outcome")
+    outcome = spark.read.parquet(f"{work}/outcome")
     new = outcome.where("is_new").select("path", "storage_path")
     added, several = outcome.agg(F.count_if("is_new"), F.count_if(F.col("is_batch") & (F.col("status") == INGESTED))).first()
     if several and not batch:

@@ -43,7 +43,7 @@ def take_in(files: DataFrame, settings: Settings, reader: Reader | None = None,
     """The responses of ``files``, judged and ingested."""
     spark = files.sparkSession
     work = work_dir(spark, settings)
-    return ingest(spark, files, judged(files, settings, work, reader), settings, f"{work}/outcome", batch)
+    return ingest(spark, files, judged(files, settings, work, reader), settings, work, batch)
 
 
 def _single(answers: DataFrame, message: str, **more: str) -> DataFrame:

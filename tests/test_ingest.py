@@ -62,6 +62,8 @@ def test_a_folder_end_to_end(spark, place):
     assert catalog.find_by_id("urn:uuid:" + row.id).first().status == "processing_failed" and catalog.find_by_id("none").count() == 0
     page = catalog.page(1, 1).collect()
     assert len(page) == 1 and (page[0].total, page[0].total_available) == (1, 2)
+    assert catalog.rows([row.hash[:2]]).where(F.col("hash") == row.hash).count() == 1 and catalog.rows(["zz"]).count() == 0
+    assert "PartitionFilters: [isnotnull(shard" in catalog.find_by_hash(row.hash)._jdf.queryExecution().executedPlan().toString()
     stored = stats.service_stats(files.scan_storage(spark, own.storage_dir).where("path LIKE '%.pdf'"), own.max_file_size_mb * 1048576, 3).first()
     assert stored.storage.total_files == 2 and stored.max_file_size_mb == 100
     catalog.drop()
