@@ -27,11 +27,14 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where
-    that is unset (a local session, as in tests) a temporary folder is used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, a local session (as in tests) gets a temporary folder, and any other is
+    refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
