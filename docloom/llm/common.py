@@ -41,18 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docloom/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, *, drop: DataFrame | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, *, by: str | None = None, drop: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and no stage runs twice.
 
-    ``drop`` is an earlier staged table that nothing needs any more; its files go.
+    ``by`` is a column to partition the table by. ``drop`` is an earlier staged
+    table that nothing needs any more; its files go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     for old in {f.rpartition("/")[0] for f in drop.inputFiles()} if drop is not None else ():
         folder = spark._jvm.org.apache.hadoop.fs.Path(old)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(df.columns) if by else back
 
 
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:

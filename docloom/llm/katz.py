@@ -304,7 +304,7 @@ def fit(texts: DataFrame, bucket_bytes: int = 12 << 20) -> Model:
     texts = texts.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length(text_or_empty()) + 1), F.lit(0))).first()[0]
     n = max(1, -(-size // bucket_bytes))
-    unigrams = staged(_by_bucket(texts.mapInArrow(_word_blobs(n), BLOBS), _merge_words, UNIGRAMS), "unigrams")
+    unigrams = staged(_by_bucket(texts.mapInArrow(_word_blobs(n), BLOBS), _merge_words, UNIGRAMS), "unigrams", by="bucket")
     sums = unigrams.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "words", *_N))).first()
     spectrum = [sums[x] for x in _N]
     d1 = good_turing(spectrum)
@@ -326,7 +326,7 @@ def fit(texts: DataFrame, bucket_bytes: int = 12 << 20) -> Model:
     by_word = staged(_by_bucket(texts.mapInArrow(_pair_blobs(c), BLOBS), _merge_pairs(c), PAIRS), "pairs")
     c.discount2 = good_turing(list(by_word.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in _N)).first()))
     turned = by_word.select("key", "len", "other", "num", "total").mapInArrow(_turned(c), BLOBS)
-    bigrams = staged(_by_bucket(turned, _merge_contexts(c), BIGRAMS), "bigrams", drop=by_word)
+    bigrams = staged(_by_bucket(turned, _merge_contexts(c), BIGRAMS), "bigrams", by="bucket", drop=by_word)
 
     def hot(row: dict) -> list[np.ndarray]:
         context = unpack(row["key"], WORD)

@@ -61,6 +61,7 @@ def test_scores_and_sums_to_one(spark, table, corpus):
     train = [t for i, t in corpus if i is None or i < 100]
     model = katz.fit(docs.where("doc_id IS NULL OR doc_id < 100"), bucket_bytes=1000)
     assert model.counts.buckets > 3 and len(model.counts.salted) > 3
+    assert all("/bucket=" in f for table_ in (model.unigrams, model.bigrams) for f in table_.inputFiles())
     brute = Brute(train)
     for h in [*brute.after, "never seen"]:
         assert sum(brute.p(h, w) for w in brute.one) + brute.p(h, "\0") == pytest.approx(1, abs=1e-9)
