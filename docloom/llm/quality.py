@@ -155,7 +155,7 @@ def fit(statistics_: DataFrame, labels: DataFrame, most: int = MOST_TRAINING, se
     if not rules:
         return Rules([], float(np.log((ones + 1) / (n - ones + 1))))
     held = training.select(array_to_vector(F.array(*map(holds, rules))).alias("features"), "label")
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=100).fit(held)
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=100, tol=1e-4).fit(held)
     return Rules([(rule, float(w)) for rule, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w], float(lasso.intercept))
 
 
