@@ -17,12 +17,18 @@ is that of its most frequent such shingle, cut into tiles of bounded size.
 1. Each tile is walked with itself. What is linked there is one component.
 2. Components that have a shingle in very many sets are dealt to tiles by one
    such shingle, each with one set that has it, and these tiles are walked; and
-   again by other shingles while that joins components. So a large group of near
+   again by other shingles while that moves many sets. So a large group of near
    copies shrinks by a tile's size a round, whatever its size is.
 3. Tiles that share a shingle are walked together, but only with sets of
    different components: the pairs that could still join two. A component of more
    than a tile has tiles of its own, which don't meet one another.
 
+Keys also bound overlaps: of two sets, let the one whose keys end first in the
+order have m keys that others have, of p keys and n shingles. What it shares of its
+keys are keys of the other too, so the overlap is at most m + n - p. Documents on
+the rim of a group of near copies, which link with none of it, have many shingles
+of their own and so are kept from its tiles.
+
 A walk takes the documents that share so many shingles with the other tile's
 documents of fitting sizes, and emits a row for each component that it joins to
 another, so rows are in proportion to the sets.
@@ -57,7 +63,7 @@ SHARED = 3
 TILE_DOCS = 256
 #: Rows of one group that needs several tiles meet their number in so many places.
 SALTS = 16
-#: Components are joined by so many sets that stand for them while a round joins one in so many.
+#: Components are joined by so many sets that stand for them while a round moves one set in so many.
 SPEAKERS, LEAST_JOINED = 4, 50
 TILE_SHINGLES = 1 << 21
 CHUNK_SHINGLES = 1_000_000
@@ -143,21 +149,20 @@ def tree_join(points_a: np.ndarray, sizes_a: np.ndarray, points_b: np.ndarray, s
 
 
 def _count_blobs(n: int, width: int):
-    """Shingles of the lower half of all hashes, counted, by bucket."""
+    """Shingles, counted, by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def blobs() -> Iterator[pa.RecordBatch]:
             keys, counts = tallied(np.concatenate(held))
-            for b, at in dealt(bucket_of(keys << U64(1), n), n):
+            for b, at in dealt(bucket_of(keys, n), n):
                 yield pa.record_batch([pa.array([b], pa.int32()), pa.array([pack(keys[at])]), pa.array([pack(counts[at], 5)])], names=["bucket", "key", "num"])
 
         for batch in batches:
             words = Words(batch.column(0))
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                h = shingle_hashes(words.hash[a:b], width)
-                held.append(h[h < U64(1 << 63)])
+                held.append(shingle_hashes(words.hash[a:b], width))
                 size += len(held[-1])
             if size >= CHUNK_SHINGLES:
                 yield from blobs()
@@ -181,12 +186,12 @@ def _frequent_in(least: int):
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Shingles that are put last; at most ``MOST_FREQUENT``. Which ones they are changes the cost, never the result."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0))).first()[0]
-    counted = texts.mapInArrow(_count_blobs(max(1, -(-size // (32 << 20))), width), "bucket int, key binary, num binary")
+    counted = texts.mapInArrow(_count_blobs(max(1, -(-size // (16 << 20))), width), "bucket int, key binary, num binary")
     found = counted.groupBy("bucket").applyInArrow(_frequent_in(FREQUENT_IN), "key long, num long")
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("num"), "key").limit(MOST_FREQUENT).collect()], np.int64).astype(U64))
 
 
-SETS = "rid long, doc_id long, n long, cls long, point binary, keys array<long>"
+SETS = "rid long, doc_id long, n long, cls long, last long, point binary, keys array<long>"
 #: A task remembers so many classes, to give the keys of copies that stand near each other once.
 MOST_SEEN = 1 << 18
 
@@ -197,29 +202,35 @@ def set_class(s: np.ndarray) -> int:
 
 
 def _describe(frequent: np.ndarray, width: int):
-    def keys_of(s: np.ndarray) -> np.ndarray:
+    def keys_of(s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys of a set, and the place of the last of them in the order (but for its hash's last bit)."""
+        often = np.zeros(len(s), bool)
         if len(frequent):
-            last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-            s = np.concatenate([s[~last], s[last]])
-        return s[: len(s) - -(-PERCENT * len(s) // 100) + SHARED].astype(np.int64)
+            often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+            order = np.argsort(often, kind="stable")
+            s, often = s[order], often[order]
+        n = min(len(s), len(s) - -(-PERCENT * len(s) // 100) + SHARED)
+        return s[:n].astype(np.int64), (int(s[n - 1] >> U64(1)) - (0 if often[n - 1] else 1 << 63)) if n else 0
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), width))
             classes = [set_class(s) for s in sets]
-            keys = []
+            keys, last = [], []
             for c, s in zip(classes, sets, strict=True):
-                keys.append(s[:0].astype(np.int64) if c in seen else keys_of(s))
+                own, end = keys_of(s)
+                keys.append(own[:0] if c in seen else own)
+                last.append(end)
                 if len(seen) >= MOST_SEEN:
                     seen.clear()
                 seen.add(c)
             yield pa.record_batch(
                 [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(last, pa.int64()),
                     pa.array([packed_point(point(x)) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["rid", "doc_id", "n", "cls", "point", "keys"],
+                names=["rid", "doc_id", "n", "cls", "last", "point", "keys"],
             )
 
     return describe
@@ -271,7 +282,8 @@ def _allowed(g: dict[str, np.ndarray], points: list[np.ndarray]) -> tuple[np.nda
                 i, j, bound = tree_join(np.stack([folded(points[k], least) for k in x]), g["n"][x], np.stack([folded(points[k], least) for k in y]), g["n"][y])
                 found.append((x[i], y[j], bound))
     i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = g["comp"][i] != g["comp"][j]
+    first, second = np.where(g["last"][i] <= g["last"][j], g["most"][i], 0), np.where(g["last"][i] >= g["last"][j], g["most"][j], 0)
+    keep = (g["comp"][i] != g["comp"][j]) & linkable(np.maximum(first, second), g["n"][i], g["n"][j])
     if g["ta"][0] == g["tb"][0]:
         keep &= i < j
     return i[keep], j[keep], bound[keep]
@@ -370,7 +382,13 @@ def _enough(n: Column) -> Column:
 
 
 #: Whether a set of n shingles can be similar to one of ``least`` to ``most``.
-FITS = f"least * {PERCENT} <= n * 100 AND most * 100 >= n * {PERCENT}"
+FITS = f"least * {PERCENT} <= n * 100 AND greatest_n * 100 >= n * {PERCENT}"
+#: Whether keys allow a set a link with one of those whose overlaps are bounded by ``most_there`` and whose keys end from ``begins`` to ``ends``.
+ALLOWED = f"{100 + PERCENT} * CASE WHEN last < begins THEN most WHEN last > ends THEN most_there ELSE greatest(most, most_there) END >= {PERCENT} * (n + least)"
+
+
+def _ranges() -> list[Column]:
+    return [F.min("n").alias("least"), F.max("n").alias("greatest_n"), F.max("most").alias("most_there"), F.min("last").alias("begins"), F.max("last").alias("ends")]
 
 
 class _Join:
@@ -386,27 +404,28 @@ class _Join:
         keyed = full.select(F.explode("keys").alias("key"), "cls")
         shared = staged(keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("key", "df"), "shared")
         self.keys = staged(keyed.join(shared, "key").distinct(), "keys", drop=shared)
-        led = self.keys.groupBy("cls").agg(F.max(F.struct("df", "key")).getField("key").alias("leader")).join(self.classes.select("cls", "n", "rid"), "cls")
-        placed = dealt_tiles(led, "leader", 0).select("rid", "cls", "tile", "n")
-        self.members = staged(placed.join(self.sets.select("rid", "point"), "rid"), "members")
+        led = self.keys.groupBy("cls").agg(F.max(F.struct("df", "key")).getField("key").alias("leader"), F.count(F.lit(1)).alias("m")).join(self.classes.select("cls", "n", "rid"), "cls")
+        most = F.col("m") + F.greatest(F.lit(0), F.ceil(F.col("n") * PERCENT / 100) - SHARED)
+        placed = dealt_tiles(led, "leader", 0).select("rid", "cls", "tile", "n", most.alias("most"))
+        self.members = staged(placed.join(self.sets.select("rid", "last", "point"), "rid"), "members")
 
     def walked(self, part: DataFrame, name: str) -> DataFrame:
         """(a, b) joined components of the walks of ``part`` (ta, tb, side, cls, comp), bounded first and then verified."""
-        walks = part.join(self.members.select("cls", "n", "point"), "cls")
-        left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "comp", "n", "point")), "ta long, tb long, side int, cls long, comp long"), f"left_{name}")
+        walks = part.join(self.members.select("cls", "n", "most", "last", "point"), "cls")
+        left = staged(_sorted_walks(walks).mapInArrow(_by_walk(_bounded, ("ta", "tb", "side", "cls", "comp", "n", "most", "last", "point")), "ta long, tb long, side int, cls long, comp long"), f"left_{name}")
         return self.verified(left, name)
 
     def verified(self, left: DataFrame, name: str) -> DataFrame:
         wanted = left.select("cls").distinct().join(self.members.select("cls", "rid"), "cls")
         texts = self.rows.select("rid", "text").join(wanted, "rid").select("cls", "text")
         found = texts.mapInArrow(_sets_of(self.width), "cls long, shingles binary")
-        walks = left.join(found.join(self.members.select("cls", "n"), "cls"), "cls")
-        return staged(_sorted_walks(walks).mapInArrow(_by_walk(_verified, ("ta", "tb", "side", "cls", "comp", "n", "shingles")), "a long, b long"), f"links_{name}")
+        walks = left.join(found.join(self.members.select("cls", "n", "most", "last"), "cls"), "cls")
+        return staged(_sorted_walks(walks).mapInArrow(_by_walk(_verified, ("ta", "tb", "side", "cls", "comp", "n", "most", "last", "shingles")), "a long, b long"), f"links_{name}")
 
     def within_tiles(self) -> DataFrame:
         """(cls, n, tile, comp): the components that links within a tile make."""
         met = staged(self.keys.select("key", "cls").join(self.members.select("cls", "tile", "n"), "cls"), "met")
-        own = met.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("most")).where("docs > 1")
+        own = met.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("greatest_n")).where("docs > 1")
         counted = met.join(own, ["key", "tile"]).where(FITS).groupBy("tile", "cls").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
         part = counted.where(F.col("keys") >= _enough(F.col("n"))).select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls", F.col("cls").alias("comp"))
         links = self.walked(part, "within")
@@ -414,7 +433,7 @@ class _Join:
         return staged(_moved(comps, links), "comps", drop=met)
 
     def contracted(self, comps: DataFrame) -> DataFrame:
-        """Components joined by sets that stand for them, while a round joins one in ``LEAST_JOINED``.
+        """Components joined by sets that stand for them, while a round moves one set in ``LEAST_JOINED`` of those with hot keys.
 
         A component is dealt by the first of its hot keys in an order of the round,
         and up to ``SPEAKERS`` of its sets with that key speak for it: those of which
@@ -425,6 +444,7 @@ class _Join:
             return comps
         share = self.members.join(hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hots")), "cls").select("cls", "n", (F.col("hots") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + SHARED)).alias("share"))
         hot = staged(hot.join(share, "cls"), "hot")
+        n = hot.select("cls").distinct().count()
         for seed in itertools.count(1):
             split = F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(SPEAKERS)).alias("split")
             pick = F.min(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", (-F.col("share")).alias("order"), F.xxhash64("cls", F.lit(seed + 1)).alias("tie"), "cls", "n"))
@@ -433,24 +453,28 @@ class _Join:
             several = led.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
             led = led.join(several.select("key"), "key", "left_semi").withColumn("cls", F.col("comp"))
             reps = staged(picks.select("comp", "cls").join(dealt_tiles(led, "key", seed).select("comp", "tile"), "comp"), "reps", drop=picks)
-            n = reps.select("comp").distinct().count()
             links = self.verified(reps.select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.lit(0).alias("side"), "cls", "comp"), f"round{seed}")
-            joined = links.count()
-            if joined:
+            sets = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")).join(links.withColumnRenamed("a", "comp"), "comp")
+            moved = sets.agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0]
+            if moved:
                 comps = staged(_moved(comps, links), "comps", drop=comps)
-            if joined * LEAST_JOINED <= n:
+            if moved * LEAST_JOINED <= n:
                 return comps
 
     def between(self, comps: DataFrame) -> DataFrame:
         """(a, b): links of components that links between different tiles make."""
-        own = dealt_tiles(comps.withColumnRenamed("tile", "first"), "comp", 0)
-        homes = own.select("cls", "comp", F.when(F.col("cut").isNotNull(), F.col("tile")).otherwise(F.col("first")).alias("tile"), "n")
+        # where a set's keys end at a frequent shingle, sets whose keys end alike have tiles of their own, as that bounds overlaps
+        ends_at = F.when(F.col("last") >= 0, F.col("last"))
+        large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TILE_DOCS)
+        own = _told(comps.withColumnRenamed("tile", "first").join(self.members.select("cls", "most", "last"), "cls"), "comp", large)
+        own = dealt_tiles(own.withColumn("group", F.when(F.col("size").isNotNull(), F.xxhash64("comp", ends_at)).otherwise(F.xxhash64("first", ends_at))), "group", 0)
+        homes = own.select("cls", "comp", "first", "tile", "n", "most", "last")
         met = staged(self.keys.select("key", "cls").join(homes, "cls"), "homes", drop=self.keys)
         several = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         met = staged(met.join(several, "key", "left_semi"), "mixed", drop=met)
-        others = met.groupBy("key", F.col("tile").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-        foreign = met.select("key", "comp").distinct().join(others, "key").where("lo < comp OR hi > comp").select("key", "comp", "other", "least", "most")
-        pairs = met.join(foreign, ["key", "comp"]).where(f"tile <> other AND {FITS}")
+        others = met.groupBy("key", F.col("tile").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("first").alias("walked"), F.max("first").alias("walked_to"), *_ranges())
+        foreign = met.select("key", "comp").distinct().join(others, "key").where("lo < comp OR hi > comp").drop("lo", "hi")
+        pairs = met.join(foreign, ["key", "comp"]).where(f"tile <> other AND NOT (first = walked AND first = walked_to) AND {FITS} AND {ALLOWED}")
         ends = (F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
         counted = pairs.groupBy(*ends, "cls", "comp").agg(F.count(F.lit(1)).alias("keys"), F.first("n").alias("n"))
         return self.walked(counted.where(F.col("keys") >= _enough(F.col("n"))).select("ta", "tb", "side", "cls", "comp"), "between")
