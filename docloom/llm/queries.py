@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, forest, jaccard, katz, pieces, quality, secrets, shards, url_trust, warc
+from docloom.llm import collocations, decontaminate, forest, jaccard, katz, pieces, quality, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, staged, text_or_empty
 
 
@@ -97,6 +97,28 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM words, (VALUES (1), (2), (3)) AS sizes(k)),
+counted AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+cuts AS (SELECT c.lang, c.g, c.k, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM counted WHERE k > 1 AND f >= 10) c
+  JOIN counted x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN counted y ON y.lang = c.lang AND y.g = c.g[j + 1:]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM counted WHERE k = 3 AND f >= 10),
+kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = s.lang AND i.g = s.g AND 100 * i.f >= 50 * s.a)),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
@@ -108,9 +130,11 @@ QUERIES = {
     "op8_simhash_windows": op8_simhash_windows,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_external_shuffle": op10_external_shuffle,
+    "op11_pair_naming": op11_pair_naming,
 }
 
 ORACLES: dict[str, str] = {
     "op1_legacy_archive": OP1_SQL,
     "op5_jaccard_rtree": OP5_SQL,
+    "op11_pair_naming": OP11_SQL,
 }
