@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import collocations, decontaminate, forest, jaccard, katz, pieces, quality, secrets, shards, url_trust, warc
+from docloom.llm import collocations, decontaminate, forest, jaccard, katz, packing, pieces, quality, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, staged, text_or_empty
 
 
@@ -119,6 +119,12 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
+def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pieces = packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
@@ -131,6 +137,7 @@ QUERIES = {
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_external_shuffle": op10_external_shuffle,
     "op11_pair_naming": op11_pair_naming,
+    "op12_cutting_stock": op12_cutting_stock,
 }
 
 ORACLES: dict[str, str] = {
