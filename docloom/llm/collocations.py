@@ -36,13 +36,15 @@ from docloom.llm.words import U64, _hashed, _LOWER, bucket_of, mixed, pack, runs
 
 UNKNOWN = "und"
 #: Bytes of texts in a chunk (a longer text is a chunk by itself), and tokens of the corpus for each bucket.
-CHUNK_BYTES, BUCKET_TOKENS = 8 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_TOKENS = 4 << 20, 1 << 20
 #: Parts that a language's phrases are ranked in before the parts' firsts are ranked together.
 RANK_PARTS = 16
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP[[9, 32]] = True
 _GAP |= _BREAK
+#: Bytes of an id below 2 ** 32, and of a wider one.
+SHORT, LONG = 4, 8
 #: A pair of ids and how often it stands in a chunk.
 PAIR = np.dtype([("left", "<u8"), ("right", "<u8"), ("f", "<u4")])
 NARROW = np.dtype([("left", "<u4"), ("right", "<u4"), ("f", "<u4")])
@@ -63,7 +65,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    breaks = np.cumsum(_BREAK[data], dtype=np.int64)
+    breaks = np.cumsum(_BREAK[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     first = np.ones(len(start), bool)
     first[1:] = (breaks[start[1:]] != breaks[end[:-1] - 1]) | (row[1:] != row[:-1])
     return start, end, row, first
@@ -83,9 +85,10 @@ def _chunk(number: int, table: pa.Table) -> pa.RecordBatch:
     seq = np.zeros(len(start) + int(first.sum()), U64)
     seq[np.arange(len(start)) + np.cumsum(first)] = numbers + 1
     whole, counts = data.tobytes(), np.bincount(numbers, minlength=len(distinct))
-    words = [{"lang": langs[o], "word": whole[a:b].decode(), "f": f} for o, a, b, f in zip(of[at].tolist(), start[at].tolist(), end[at].tolist(), counts.tolist(), strict=True)]
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())]))
-    return pa.record_batch([pa.array([number]), pa.array([len(start)]), pa.array([pack(seq, 4)], pa.binary()), pa.array([words], kind)], ["chunk", "n", "seq", "words"])
+    words = pa.array([whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    listed = pa.StructArray.from_arrays([pa.array(langs, pa.string()).take(pa.array(of[at])), words, pa.array(counts)], ["lang", "word", "f"])
+    listed = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), listed)
+    return pa.record_batch([pa.array([number]), pa.array([len(start)]), pa.array([pack(seq, 4)], pa.binary()), listed], ["chunk", "n", "seq", "words"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -118,14 +121,14 @@ def _ids(col: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u8").astype(U64, copy=False)
 
 
-def named_words(parts: DataFrame, words: DataFrame) -> DataFrame:
-    """Each chunk as the ids of its words (0: not frequent, or between pieces), stored: chunk, seq."""
+def named_words(parts: DataFrame, words: DataFrame, size: int) -> DataFrame:
+    """Each chunk as the ids (of ``size`` bytes) of its words (0: not frequent, or between pieces), stored: chunk, seq."""
 
     def replaced(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         seq = unpack(left["seq"][0].as_py(), 4).astype(np.int64)
         ids = np.zeros(int(seq.max(initial=0)) + 1, U64)
         ids[right["pos"].to_numpy() + 1] = right["id"].to_numpy().astype(U64)
-        return pa.table({"chunk": left["chunk"], "seq": pa.array([pack(ids[seq])], pa.binary())})
+        return pa.table({"chunk": left["chunk"], "seq": pa.array([pack(ids[seq], size)], pa.binary())})
 
     asked = parts.select("chunk", F.posexplode("words").alias("pos", "w")).select("chunk", "pos", "w.lang", "w.word")
     answers = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "pos", "id")
@@ -158,13 +161,13 @@ def _blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def asked(seqs: DataFrame, n_buckets: int, kind: np.dtype) -> DataFrame:
+def asked(seqs: DataFrame, n_buckets: int, kind: np.dtype, size: int) -> DataFrame:
     """Each chunk's distinct pairs by bucket, in order of their hashes (``ASKED``)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["seq"], strict=True):
-                _, left, right = _pairs(unpack(blob.as_py()))
+                _, left, right = _pairs(unpack(blob.as_py(), size))
                 order, at, own = _distinct(left, right)
                 if not len(at):
                     continue
@@ -205,11 +208,11 @@ def named(asks: DataFrame, n_buckets: int, kind: np.dtype, least: int, answer: b
 NAMED_COLUMNS = [c.split()[0] for c in NAMED.split(", ")]
 
 
-def paired(seqs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk with the ids of its pairs in the places of their first ids: chunk, seq."""
+def paired(seqs: DataFrame, answers: DataFrame, size: int, wider: int) -> DataFrame:
+    """Each chunk with the ids (of ``wider`` bytes) of its pairs in the places of their first ids (of ``size``): chunk, seq."""
 
     def replace(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        seq = unpack(left["seq"][0].as_py())
+        seq = unpack(left["seq"][0].as_py(), size)
         places, a, b = _pairs(seq)
         order, at, _ = _distinct(a, b)
         own = _ids(right.sort_by("bucket")["ids"])
@@ -217,25 +220,30 @@ def paired(seqs: DataFrame, answers: DataFrame) -> DataFrame:
             raise RuntimeError("a chunk's answers don't fit what it asked")
         out = np.zeros(len(seq), U64)
         out[places[order]] = np.repeat(own, np.diff(np.append(at, len(order))))
-        return pa.table({"chunk": left["chunk"], "seq": pa.array([pack(out)], pa.binary())})
+        return pa.table({"chunk": left["chunk"], "seq": pa.array([pack(out, wider)], pa.binary())})
 
     return seqs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(replace, "chunk long, seq binary")
 
 
+def _width(level: DataFrame) -> int:
+    return SHORT if (level.agg(F.max("id")).first()[0] or 0) < 1 << 32 else LONG
+
+
 def hierarchy(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """n of each lang (lang, n), and per level of words the named phrases: level 1 as (id, lang, word, f), others as (id, left, right, f)."""
     parts = chunks(docs)
     tokens = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = staged(parts.select(F.explode("words").alias("w")).groupBy("w.lang").agg(F.sum("w.f").alias("n")), "totals")
     words = vocabulary(parts, least)
-    seqs, levels, n_buckets = named_words(parts, words), [words], tokens // BUCKET_TOKENS + 1
+    size = _width(words)
+    seqs, levels, n_buckets = named_words(parts, words, size), [words], tokens // BUCKET_TOKENS + 1
     for k in range(2, longest + 1):
-        widest = levels[-1].agg(F.max("id")).first()[0] or 0
-        kind = NARROW if widest < 1 << 32 else PAIR
-        found = staged(named(asked(seqs, n_buckets, kind), n_buckets, kind, least, answer=k < longest), f"pairs{k}")
+        kind = NARROW if size == SHORT else PAIR
+        found = staged(named(asked(seqs, n_buckets, kind, size), n_buckets, kind, least, answer=k < longest), f"pairs{k}")
         levels.append(found.where("chunk IS NULL").select("id", "left", "right", "f"))
         if k < longest:
-            seqs = paired(seqs, found.where("chunk IS NOT NULL").select("chunk", "bucket", "ids"))
+            wider = _width(levels[-1])
+            seqs, size = paired(seqs, found.where("chunk IS NOT NULL").select("chunk", "bucket", "ids"), size, wider), wider
             seqs = staged(seqs, f"names{k}") if k + 1 < longest else seqs
     return totals, levels
 
