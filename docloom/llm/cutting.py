@@ -18,9 +18,11 @@ import numpy as np
 
 #: What a sequence costs, in tokens: among patterns as good, fewer and longer sequences win.
 SEQUENCE_COST = 1.0
-#: Among patterns worth as much: what a piece costs, and what one of a scarce length costs more (over 1 plus the pieces not yet covered), so that patterns are of few pieces and usable often.
-PIECE_COST, SCARCE_COST = 0.5, 5.0
+#: Among patterns worth about as much: what a piece costs, and what one of a scarce length costs more (over 1 plus the pieces not yet covered), as shares of the capacity, so that patterns are of few pieces and usable often.
+PIECE_COST, SCARCE_COST = 0.5 / 1024, 5 / 1024
 EPSILON = 1e-7
+#: Most rounds of the simplex method for each length.
+ROUNDS = 4
 
 
 def fills(capacity: int) -> list[int]:
@@ -51,22 +53,25 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, left_over: float
     """Patterns and how often to use each (not rounded), by column generation.
 
     Ends when no pattern gains, when no more than a share ``left_over`` of the tokens
-    lies in no pattern, or after four rounds a length: what is left is cut, and padded no more.
+    lies in no pattern, or after ``ROUNDS`` rounds a length: what is left is cut, and padded no more.
     """
     m, tokens = len(sizes), float(sizes @ counts)
     inverse, amount, value = np.eye(m), counts.astype(float), np.zeros(m)
     basis: list[np.ndarray | None] = [None] * m
     alone = np.arange(m)  # the length that a row of the basis leaves uncovered, or -1
-    for _ in range(4 * m):
+    for _ in range(ROUNDS * m):
         prices = value @ inverse
         if (worst := int(prices.argmin())) >= 0 and prices[worst] < -EPSILON:
             entering, column, worth, own = None, inverse[:, worst].copy(), 0.0, worst  # a length goes uncovered again
         else:
             spare = np.zeros(m)
             spare[alone[alone >= 0]] = amount[alone >= 0]
-            gain, pattern = dearest_pattern(sizes, np.maximum(prices, 0) + PIECE_COST + SCARCE_COST / (1 + spare), capacity)
+            prices = np.maximum(prices, 0)
+            gain, pattern = dearest_pattern(sizes, prices + capacity * (PIECE_COST + SCARCE_COST / (1 + spare)), capacity)
             if gain <= 0:
-                break
+                gain, pattern = dearest_pattern(sizes, prices, capacity)
+                if gain <= EPSILON * capacity:
+                    break
             entering, column, worth, own = pattern, inverse @ pattern, float(sizes @ pattern) - SEQUENCE_COST, -1
         ratio = np.where(column > EPSILON, amount / np.where(column > EPSILON, column, 1), np.inf)
         out = int(ratio.argmin())

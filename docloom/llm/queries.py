@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import collocations, decontaminate, forest, jaccard, katz, packing, pieces, quality, secrets, shards, url_trust, warc
+from docloom.llm import collocations, decontaminate, forest, jaccard, katz, packing, pieces, quality, repair, secrets, shards, url_trust, warc
 from docloom.llm.common import prepare, read_table, staged, text_or_empty
 
 
@@ -125,6 +125,11 @@ def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_bucket_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op2_katz_backoff": op2_katz_backoff,
     "op1_legacy_archive": op1_legacy_archive,
@@ -138,6 +143,7 @@ QUERIES = {
     "op10_external_shuffle": op10_external_shuffle,
     "op11_pair_naming": op11_pair_naming,
     "op12_cutting_stock": op12_cutting_stock,
+    "op13_bucket_queue": op13_bucket_queue,
 }
 
 ORACLES: dict[str, str] = {

@@ -108,7 +108,8 @@ def test_knapsack_and_plan():
         prices = rng.uniform(0, 9, 5)
         gain, pattern = cutting.dearest_pattern(sizes, prices, 20)
         assert gain == pytest.approx(best_gain(sizes.tolist(), prices.tolist(), 20)) and int(sizes @ pattern) in cutting.fills(20)
-    counts = {int(s): int(c) for s, c in zip(range(1, 100), rng.integers(0, 2000, 99), strict=True) if c}
+    parts = (np.diff([0, *sorted(rng.choice(np.arange(1, 100), 3, replace=False)), 100]) for _ in range(20_000))  # such as can all be packed
+    counts = dict(Counter(int(x) for p in parts for x in p))
     found = cutting.plan(counts, 100)
     used = Counter()
     for pattern, times in found:
