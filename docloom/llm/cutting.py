@@ -97,12 +97,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     used: Counter[int] = Counter()
     found = solve(sizes, left, capacity)
     patterns = [p.astype(np.int64) for p, _ in found]
+    for k, (_, x) in enumerate(found):
+        times = int(np.where(patterns[k] > 0, left // np.maximum(patterns[k], 1), left.max(initial=0) + 1).min())  # x may be too large by a rounding error
+        used[k] = min(int(x + EPSILON), times)
+        left -= used[k] * patterns[k]
     for k in sorted(range(len(found)), key=lambda k: (-(found[k][1] % 1), k)):
-        for times in (int(found[k][1]) + 1, int(found[k][1])):  # round up where there is enough
-            if times and (times * patterns[k] <= left).all():
-                left -= times * patterns[k]
-                used[k] += times
-                break
+        if (patterns[k] <= left).all():  # round up where there is enough
+            left -= patterns[k]
+            used[k] += 1
     for k in range(len(found)):  # what rounding left
         if more := int(np.where(patterns[k] > 0, left // np.maximum(patterns[k], 1), left.max() + 1).min()):
             left -= more * patterns[k]
