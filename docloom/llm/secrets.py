@@ -138,7 +138,7 @@ def with_tests(df: DataFrame, column: str) -> DataFrame:
         f"named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'enc', c.enc, 'k', {size}, "
         f"'squares', aggregate(transform(sequence(1, length({alphabet})), j -> pow(c.n - length(replace(c.found, substr({alphabet}, j, 1), '')), 2)), 0e0, (a, v) -> a + v), "
         f"'bits', {_by_encoding(lambda a: f"translate(c.found, '{a}', '{_half(a)}')")}, "
-        f"'x', transform(sequence(1, length(c.found)), i -> CAST(instr({alphabet}, substr(c.found, i, 1)) AS DOUBLE)))",
+        f"'x', transform(slice(split(c.found, ''), 1, length(c.found)), s -> CAST(instr({alphabet}, s) AS DOUBLE)))",
         "named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'enc', c.enc, 'x', c.x, 'high', CAST(length(replace(c.bits, '0', '')) AS DOUBLE), "
         "'runs', CAST(length(regexp_replace(c.bits, '0+|1+', 'r')) AS DOUBLE), 'mean', aggregate(c.x, 0e0, (a, v) -> a + v) / c.n, "
         "'z_chi', (c.k / c.n * c.squares - c.n - (c.k - 1)) / sqrt(2 * (c.k - 1) * (c.n - 1) / c.n))",
@@ -220,8 +220,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` (overlapping ones as one) replaced by ``mark``."""
     text = text_or_empty()
-    limits = _limits(staged(_scanned(docs.select("text").where(text.rlike(CANDIDATE))).select("__random").where(F.size("__random") > 0), "scanned"))
-    spans = _with_spans(_scanned(docs), limits)
+    scanned = staged(_scanned(docs), "scanned")
+    spans = _with_spans(scanned, _limits(scanned))
     last = lambda c: F.array_max(F.transform(c, lambda s: s["stop"]))
 
     def cut(z: Column) -> Column:

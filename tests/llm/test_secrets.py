@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -128,6 +129,23 @@ def test_very_many_matches_in_one_text(spark, table):
         assert r.text == "".join(out) + whole[at:]
 
 
+def test_a_candidate_of_a_million_characters(table):
+    rng = random.Random(7)
+    long = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    docs = table([(1, f"data:image/png;base64, {long} end"), (2, "short and clean")], "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert time.perf_counter() - began < 10
+    assert found == {1: [("random", 23, 1_000_023)], 2: []}
+
+
+def test_redaction_scans_once(table, monkeypatch):
+    calls, scanned = [], secrets._scanned
+    monkeypatch.setattr(secrets, "_scanned", lambda docs: calls.append(1) or scanned(docs))
+    docs = table([(i, f"see token=abcdefghijkl{i} here") for i in range(5)], "doc_id long, text string")
+    assert all(r.text == "see [SECRET] here" for r in secrets.redacted(docs).collect()) and len(calls) == 1
+
+
 def test_redaction_and_edges(spark, table, edges, no_docs):
     docs = table([(1, "a token=abcdefghijkl b AKIA" + "A1" * 8 + "!"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {1: "a [SECRET] b [SECRET]!", 2: "clean", 3: None}
