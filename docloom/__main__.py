@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 
 from docloom.config import Settings, app_info
 from docloom.operators.stats import batch_summary, extract_stats, service_stats
-from docloom.plans.extract import extract, work_dir, write_extracts
+from docloom.plans.extract import extract, write_extracts
 from docloom.plans.routes import extract_inputs, take_in
 from docloom.schemas import RESPONSE, TYPES
 from docloom.sources.files import SourceError, scan_directory, scan_file, scan_storage
+from docloom.work import work_dir
 
 
 def parser() -> argparse.ArgumentParser:
@@ -60,9 +61,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "extract":
             return _extract(spark, args, settings, log)
         if args.file:
-            files = scan_file(spark, args.file, args.type, args.metadata, args.batch)
+            files = scan_file(spark, args.file, args.type, args.metadata, args.batch, settings.max_file_size)
         else:
-            files = scan_directory(spark, args.directory, args.type, args.recursive, args.metadata)
+            files = scan_directory(spark, args.directory, args.type, args.recursive, args.metadata, settings.max_file_size)
     except SourceError as e:
         log.error("%s", e)
         return 1
@@ -75,14 +76,19 @@ def main(argv: list[str] | None = None) -> int:
 
 def _extract(spark: SparkSession, args: argparse.Namespace, settings: Settings, log: logging.Logger) -> int:
     """Print what was written, and the run's statistics; 1 if a file couldn't be read."""
-    found = extract(extract_inputs(spark, args.input, args.recursive), settings, work_dir(spark, settings))
+    found = extract(extract_inputs(spark, args.input, args.recursive), settings, work_dir(spark))
+    unsaved = 0
     for row in write_extracts(found, args.output).toLocalIterator():
-        print(f"Saved: {row.storage_path}")
+        if row.error is None:
+            print(f"Saved: {row.storage_path}")
+        else:
+            unsaved += 1
+            log.error("%s: %s", row.storage_path, row.error)
     for row in found.where("error IS NOT NULL").select("path", "error").toLocalIterator():
         log.error("%s: %s", row.path, row.error)
     stats = extract_stats(found)
     print(stats.toJSON().first())
-    return 1 if stats.first().failed else 0
+    return 1 if unsaved or stats.first().failed else 0
 
 
 if __name__ == "__main__":

@@ -39,10 +39,6 @@ def _truth(text: str) -> bool:
     return text.strip().lower() == "true"
 
 
-#: The largest file that Spark's source of whole files can read.
-MOST_READABLE = (1 << 31) - 1
-
-
 @dataclass(frozen=True)
 class Settings:
     max_file_size_mb: int = 100
@@ -55,6 +51,8 @@ class Settings:
     reader: str = "light"
     keywords: tuple[str, ...] = BATCH_KEYWORDS
     similarity_threshold: float = SIMILARITY_THRESHOLD
+    packed: bool = False
+    storage_mounted: bool = False
 
     @property
     def max_file_size(self) -> int:
@@ -71,6 +69,8 @@ class Settings:
             data_dir=env.get("DATA_DIR", "./data"),
             catalog_dir=env.get("CATALOG_DIR", "./catalog"),
             reader=env.get("DOCLOOM_READER", "light"),
+            packed=_truth(env.get("DOCLOOM_PACKED", "false")),
+            storage_mounted=_truth(env.get("DOCLOOM_STORAGE_MOUNTED", "false")),
         )
 
     def session(self, name: str = NAME) -> SparkSession:
@@ -79,7 +79,6 @@ class Settings:
             SparkSession.builder.appName(name)
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.task.maxFailures", str(max(1, self.retry_attempts)))
-            .config("spark.sql.sources.binaryFile.maxLength", str(min(max(self.max_file_size, 1), MOST_READABLE)))
             .getOrCreate()
         )
 

@@ -30,12 +30,15 @@ def field(c: Column, name: str, kind: str = "string") -> Column:
     return F.get_json_object(c, f"$.{name}").cast(kind)
 
 
+def _fields(c: Column) -> Column:
+    """The fields of a JSON object, parsed once; none for what isn't one."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
 def merged(left: Column, right: Column, pretty: bool = False) -> Column:
     """Two JSON objects as one; the right one's values win. Values keep their types."""
-    variants = "map<string,variant>"
-    a, b = (F.try_parse_json(parsed(c)).cast(variants) for c in (left, right))
-    kept = F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k))
-    return F.to_json(F.map_concat(kept, b), {"pretty": str(pretty).lower()})
+    both = F.map_zip_with(_fields(left), _fields(right), lambda _, a, b: F.coalesce(b, a))
+    return F.to_json(both, {"pretty": str(pretty).lower()})
 
 
 def with_values(c: Column, **values: Column) -> Column:

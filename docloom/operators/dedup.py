@@ -18,9 +18,13 @@ def first_wins(rows: DataFrame, order: str = "path", key: str = "hash", **firsts
 
 
 def against_catalog(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``rows`` with ``known``, the catalog's row of the same hash, or null; types don't matter."""
-    own = catalog.select("hash", F.struct("id", "original_filename", "storage_path", "type", "status").alias("known"))
-    return rows.join(own, "hash", "left")
+    """``rows`` with ``known``, the catalog's row of the same hash, or null; types don't matter.
+
+    Of rows that repeat a hash (there should be none) the first by id and storage path
+    is known, so a row never comes out twice.
+    """
+    own = F.struct("id", "original_filename", "storage_path", "type", "status")
+    return rows.join(catalog.groupBy("hash").agg(F.min_by(own, F.struct("id", "storage_path")).alias("known")), "hash", "left")
 
 
 def unknown_only(rows: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,15 +1,24 @@
-"""The catalog: an append-only table of documents and a log of their statuses.
+"""The catalog: a table of documents and a log of their statuses, for any number of writers.
 
-Both are parquet folders, partitioned by the first two digits of the hash, with
-which an id begins as well, so what looks for few documents reads few partitions.
-A document's status is the latest of its row and the log, so no row is ever
-rewritten. One writer appends at a time; ``check`` finds
-hashes that two writers brought in.
+Both are parquet, in shards by the first two digits of the hash, with
+which an id begins as well, so what looks for few documents reads few shards.
+A document's status is the latest of its row and the log.
+
+A commit is optimistic. A writer notes the shards' versions, looks what is there, and stages its
+rows. Then it claims the next version of each shard; of several writers one gets it, and its rows' folder is
+renamed into place at once. The others have lost that shard alone: they look again what
+is there now and try the next version. So no hash gets in twice. A claim names what was staged, so when a writer dies between
+claim and renaming, whoever comes next finishes its commit.
+
+``compact`` folds a shard's commits and statuses into one new generation, by the same claims. Readers see one generation
+or the other, whole; the one before stays until the next compaction, for those that still read it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +27,15 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import normalised_uuid
 from docloom.operators.dedup import latest_status, repeated_hashes
+from docloom.plans.claims import Claims, Head
 from docloom.schemas import CATALOG, MOST_CHARACTERS, STATUS_LOG, STATUSES, TYPES
 
-
 SHARD, DIGITS = "shard", 2
+#: Commits of a shard after which it is compacted, and shards that are worked on at a time.
+MOST_COMMITS, AT_A_TIME = 32, 16
+#: Rows of a page's range beyond which it is divided further.
+MOST_TOGETHER = 10_000
+DOCUMENTS, STATUS = "documents", "status"
 
 
 def shard_of(hash_or_id: Column) -> Column:
@@ -30,13 +44,42 @@ def shard_of(hash_or_id: Column) -> Column:
 
 
 def page_of(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page in order of (upload_date, id), with the numbers of its rows and of all as ``total`` and ``total_available``."""
+    """A page in order of (upload_date, id), with the numbers of its rows and of all as ``total`` and ``total_available``.
+
+    Rows are counted by ranges, first of days and then of ever less where a range that the page lies in
+    has too many rows, so only the page's ranges are sorted, at any offset.
+    """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
-    page = rows.orderBy("upload_date", "id").offset(offset).limit(limit)
-    total = page.agg(F.count(F.lit(1)).alias("total"))
-    available = rows.agg(F.count(F.lit(1)).alias("total_available"))
-    return page.join(F.broadcast(total)).join(F.broadcast(available))
+    inside, before, available = rows, 0, None
+    for part in (F.date_trunc("day", "upload_date"), F.date_trunc("hour", "upload_date"), F.date_trunc("second", "upload_date"), F.col("upload_date"), F.substring("id", 1, 2), F.substring("id", 1, 4)):
+        counts = inside.groupBy(part.alias("part")).count().orderBy(F.asc_nulls_first("part")).collect()
+        here = sum(r["count"] for r in counts)
+        available = here if available is None else available
+        if here <= MOST_TOGETHER + limit:
+            break
+        at, ends = before, []
+        for r in counts:
+            if at < offset + limit and at + r["count"] > offset:
+                before = before if ends else at
+                ends.append(r.part)
+            at += r["count"]
+        if not ends:
+            inside = inside.limit(0)
+            break
+        inside = inside.where((part >= F.lit(ends[0])) & (part <= F.lit(ends[-1])) if ends[0] is not None else part.isNull() | (part <= F.lit(ends[-1])))
+        if len(ends) > 1:  # a page over several ranges is not divided further
+            break
+    page = inside.orderBy(F.asc_nulls_first("upload_date"), F.asc_nulls_first("id")).offset(offset - before).limit(limit)
+    total = max(0, min(limit, available - offset))
+    return page.withColumns({"total": F.lit(total).cast("long"), "total_available": F.lit(available).cast("long")})
+
+
+def page_after(rows: DataFrame, limit: int = 100, upload_date=None, id_: str | None = None) -> DataFrame:
+    """The next page in order of (upload_date, id) after a row, or the first one: its place is a key, so what is before is never sorted or counted."""
+    if upload_date is not None:
+        rows = rows.where((F.col("upload_date") > F.lit(upload_date)) | ((F.col("upload_date") == F.lit(upload_date)) & (F.col("id") > F.lit(id_))))
+    return rows.orderBy("upload_date", "id").limit(limit)
 
 
 def by_hash(rows: DataFrame, hash_: str) -> DataFrame:
@@ -53,46 +96,118 @@ class Catalog:
     spark: SparkSession
     path: str
 
+    @property
+    def claims(self) -> Claims:
+        return Claims(self.spark, f"{self.path}/claims")
+
     def create(self) -> None:
-        """Make empty tables where there are none."""
-        for name in ("documents", "status"):
-            self._at(name).getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(self._at(name))
+        """Make the folders where there are none."""
+        for name in ("claims", "data", "staging"):
+            self.claims.folder.make(f"{self.path}/{name}")
 
     def drop(self) -> None:
-        for name in ("documents", "status"):
-            at = self._at(name)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _read(self, name: str, schema: T.StructType, shards: Sequence[str] | None) -> DataFrame:
-        own = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(SHARD, T.StringType())])).parquet(f"{self.path}/{name}")
-        return (own if shards is None else own.where(F.col(SHARD).isin(*shards))).drop(SHARD)
-
-    def log(self, shards: Sequence[str] | None = None) -> DataFrame:
-        return self._read("status", STATUS_LOG, shards)
-
-    def rows(self, shards: Sequence[str] | None = None) -> DataFrame:
-        """All documents, or those of some shards, with their present status."""
-        own = self._read("documents", CATALOG, shards)
-        changed = self.log(shards).groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
+        for name in ("claims", "data", "staging"):
+            self.claims.folder.delete(f"{self.path}/{name}")
+
+    def heads(self, shards: Iterable[str] | None = None) -> dict[str, Head]:
+        """The present versions of all shards, or of some, their commits finished."""
+        claims = self.claims
+        names = claims.shards() if shards is None else list(shards)
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            found = dict(zip(names, pool.map(claims.head, names), strict=True))
+            list(pool.map(lambda s: self._finish(claims, s, found[s]), names))
+        return found
+
+    def _finish(self, claims: Claims, shard: str, head: Head) -> None:
+        """Put a claimed commit's rows in their place, if they aren't there yet."""
+        if head.staged:
+            claims.folder.move(f"{self.path}/staging/{head.staged}/{SHARD}={shard}", f"{self._generation(shard, head)}/{head.version:012d}.{head.kind}")
+
+    def _generation(self, shard: str, head: Head) -> str:
+        return f"{self.path}/data/{SHARD}={shard}/{head.generation:012d}"
+
+    def _commits(self, heads: Mapping[str, Head], kind: str) -> list[str]:
+        folder = self.claims.folder
+
+        def of(shard: str) -> list[str]:
+            at = self._generation(shard, heads[shard])
+            return [f"{at}/{n}" for n in folder.names(at) if n.endswith(f".{kind}") and int(n.partition(".")[0]) <= heads[shard].version]
+
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            return [p for found in pool.map(of, [s for s, h in heads.items() if h.version]) for p in found]
+
+    def _read(self, kind: str, schema: T.StructType, heads: Mapping[str, Head]) -> DataFrame:
+        paths = self._commits(heads, kind)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def log(self, heads: Mapping[str, Head] | None = None) -> DataFrame:
+        return self._read(STATUS, STATUS_LOG, self.heads() if heads is None else heads)
+
+    def rows(self, heads: Mapping[str, Head] | None = None) -> DataFrame:
+        """All documents, or those of some shards' versions (see ``heads``), with their present status."""
+        heads = self.heads() if heads is None else heads
+        own = self._read(DOCUMENTS, CATALOG, heads)
+        changed = self.log(heads).groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
         return own.join(changed, "id", "left").select(*(F.coalesce("__status", "status").alias(c) if c == "status" else F.coalesce("__ts", c).alias(c) if c == "updated_at" else c for c in CATALOG.names))
 
-    def append(self, rows: DataFrame) -> None:
-        """Add rows of new hashes. Types, statuses and lengths are checked as they are written."""
+    def _commit(self, rows: DataFrame, key: str, kind: str, base: Mapping[str, Head], generations: int = 0) -> list[str]:
+        """Stage rows, one file a shard, and claim the next version of each shard; the shards that another was first with."""
+        claims, token = self.claims, uuid.uuid4().hex
+        at = f"{self.path}/staging/{token}"
+        rows.withColumn(SHARD, shard_of(F.col(key))).repartition(SHARD).sortWithinPartitions(SHARD, key).write.option("parquet.bloom.filter.enabled#hash", "true").partitionBy(SHARD).parquet(at)
+        staged = [n.partition("=")[2] for n in claims.folder.names(at) if n.startswith(f"{SHARD}=")]
+
+        def one(shard: str) -> bool:
+            last = base.get(shard, Head())
+            head = Head(last.version + 1, last.generation + generations, token, kind)
+            if not claims.take(shard, head):
+                return False
+            self._finish(claims, shard, head)
+            return True
+
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            won = dict(zip(staged, pool.map(one, staged), strict=True))
+        claims.folder.delete(at)
+        return sorted(s for s, done in won.items() if not done)
+
+    def append(self, rows: DataFrame, base: Mapping[str, Head] | None = None) -> list[str]:
+        """Add rows of hashes that the catalog doesn't have as of ``base``; return the shards that another writer was first with, of which nothing was added.
+
+        Types, statuses and lengths are checked as they are written.
+        """
         good = F.col("type").isin(*TYPES) & F.col("status").isin(*STATUSES)
         for name, most in MOST_CHARACTERS.items():
             good = good & F.col(name).isNotNull() & (F.length(name) <= most)
         checked = rows.withColumn("type", F.when(good, F.col("type")).otherwise(F.raise_error(F.lit("a catalog row has a wrong type or status, or a missing or too long text"))))
-        checked.select(*CATALOG.names, shard_of(F.col("hash")).alias(SHARD)).write.mode("append").partitionBy(SHARD).parquet(f"{self.path}/documents")
+        lost = self._commit(checked.select(*CATALOG.names), "hash", DOCUMENTS, self.heads() if base is None else base)
+        self._keep_compact([s for s in base or self.claims.shards() if s not in lost])
+        return lost
+
+    def _keep_compact(self, shards: Iterable[str]) -> None:
+        heads = self.heads(shards)
+        full = [s for s, h in heads.items() if len(self.claims.folder.names(self._generation(s, h))) >= MOST_COMMITS]
+        if full:
+            self.compact(full)
+
+    def compact(self, shards: Iterable[str] | None = None) -> list[str]:
+        """Fold the commits and statuses of all shards, or of some, into new generations; return those that a writer was first with, left as they are."""
+        base = {s: h for s, h in self.heads(shards).items() if h.version}
+        lost = self._commit(self.rows(base), "hash", DOCUMENTS, base, generations=1)
+        claims = self.claims
+        for shard, head in base.items():
+            if shard not in lost:
+                claims.clear(shard, head.version + 1)
+                for name in claims.folder.names(f"{self.path}/data/{SHARD}={shard}"):
+                    if name.isdigit() and int(name) < head.generation:  # not the one before, which may still be read
+                        claims.folder.delete(f"{self.path}/data/{SHARD}={shard}/{name}")
+        return lost
 
     def find_by_hash(self, hash_: str) -> DataFrame:
-        return by_hash(self.rows([hash_[:DIGITS]]), hash_)
+        return by_hash(self.rows(self.heads([hash_[:DIGITS]])), hash_)
 
     def find_by_id(self, id_: str) -> DataFrame:
         shard = self.spark.range(1).select(shard_of(normalised_uuid(F.lit(id_)))).first()[0]
-        return by_id(self.rows([shard]), id_)
+        return by_id(self.rows(self.heads([shard] if shard else [])), id_)
 
     def exists(self, hash_: str) -> bool:
         return not self.find_by_hash(hash_).isEmpty()
@@ -108,15 +223,19 @@ class Catalog:
         """Log a status; False if there is no such document."""
         if status not in STATUSES:
             raise ValueError(f"status must be one of {', '.join(STATUSES)}: {status}")
-        found = self.find_by_id(id_).select("id", F.lit(status).alias("status"), F.current_timestamp().alias("ts"))
-        if found.isEmpty():
-            return False
-        found.withColumn(SHARD, shard_of(F.col("id"))).write.mode("append").partitionBy(SHARD).parquet(f"{self.path}/status")
-        return True
+        while True:
+            found = self.find_by_id(id_).select("id", F.lit(status).alias("status"), F.current_timestamp().alias("ts"))
+            row = found.first()
+            if row is None:
+                return False
+            shards = [row.id[:DIGITS]]
+            if not self._commit(self.spark.createDataFrame([row], STATUS_LOG), "id", STATUS, self.heads(shards)):
+                self._keep_compact(shards)
+                return True
 
     def statuses(self) -> DataFrame:
         return latest_status(self.log())
 
     def check(self) -> DataFrame:
-        """Hashes that stand in more than one row."""
+        """Hashes that stand in more than one row; there are none unless files were put in by hand."""
         return repeated_hashes(self.rows())

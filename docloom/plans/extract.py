@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import Settings
@@ -12,14 +10,11 @@ from docloom.functions.metadata import merged
 from docloom.functions.text import stem
 from docloom.operators.batch import page_texts
 from docloom.operators.headers import header_text, page_headers, with_headers
+from docloom.plans.storage import written
 from docloom.sources.markdown import render_pages
 from docloom.sources.pdf import Reader, read_blocks, reader_of
-
-
-def work_dir(spark: SparkSession, settings: Settings) -> str:
-    """A new folder for one run's intermediate tables, which all executors share: in ``spark.checkpoint.dir``, else beside the catalog."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{settings.catalog_dir.rstrip('/')}/work"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+from docloom.sources.systems import refuse_unshared
+from docloom.work import stored, work_dir
 
 
 def extracted(blocks: DataFrame, settings: Settings, processor: str = "layout") -> DataFrame:
@@ -57,10 +52,10 @@ def extract(files: DataFrame, settings: Settings, work: str, reader: Reader | No
 
 
 def write_extracts(extracts: DataFrame, path: str) -> DataFrame:
-    """Write ``{stem}.md`` and ``{stem}.json`` of each file, by one sink for both; return their paths as (path, storage_path)."""
-    from docloom.plans.storage import write_files
-
+    """Write ``{stem}.md`` and ``{stem}.json`` of each file, by one sink for both; return (path, storage_path, error)."""
     names = F.explode(F.array(F.struct(F.lit(".md").alias("end"), F.col("text").alias("body")), F.struct(F.lit(".json").alias("end"), F.col("metadata").alias("body"))))
+    spark = extracts.sparkSession
+    refuse_unshared(spark, path)
     out = extracts.where(F.col("text").isNotNull()).select("path", names.alias("file")).withColumn("storage_path", F.concat(F.lit(f"{path}/"), stem(F.col("path")), "file.end"))
-    write_files(out.select("storage_path", F.col("file.body").cast("binary").alias("content")))
-    return out.select("path", "storage_path")
+    done = stored(written(out.select("storage_path", F.col("file.body").cast("binary").alias("content"))), f"{work_dir(spark)}/written")
+    return out.select("path", "storage_path").join(done, "storage_path").select("path", "storage_path", "error")

@@ -14,11 +14,11 @@ from docloom.functions.text import basename
 from docloom.operators import batch as detection
 from docloom.operators.stats import batch_summary, directory_answer, directory_results
 from docloom.operators.validity import too_large, valid_layout, valid_light
-from docloom.plans.extract import work_dir
 from docloom.plans.ingest import ingest
 from docloom.schemas import RESPONSE
 from docloom.sources.files import scan_directory, scan_file, uploads
 from docloom.sources.pdf import Reader, read_blocks, reader_of
+from docloom.work import work_dir
 
 
 def judged(files: DataFrame, settings: Settings, work: str, reader: Reader | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def judged(files: DataFrame, settings: Settings, work: str, reader: Reader | Non
     Of what was read, page numbers and the first pages' blocks are stored below ``work``.
     """
     spark = files.sparkSession
-    blocks = read_blocks(files.where(~too_large(F.col("length"), settings.max_file_size)), reader or reader_of(settings)).where("error IS NULL")
+    blocks = read_blocks(files.where(~too_large(F.col("length"), settings.max_file_size) & F.col("content").isNotNull()), reader or reader_of(settings)).where("error IS NULL")
     first = F.col("page_no") < detection.LOOKED_AT
     blocks.select("path", "page_no", "block_no", *(F.when(first, F.col(c)).alias(c) for c in ("text", "html"))).write.parquet(f"{work}/pages")
     seen = spark.read.parquet(f"{work}/pages")
@@ -42,7 +42,7 @@ def judged(files: DataFrame, settings: Settings, work: str, reader: Reader | Non
 def take_in(files: DataFrame, settings: Settings, reader: Reader | None = None, batch: bool = False) -> DataFrame:
     """The responses of ``files``, judged and ingested."""
     spark = files.sparkSession
-    work = work_dir(spark, settings)
+    work = work_dir(spark)
     return ingest(spark, files, judged(files, settings, work, reader), settings, work, batch)
 
 
@@ -57,7 +57,7 @@ def ingest_upload(spark: SparkSession, name: str, content: bytes, type_: str, se
 
 def ingest_local(spark: SparkSession, path: str, type_: str, settings: Settings, metadata: str | None = None, reader: Reader | None = None) -> DataFrame:
     """One file by its path: success, document, message, source and file_path."""
-    return _single(take_in(scan_file(spark, path, type_, metadata), settings, reader), "Local document ingested successfully", source="local_file", file_path=path)
+    return _single(take_in(scan_file(spark, path, type_, metadata, most=settings.max_file_size), settings, reader), "Local document ingested successfully", source="local_file", file_path=path)
 
 
 def ingest_upload_batch(spark: SparkSession, name: str, content: bytes, type_: str, settings: Settings, metadata: str | None = None, reader: Reader | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def ingest_upload_batch(spark: SparkSession, name: str, content: bytes, type_: s
 
 def ingest_local_batch(spark: SparkSession, path: str, type_: str, settings: Settings, metadata: str | None = None, reader: Reader | None = None) -> DataFrame:
     """One file of several documents by its path: its counts and documents."""
-    return _counted(take_in(scan_file(spark, path, type_, metadata, batch=True), settings, reader, batch=True))
+    return _counted(take_in(scan_file(spark, path, type_, metadata, batch=True, most=settings.max_file_size), settings, reader, batch=True))
 
 
 def _counted(answers: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def _counted(answers: DataFrame) -> DataFrame:
 
 def ingest_directory(spark: SparkSession, path: str, type_: str, settings: Settings, recursive: bool = False, reader: Reader | None = None) -> tuple[DataFrame, DataFrame]:
     """A folder's files: the answer as one row, and the result of each file as rows (file, success, response, error)."""
-    answers = take_in(scan_directory(spark, path, type_, recursive), settings, reader)
-    results = directory_results(answers.withColumn("error", F.lit(None).cast("string")))
+    answers = take_in(scan_directory(spark, path, type_, recursive, most=settings.max_file_size), settings, reader)
+    results = directory_results(answers)
     return directory_answer(results, path), results
 
 

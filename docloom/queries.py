@@ -16,6 +16,7 @@ from docloom.functions import text as fn
 from docloom.operators import batch, dedup, headers, stats, validity
 from docloom.plans import catalog as cat
 from docloom.plans import extract, ingest
+from docloom.plans.storage import FileStore
 from docloom.sources import markdown
 
 STORE = "/store"
@@ -97,7 +98,7 @@ def size_check(spark, sf_dir):
 def _outcome(spark, sf_dir):
     files = _files(spark, sf_dir)
     seen = ingest.checked(files, validity.valid_light(_lines(spark, sf_dir)), MOST_BYTES)
-    return ingest.resolved(seen, _catalog(files.where(F.col("length") <= MOST_BYTES)), STORE)
+    return ingest.resolved(seen, _catalog(files.where(F.col("length") <= MOST_BYTES)), FileStore(spark, STORE).path())
 
 
 def ingest_responses(spark, sf_dir):
@@ -110,7 +111,7 @@ def batch_summary(spark, sf_dir):
 
 def _with_errors(spark, sf_dir):
     """Outcomes of which every tenth stands for one that an exception ended."""
-    return _outcome(spark, sf_dir).withColumn("error", F.when(F.col("path").endswith("7.pdf"), "OSError: unreadable"))
+    return _outcome(spark, sf_dir).drop("error").withColumn("error", F.when(F.col("path").endswith("7.pdf"), "OSError: unreadable"))
 
 
 def directory_summary(spark, sf_dir):

@@ -1,22 +1,26 @@
 """File sources: folders, single files, uploads, and listings without contents.
 
-All are scans of Spark's ``binaryFile`` source, so a folder of any size is read
-in parallel, and listings never read contents. Names that begin with ``_`` or
-``.`` are hidden from Spark and so not listed.
+Folders are listed and files read by tasks (``listing``), so a folder of any size is taken in
+parallel. Every file counts: an empty or hidden one is a row, and one that can't be
+read is a row with its ``error``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.metadata import with_values
-from docloom.functions.text import basename, is_pdf, storage_folder
+from docloom.functions.text import basename, is_pdf
 from docloom.schemas import FILES, TYPES
+from docloom.sources.listing import LISTED, MOST_READABLE, list_folder, list_folders, with_contents_of
+from docloom.sources.systems import is_local
 
 PDF_GLOB = "*.[pP][dD][fF]"
+#: Characters of a name that are kept in the store.
+MOST_STORED = 100
 
 
 class SourceError(ValueError):
@@ -35,13 +39,14 @@ def _status(spark: SparkSession, path: str):
     return fs.getFileStatus(at) if fs.exists(at) else None
 
 
-def _as_files(df: DataFrame, type_: str, metadata: str | None, **more) -> DataFrame:
-    out = df.select("path", basename(F.col("path")).alias("name"), "length", "content", F.lit(type_).alias("type"), F.lit(metadata).alias("metadata"))
+def as_files(df: DataFrame, type_: str, metadata: str | None, **more: Column) -> DataFrame:
+    """(path, length, content, error) as ``FILES``, with an ``error``."""
+    out = df.select("path", basename(F.col("path")).alias("name"), "length", "content", F.lit(type_).alias("type"), F.lit(metadata).alias("metadata"), "error")
     return out.withColumn("metadata", with_values(F.col("metadata"), **more)) if more else out
 
 
-def scan_directory(spark: SparkSession, path: str, type_: str, recursive: bool = False, metadata: str | None = None) -> DataFrame:
-    """PDF files of a folder (``FILES``), with where they come from in their metadata.
+def scan_directory(spark: SparkSession, path: str, type_: str, recursive: bool = False, metadata: str | None = None, most: int = MOST_READABLE) -> DataFrame:
+    """PDF files of a folder (``FILES`` and ``error``), with where they come from in their metadata; files longer than ``most`` are not read.
 
     A missing path and one that is no folder are errors; a folder without PDF
     files gives no rows.
@@ -52,12 +57,12 @@ def scan_directory(spark: SparkSession, path: str, type_: str, recursive: bool =
         raise SourceError(f"Directory not found: {path}")
     if not status.isDirectory():
         raise SourceError(f"Path is not a directory: {path}")
-    read = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB).option("recursiveFileLookup", str(recursive).lower())
-    return _as_files(read.load(path), type_, metadata, source_path=F.col("path"), source_type=F.lit("directory_scan"), directory=F.lit(path))
+    found = list_folder(spark, path, recursive).where(is_pdf(F.col("path")))
+    return as_files(with_contents_of(spark, found, most), type_, metadata, source_path=F.col("path"), source_type=F.lit("directory_scan"), directory=F.lit(path))
 
 
-def scan_file(spark: SparkSession, path: str, type_: str, metadata: str | None = None, batch: bool = False) -> DataFrame:
-    """One PDF file (``FILES``); a missing file and other extensions are errors."""
+def scan_file(spark: SparkSession, path: str, type_: str, metadata: str | None = None, batch: bool = False, most: int = MOST_READABLE) -> DataFrame:
+    """One PDF file (``FILES`` and ``error``); a missing file and other extensions are errors."""
     _check_type(type_)
     status = _status(spark, path)
     if status is None or status.isDirectory():
@@ -65,36 +70,34 @@ def scan_file(spark: SparkSession, path: str, type_: str, metadata: str | None =
     if not path.lower().endswith(".pdf"):
         raise SourceError("Only PDF files are supported")
     kind = "local_batch_file" if batch else "local_file"
-    return _as_files(spark.read.format("binaryFile").load(path), type_, metadata, source_path=F.lit(path), source_type=F.lit(kind))
+    at = status.getPath().toString() if is_local(path) else path
+    one = spark.createDataFrame([(at, at.rpartition("/")[0], at, status.getLen(), False, None)], LISTED).drop("is_folder")
+    return as_files(with_contents_of(spark, one, most), type_, metadata, source_path=F.lit(path), source_type=F.lit(kind))
 
 
 def uploads(spark: SparkSession, files: Sequence[tuple[str, bytes]], type_: str, metadata: str | None = None) -> DataFrame:
-    """Contents that a client sent, by name (``FILES``); each needs a name that ends in ``.pdf``."""
+    """Contents that a client sent, with their names (``FILES``); each needs a name that ends in ``.pdf``. Paths are by position, so files of one name stay apart."""
     _check_type(type_)
     for name, _ in files:
         if not name or not name.lower().endswith(".pdf"):
             raise SourceError("Only PDF files are supported")
-    rows = [(name, name, len(content), bytearray(content), type_, metadata) for name, content in files]
+    rows = [(f"upload:{n:09d}", name, len(content), bytearray(content), type_, metadata) for n, (name, content) in enumerate(files)]
     return spark.createDataFrame(rows, FILES)
 
 
 def scan_storage(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of every file below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """(path, length) of every file below a folder, empty and hidden ones too; contents are not read."""
+    return list_folder(spark, path, recursive=True).where("error IS NULL").select("path", "length")
 
 
 def pdf_listing(spark: SparkSession, folders: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(root, name, path, exists, pdf_count) of (root, name, path) folders, not looking below them."""
+    """(root, name, path, exists, pdf_count) of (root, name, path) folders, not looking below them: one listing for all."""
     rows = [(root, name, path, (s := _status(spark, path)) is not None and s.isDirectory()) for root, name, path in folders]
     places = spark.createDataFrame(rows, "root string, name string, path string, exists boolean")
-    there = [r[2] for r in rows if r[3]]
+    there = sorted({r[2] for r in rows if r[3]})
     if not there:
         return places.withColumn("pdf_count", F.lit(0).cast("long"))
-    found = None
-    for path in there:
-        own = spark.read.format("binaryFile").option("pathGlobFilter", PDF_GLOB).load(path).select(F.lit(path).alias("path"))
-        found = own if found is None else found.unionByName(own)
-    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("pdf_count"))
+    counts = list_folders(spark, there).where(is_pdf(F.col("path"))).groupBy(F.col("root").alias("path")).agg(F.count(F.lit(1)).alias("pdf_count"))
     return places.join(counts, "path", "left").select("root", "name", "path", "exists", F.coalesce("pdf_count", F.lit(0).cast("long")).alias("pdf_count"))
 
 
@@ -102,6 +105,8 @@ def only_pdf(files: DataFrame) -> DataFrame:
     return files.where(is_pdf(F.col("name")))
 
 
-def stored_path(base: str):
-    """Where a file's content is kept: by type, under its hash and name, so that a repeated write changes nothing."""
-    return F.concat_ws("/", F.lit(base), storage_folder(F.col("type")), F.concat_ws("_", "hash", "name"))
+def safe_name(name: Column) -> Column:
+    """A name that is one part of a path and nothing else: what stands after the last slash or backslash, without control characters, and its end if it is long."""
+    last = F.regexp_replace(F.regexp_replace(name, r"(?s)^.*[/\\\\]", ""), r"[\x00-\x1f\x7f]", "_")
+    plain = F.when(last.isin("", ".", "..") | last.isNull(), "file").otherwise(last)
+    return F.when(F.length(plain) > MOST_STORED, F.substring(plain, -MOST_STORED, MOST_STORED)).otherwise(plain)

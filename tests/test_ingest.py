@@ -1,4 +1,11 @@
+import dataclasses
+import hashlib
 import json
+import os
+import shutil
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,11 +13,16 @@ from pyspark.sql import functions as F
 from docloom.__main__ import main
 from docloom.config import Settings
 from docloom.operators import batch, headers, stats, validity
-from docloom.plans import routes
+from docloom.plans import catalog as cat
+from docloom.plans import ingest as ingestion
+from docloom.plans import routes, storage
 from docloom.plans.catalog import Catalog
+from docloom.plans.claims import Head
 from docloom.plans.extract import extract, extracted, write_extracts
 from docloom.plans.ingest import ingest
+from docloom.schemas import CATALOG
 from docloom.sources import files, markdown, pdf
+from docloom.sources.systems import refuse_unshared
 from docloom.streaming.landing import ingest_landing
 
 
@@ -62,33 +74,183 @@ def test_a_folder_end_to_end(spark, place):
     assert catalog.find_by_id("urn:uuid:" + row.id).first().status == "processing_failed" and catalog.find_by_id("none").count() == 0
     page = catalog.page(1, 1).collect()
     assert len(page) == 1 and (page[0].total, page[0].total_available) == (1, 2)
-    assert catalog.rows([row.hash[:2]]).where(F.col("hash") == row.hash).count() == 1 and catalog.rows(["zz"]).count() == 0
-    assert "PartitionFilters: [isnotnull(shard" in catalog.find_by_hash(row.hash)._jdf.queryExecution().executedPlan().toString()
+    assert catalog.rows(catalog.heads([row.hash[:2]])).where(F.col("hash") == row.hash).count() == 1 and catalog.rows(catalog.heads(["zz"])).count() == 0
+    assert catalog.find_by_hash(row.hash).inputFiles() and all(f"/shard={row.hash[:2]}/" in f for f in catalog.find_by_hash(row.hash).inputFiles())
     stored = stats.service_stats(files.scan_storage(spark, own.storage_dir).where("path LIKE '%.pdf'"), own.max_file_size_mb * 1048576, 3).first()
     assert stored.storage.total_files == 2 and stored.max_file_size_mb == 100
     catalog.drop()
 
 
-class Limited(Small):
-    def session(self, name="limited"):
-        spark = super().session(name)
-        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
-        return spark
+def test_every_file_of_a_folder_is_answered(spark, place):
+    """Empty, hidden, oversize and unreadable files too; an oversize one is never read (3 GiB would not fit)."""
+    landing, base, tmp = place
+    own = Small(storage_dir=base.storage_dir, catalog_dir=base.catalog_dir)
+    (landing / "empty.pdf").write_bytes(b"")
+    (landing / ".hidden.pdf").write_text("a hidden document")
+    (landing / "_also.PDF").write_text("another hidden one")
+    (landing / "deep/none.pdf").write_bytes(b"")
+    with (landing / "huge.pdf").open("wb") as f:
+        f.truncate(3 << 30)
+    answer, results = routes.ingest_directory(spark, str(landing), "abstract", own, recursive=True, reader=reader)
+    names = [n for _, _, files in os.walk(landing) for n in files if n.lower().endswith(".pdf")]
+    got = {r.file.rpartition("/")[2]: r for r in results.collect()}
+    assert sorted(got) == sorted(names) and results.count() == len(names) == 11
+    assert json.loads(answer.toJSON().first()) == {"message": "Directory processing complete", "directory": str(landing), "total_files": 11, "successful": 11, "failed": 0}
+    invalid, large = "Processing failed: Invalid or corrupted PDF file", "Processing failed: File size {} bytes exceeds maximum 100 bytes"
+    assert got["empty.pdf"].response.message == got["none.pdf"].response.message == got["c.pdf"].response.message == got["d.pdf"].response.message == invalid
+    assert got["huge.pdf"].response.message == large.format(3 << 30) and got["e.pdf"].response.message == large.format(200)
+    assert got[".hidden.pdf"].response.status == got["_also.PDF"].response.status == "ingested"
+    listed = {r.path.removeprefix("file:"): r.length for r in files.scan_storage(spark, str(landing)).collect()}
+    assert listed == {os.path.join(d, n): os.path.getsize(os.path.join(d, n)) for d, _, found in os.walk(landing) for n in found}
+    assert files.pdf_listing(spark, [("data", "in", str(landing))]).first().pdf_count == 9
+    one = routes.ingest_local(spark, str(landing / "empty.pdf"), "abstract", own, reader=reader).first()
+    assert one.document.message == invalid
+
+
+def test_errors_of_single_files(spark, place, monkeypatch):
+    """A file that can't be read is an error and not a success; one that can't be stored has failed; the others go on."""
+    landing, own, tmp = place
+    found = files.scan_directory(spark, str(landing), "abstract").withColumn("error", F.when(F.col("name") == "a.pdf", "OSError: input/output error"))
+    found = found.withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+    results = stats.directory_results(routes.take_in(found, own, reader))
+    got = {r.file.rpartition("/")[2]: r for r in results.collect()}
+    assert (got["a.pdf"].success, got["a.pdf"].error, got["a.pdf"].response) == (False, "OSError: input/output error", None)
+    assert got["b.PDF"].success and got["b.PDF"].response.message == "Document successfully ingested"
+    row = stats.directory_answer(results, "x").first()
+    assert (row.total_files, row.successful, row.failed) == (5, 4, 1)
+    (tmp / "storage/publications" / f"{hashlib.sha256(b'another document').hexdigest()}_g.pdf" / "in the way").mkdir(parents=True)
+    again = {r.path.rpartition("/")[2]: r for r in routes.take_in(files.scan_directory(spark, str(landing / "deep"), "publication"), own, reader).collect()}
+    assert again["g.pdf"].status == "processing_failed" and again["g.pdf"].message.startswith("Processing failed: ") and again["g.pdf"].document_id is None
+    assert Catalog(spark, own.catalog_dir).rows().count() == 2
+
+
+def test_names_stay_in_the_store_and_contents_with_their_names(spark, place):
+    landing, own, tmp = place
+    names = ["a.pdf", "a.pdf", "../../../../evil/own.pdf", "/etc/passwd.pdf", "s3://x/y.pdf", "b\\c\n\x01.pdf", "..pdf", "n" * 250 + ".pdf"]
+    sent = [(n, f"content number {k}".encode()) for k, n in enumerate(names)]
+    sent.append(("m" * 260 + ".pdf", b"a name that is too long"))
+    got = routes.take_in(files.uploads(spark, sent, "abstract"), own, reader).collect()
+    assert len(got) == len(sent)
+    for r in got:
+        k = int(r.path.rpartition(":")[2])
+        if k == len(names):
+            assert r.message == "Processing failed: the file name has more than 255 characters" and r.document_id is None
+            continue
+        assert r.original_filename == names[k] and r.storage_path.startswith(own.storage_dir + "/abstracts/") and ".." not in r.storage_path.removeprefix(own.storage_dir).split("/")
+        held = open(r.storage_path, "rb").read()
+        assert held == sent[k][1] and hashlib.sha256(held).hexdigest() in r.storage_path
+    assert sum(len(f) for _, _, f in os.walk(tmp / "storage")) == len(names) and not (tmp / "evil").exists()
+    with pytest.raises(ValueError):
+        refuse_unshared(type("S", (), {"sparkContext": type("C", (), {"master": "spark://x"})()})(), "/local/folder")
+    bad = spark.createDataFrame([(f"{own.storage_dir}/abstracts/../../x", bytearray(b"x"), hashlib.sha256(b"x").hexdigest()), (f"{own.storage_dir}/abstracts/y", bytearray(b"x"), "0")], "storage_path string, content binary, hash string")
+    errors = {r.storage_path[-1]: r.error for r in storage.written(bad, own.storage_dir).collect()}
+    assert "outside" in errors["x"] and "changed" in errors["y"]
 
 
-def test_an_oversize_file_is_never_read(spark, place):
-    landing, base, tmp = place
-    own = Limited(storage_dir=base.storage_dir, catalog_dir=base.catalog_dir)
-    session = own.session()
-    try:
-        answer, results = routes.ingest_directory(session, str(landing), "abstract", own, reader=reader)
-        row = json.loads(answer.toJSON().first())
-        assert row == {"message": "Directory processing complete", "directory": str(landing), "total_files": 5, "successful": 5, "failed": 0}
-        got = {r.file.rpartition("/")[2]: r.response.message for r in results.collect()}
-        assert got["e.pdf"] == "Processing failed: File size 200 bytes exceeds maximum 100 bytes" and got["a.pdf"] == "Document successfully ingested" and got["b.PDF"] == "Document already exists"
-        assert Catalog(session, own.catalog_dir).rows().count() == 1
-    finally:
-        session.conf.unset("spark.sql.sources.binaryFile.maxLength")
+def test_packed_contents(spark, place, monkeypatch):
+    landing, own, tmp = place
+    monkeypatch.setattr(storage, "PACK_BYTES", 60)
+    own = dataclasses.replace(own, packed=True)
+    got = {r.original_filename: r for r in routes.take_in(files.scan_directory(spark, str(landing), "abstract", recursive=True), own, reader).collect()}
+    assert got["a.pdf"].storage_path.startswith(f"{own.storage_dir}/packs#")
+    store = storage.PackStore(spark, own.storage_dir)
+    held = {bytes(r.content) for r in store.read(store.index()).collect()}
+    assert held == {b"first document", b"x" * 200, b"another document"} and {hashlib.sha256(c).hexdigest() for c in held} == {r.hash for r in store.index().collect()}
+    assert stats.storage_stats(store.sizes()).first().total_size_bytes == 230 and store.read(spark.createDataFrame([("00",)], "hash string")).count() == 0
+    before = sorted(os.listdir(tmp / "storage/packs"))
+    assert not routes.take_in(files.scan_directory(spark, str(landing), "abstract"), own, reader).where("NOT is_duplicate AND status = 'ingested'").count()
+    assert sorted(os.listdir(tmp / "storage/packs")) == before
+    (tmp / "storage/packs" / f".{'0' * 32}.pack.part").write_bytes(b"a task died here")
+    (tmp / "storage/packs" / f"{'1' * 32}.pack").write_bytes(b"and here, before the index")
+    assert store.read(store.index()).count() == 3 and store.vacuum() == 2 and sorted(os.listdir(tmp / "storage/packs")) == before
+
+
+def test_two_writers_bring_no_hash_in_twice(spark, place):
+    landing, own, tmp = place
+    for k in range(40):
+        (landing / f"own{k}.pdf").write_text(f"document number {k // 2}")
+    other = tmp / "other"
+    shutil.copytree(landing, other)
+    for k in range(10):
+        (other / f"new{k}.pdf").write_text(f"only here {k}")
+
+    def run(folder):
+        return routes.take_in(files.scan_directory(spark, str(folder), "abstract"), own, reader).collect()
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(run, (landing, other))
+    catalog = Catalog(spark, own.catalog_dir)
+    rows = {r.id: r for r in catalog.rows().collect()}
+    assert catalog.check().count() == 0 and len(rows) == catalog.rows().count() == 20 + 10 + 2
+    assert (len(first), len(second)) == (45, 55)
+    answered = [r for r in (*first, *second) if r.status == "ingested"]
+    assert sum(not r.is_duplicate for r in answered) == len(rows)
+    for r in answered:
+        assert (rows[r.document_id].storage_path, rows[r.document_id].original_filename) == (r.storage_path, r.original_filename) and os.path.exists(r.storage_path)
+    assert sum(len(f) for _, _, f in os.walk(tmp / "storage")) == len(rows)
+
+
+def catalog_row(n, day=1):
+    digest = hashlib.sha256(str(n).encode()).hexdigest()
+    at = datetime(2024, 1, day, tzinfo=timezone.utc)
+    return (str(uuid.UUID(digest[:32])), f"{n}.pdf", f"/s/{n}", "abstract", at, digest, "ingested", "{}", at, at)
+
+
+def test_commits_are_claimed_once_and_finished_by_others(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.create()
+    frame = lambda *ns: spark.createDataFrame([catalog_row(n) for n in ns], CATALOG)
+    base = catalog.heads([f"{k:02x}" for k in range(256)])
+    assert catalog.append(frame(1, 2), base) == []
+    taken = sorted({r.hash[:2] for r in catalog.rows().collect()})
+    assert catalog.append(frame(1, 3), base) == [h for h in taken if h == catalog_row(1)[5][:2]]
+    assert catalog.rows().count() == 3 and catalog.check().count() == 0
+    shard = catalog_row(4)[5][:2]
+    claims, head = catalog.claims, catalog.heads([shard])[shard]
+    frame(4).withColumn("shard", F.lit(shard)).write.partitionBy("shard").parquet(f"{catalog.path}/staging/abc")
+    assert claims.take(shard, Head(head.version + 1, head.generation, "abc", "documents"))  # and its writer dies
+    assert catalog.exists(catalog_row(4)[5]) and not os.path.exists(f"{catalog.path}/staging/abc/shard={shard}")
+    assert not claims.take(shard, Head(head.version + 1, head.generation, "def", "documents"))
+    claims.clear(shard, head.version + 1)
+    assert head.version == 0 or not claims.take(shard, Head(head.version, head.generation, "late", "documents"))
+
+
+def test_compaction_keeps_readers_and_bounds_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cat, "MOST_COMMITS", 4)
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.create()
+    n = next(k for k in range(1000) if catalog_row(k)[5].startswith("00"))
+    same = [k for k in range(20000) if catalog_row(k)[5].startswith("00")][:11]
+    assert catalog.append(spark.createDataFrame([catalog_row(n)], CATALOG)) == []
+    states = []
+    for k in same[1:]:
+        assert catalog.append(spark.createDataFrame([catalog_row(k)], CATALOG)) == []
+        assert catalog.update_status(catalog_row(k)[0], "processing_failed")
+        states.append(catalog.rows().groupBy("status").count().collect())
+        shard = f"{catalog.path}/data/shard=00"
+        assert all(len(os.listdir(f"{shard}/{g}")) <= 5 for g in os.listdir(shard)) and len(os.listdir(shard)) <= 2
+    assert [{r.status: r["count"] for r in s} for s in states] == [{"ingested": 1, "processing_failed": k} for k in range(1, 11)]
+    assert catalog.compact() == []
+    assert catalog.check().count() == 0 and catalog.rows().count() == 11 and catalog.log().count() == 0
+    held = catalog.rows()
+    assert catalog.compact() == [] and held.count() == 11  # planned before, read after
+
+
+@pytest.mark.parametrize("together", [10_000, 3])
+def test_pages(spark, monkeypatch, together):
+    monkeypatch.setattr(cat, "MOST_TOGETHER", together)
+    rows = [catalog_row(n, 1 + n % 3 if n < 60 else 9) for n in range(150)]
+    df = spark.createDataFrame(rows, CATALOG)
+    order = sorted((r[4], r[0]) for r in rows)
+    for limit, offset in ((100, 0), (7, 0), (7, 13), (5, 70), (40, 55), (10, 145), (10, 150), (10, 500), (0, 3), (3, 149)):
+        page = cat.page_of(df, limit, offset).collect()
+        assert [(r.upload_date.replace(tzinfo=timezone.utc), r.id) for r in page] == order[offset : offset + limit]
+        assert all((r.total, r.total_available) == (len(page), 150) for r in page)
+    seen, last = [], (None, None)
+    while page := cat.page_after(df, 40, *last).collect():
+        seen += [r.id for r in page]
+        last = page[-1].upload_date, page[-1].id
+    assert seen == [i for _, i in order]
 
 
 def test_a_batch_is_noted_and_taken_in_as_one(spark, place):
@@ -148,7 +310,7 @@ def test_extraction_reads_once_and_measures(spark, place, capsys, monkeypatch):
 def test_health(spark):
     from docloom.config import is_healthy
 
-    assert is_healthy(spark) and Settings().session().conf.get("spark.sql.sources.binaryFile.maxLength")
+    assert is_healthy(spark) and Settings().session().conf.get("spark.sql.session.timeZone") == "UTC"
 
 
 def test_sources_refuse_what_they_should(spark, place):
@@ -193,15 +355,42 @@ def test_extract_sink_and_markdown(spark, tmp_path):
     assert [tuple(r)[1:] for r in markdown.session_lines(line).collect()] == [("1234", True, "Poster Session, Fri, 8 AM", "NCT01234567"), ("", False, "", "")]
 
 
+def landed(spark, landing, own, tmp, seen):
+    check = lambda f: validity.valid_light(pdf.read_blocks(f, reader).where("error IS NULL"))
+    ingest_landing(spark, str(landing), "abstract", own, str(tmp / "work"), check, lambda df, n: seen.append({r.path.rpartition("/")[2]: (r.message, r.is_duplicate) for r in df.collect()})).awaitTermination()
+
+
 def test_landing_stream(spark, place):
     landing, own, tmp = place
+    (landing / "empty.pdf").write_bytes(b"")
+    (landing / ".hidden.pdf").write_text("a hidden document")
     seen = []
-    run = lambda: ingest_landing(spark, str(landing), "abstract", own, str(tmp / "work"), lambda f: validity.valid_light(pdf.read_blocks(f, reader).where("error IS NULL")), lambda df, n: seen.extend(r.message for r in df.collect())).awaitTermination()
-    run()
-    first = len(seen)
+    landed(spark, landing, own, tmp, seen)
+    assert seen[0] == {"empty.pdf": ("Processing failed: Invalid or corrupted PDF file", False), ".hidden.pdf": ("Document successfully ingested", False)}
+    assert sorted(n for s in seen for n in s) == [".hidden.pdf", "a.pdf", "b.PDF", "c.pdf", "d.pdf", "e.pdf", "empty.pdf"]
     (landing / "h.pdf").write_text("first document")
-    run()
-    assert first >= 4 and seen[first:] == ["Document already exists"]
+    seen.clear()
+    landed(spark, landing, own, tmp, seen)
+    assert seen == [{"h.pdf": ("Document already exists", True)}]
+
+
+def test_a_killed_batch_gives_the_same_answers(spark, place, monkeypatch):
+    landing, own, tmp = place
+    append, seen = Catalog.append, []
+
+    def killed(self, rows, base=None):
+        append(self, rows, base)
+        raise RuntimeError("killed after the catalog was written")
+
+    monkeypatch.setattr(Catalog, "append", killed)
+    with pytest.raises(Exception, match="killed"):
+        landed(spark, landing, own, tmp, seen)
+    assert seen == [] and Catalog(spark, own.catalog_dir).rows().count() == 2
+    monkeypatch.setattr(Catalog, "append", append)
+    landed(spark, landing, own, tmp, seen)
+    (got,) = seen
+    assert got["a.pdf"] == ("Document successfully ingested", False) and got["b.PDF"] == ("Document already exists", True) and got["e.pdf"][0] == "Document successfully ingested"
+    assert Catalog(spark, own.catalog_dir).rows().count() == 2 and Catalog(spark, own.catalog_dir).check().count() == 0
 
 
 def test_summary_and_command_line(spark, capsys):
