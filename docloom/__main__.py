@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from docloom.config import Settings, app_info
-from docloom.operators.stats import batch_summary, extract_stats, service_stats
+from docloom.operators.stats import batch_summary, service_stats
 from docloom.plans.extract import extract, write_extracts
 from docloom.plans.routes import extract_inputs, take_in
 from docloom.schemas import RESPONSE, TYPES
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _extract(spark: SparkSession, args: argparse.Namespace, settings: Settings, log: logging.Logger) -> int:
     """Print what was written, and the run's statistics; 1 if a file couldn't be read."""
-    found = extract(extract_inputs(spark, args.input, args.recursive), settings, work_dir(spark))
+    found, counts = extract(extract_inputs(spark, args.input, args.recursive), settings, work_dir(spark))
     unsaved = 0
     for row in write_extracts(found, args.output).toLocalIterator():
         if row.error is None:
@@ -86,9 +86,8 @@ def _extract(spark: SparkSession, args: argparse.Namespace, settings: Settings,
             log.error("%s: %s", row.storage_path, row.error)
     for row in found.where("error IS NOT NULL").select("path", "error").toLocalIterator():
         log.error("%s: %s", row.path, row.error)
-    stats = extract_stats(found)
-    print(stats.toJSON().first())
-    return 1 if unsaved or stats.first().failed else 0
+    print(json.dumps(counts))
+    return 1 if unsaved or counts["failed"] else 0
 
 
 if __name__ == "__main__":

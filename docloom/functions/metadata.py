@@ -37,8 +37,9 @@ def _fields(c: Column) -> Column:
 
 def merged(left: Column, right: Column, pretty: bool = False) -> Column:
     """Two JSON objects as one; the right one's values win. Values keep their types."""
-    both = F.map_zip_with(_fields(left), _fields(right), lambda _, a, b: F.coalesce(b, a))
-    return F.to_json(both, {"pretty": str(pretty).lower()})
+    one = F.array(F.struct(_fields(left).alias("a"), _fields(right).alias("b")))  # a lambda's argument is made once
+    both = F.transform(one, lambda s: F.map_concat(F.map_filter(s["a"], lambda k, _: ~F.map_contains_key(s["b"], k)), s["b"]))
+    return F.to_json(F.get(both, 0), {"pretty": str(pretty).lower()})
 
 
 def with_values(c: Column, **values: Column) -> Column:

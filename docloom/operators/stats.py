@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import megabytes
@@ -92,11 +92,16 @@ def preview(files: DataFrame, key: str, name: str, n: int = 3) -> DataFrame:
     return total.join(names, key).select(key, F.concat("names", F.when(F.col("total") > n, "...").otherwise("")).alias("preview"), "total")
 
 
-def extract_stats(results: DataFrame) -> DataFrame:
-    """successful, failed, total_time and start_time of (error, elapsed, started)."""
-    return results.agg(
+def extract_metrics() -> list[Column]:
+    """successful, failed, total_time and start_time as aggregates of (error, elapsed, started)."""
+    return [
         _count_if(F.col("error").isNull()).alias("successful"),
         _count_if(F.col("error").isNotNull()).alias("failed"),
         F.coalesce(F.sum("elapsed"), F.lit(0.0)).alias("total_time"),
         F.min("started").alias("start_time"),
-    )
+    ]
+
+
+def extract_stats(results: DataFrame) -> DataFrame:
+    """successful, failed, total_time and start_time of (error, elapsed, started)."""
+    return results.agg(*extract_metrics())

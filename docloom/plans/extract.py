@@ -10,11 +10,12 @@ from docloom.functions.metadata import merged
 from docloom.functions.text import stem
 from docloom.operators.batch import page_texts
 from docloom.operators.headers import header_text, page_headers, with_headers
+from docloom.operators.stats import extract_metrics
 from docloom.plans.storage import written
 from docloom.sources.markdown import render_pages
 from docloom.sources.pdf import Reader, read_blocks, reader_of
 from docloom.sources.systems import refuse_unshared
-from docloom.work import stored, work_dir
+from docloom.work import measured, stored, work_dir
 
 
 def extracted(blocks: DataFrame, settings: Settings, processor: str = "layout") -> DataFrame:
@@ -43,12 +44,13 @@ def extracted(blocks: DataFrame, settings: Settings, processor: str = "layout")
     )
 
 
-def extract(files: DataFrame, settings: Settings, work: str, reader: Reader | None = None) -> DataFrame:
-    """``extracted`` of (path, content): files are read once, and what was read and made of it is stored below ``work``."""
-    spark = files.sparkSession
-    read_blocks(files, reader or reader_of(settings)).write.parquet(f"{work}/blocks")
-    extracted(spark.read.parquet(f"{work}/blocks"), settings, settings.reader).write.parquet(f"{work}/extracts")
-    return spark.read.parquet(f"{work}/extracts")
+def extract(files: DataFrame, settings: Settings, work: str, reader: Reader | None = None) -> tuple[DataFrame, dict]:
+    """``extracted`` of (path, content), and the run's statistics: files are read once, and what was read and made of it is stored below ``work``.
+
+    The statistics (see ``stats.extract_stats``) are taken as the results pass, without another scan.
+    """
+    blocks = stored(read_blocks(files, reader or reader_of(settings)), f"{work}/blocks")
+    return measured(extracted(blocks, settings, settings.reader), f"{work}/extracts", *extract_metrics())
 
 
 def write_extracts(extracts: DataFrame, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ from docloom.plans.catalog import Catalog, shard_of
 from docloom.plans.claims import folder_of
 from docloom.plans.storage import FileStore, PackStore
 from docloom.schemas import FAILED, INGESTED, MOST_CHARACTERS, RESPONSE
-from docloom.work import stored
+from docloom.work import measured, stored
 
 #: The answers' texts.
 INVALID = "Invalid or corrupted PDF file"
@@ -149,18 +149,19 @@ def ingest(spark: SparkSession, files: DataFrame, validity: DataFrame, settings:
     prefix = BATCH if batch else SINGLE
     rows = checked(files, validity, settings.max_file_size, prefix)
     hashed = stored(rows.withColumn("hash", F.when(F.col("failure").isNull(), content_hash(F.col("content")))).drop("content"), f"{work}/hashed")
+    counted = [F.count_if("is_new").alias("new"), F.count_if(F.col("is_batch") & (F.col("status") == INGESTED)).alias("several")]
     begun = resume and "_SUCCESS" in folder_of(spark, work).names(f"{work}/outcome")
     if begun:
         outcome = spark.read.parquet(f"{work}/outcome")
+        counts = outcome.agg(*counted).first().asDict()
     else:
         base = catalog.heads([r[0] for r in hashed.where("hash IS NOT NULL").select(shard_of(F.col("hash"))).distinct().collect()])
-        outcome = stored(resolved(hashed, catalog.rows(base), store.path()).withColumn("decided", F.current_timestamp()), f"{work}/outcome")
+        outcome, counts = measured(resolved(hashed, catalog.rows(base), store.path()).withColumn("decided", F.current_timestamp()), f"{work}/outcome", *counted)
     new = outcome.where("is_new").select("path", "hash", "storage_path")
-    added, several = outcome.agg(F.count_if("is_new"), F.count_if(F.col("is_batch") & (F.col("status") == INGESTED))).first()
-    if several and not batch:
-        log.info("%d batch files taken in as single documents", several)
+    if counts["several"] and not batch:
+        log.info("%d batch files taken in as single documents", counts["several"])
     contents = files.where(~too_large(F.col("length"), settings.max_file_size)).select("path", "content")
-    done = store.write(contents.join(F.broadcast(new) if added <= MOST_BROADCAST else new, "path"), work)
+    done = store.write(contents.join(F.broadcast(new) if counts["new"] <= MOST_BROADCAST else new, "path"), work)
     if not done.where("error IS NOT NULL").isEmpty():
         outcome = stored(unwritten(outcome, done, prefix), f"{work}/stored")
     lost, attempt = _left(catalog, outcome) if begun else catalog.append(catalog_rows(outcome), base), 0

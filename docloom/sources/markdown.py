@@ -1,12 +1,125 @@
-"""Paginated markdown: pages between ``{n}`` and 48 dashes, n from 0."""
+"""Paginated markdown: pages between ``{n}`` and 48 dashes, n from 0.
+
+``read_pages`` reads files of any size as a data source: a file is cut into ranges of bytes, each a task. A range holds the
+pages whose marks begin in it, so a task seeks its range's beginning, goes on to the first mark, and reads past
+its range's end to where its last page ends. Marks can't overlap, so whatever the ranges are
+the pages are those of the whole text.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from docloom.sources.systems import system_of
 
 RULE = "-" * 48
 DELIMITER = r"\{\d+\}-{48}"
+MARK = re.compile(rb"\{(\d+)\}-{48}")
+SOURCE, SPLIT_BYTES, READ_BYTES, BATCH_BYTES = "paginated_markdown", 64 << 20, 1 << 20, 16 << 20
+PAGES = "path string, page_no int, text string, start long"
+
+
+@dataclass
+class Range(InputPartition):
+    path: str
+    start: int
+    stop: int
+
+
+def pages_in(stream, start: int, stop: int) -> Iterator[tuple[int | None, bytes, int]]:
+    """(number, text, place of the mark) of the pages whose marks begin from ``start`` to before ``stop``; ``stream`` is at ``start``."""
+    held, at, seen = bytearray(), start, 0  # bytes from place ``at``, searched up to ``seen``
+    number, mark, ended = None, None, False
+    while True:
+        more = stream.read(READ_BYTES)
+        held += more
+        while found := MARK.search(held, seen):
+            if mark is not None:
+                yield number, bytes(held[: found.start()]), mark
+            mark = at + found.start()
+            if mark >= stop:
+                return
+            number = int(found[1])
+            at += found.end()
+            del held[: found.end()]
+            seen = 0
+        if not more:
+            if mark is not None:
+                yield number, bytes(held), mark
+            return
+        opened = held.rfind(b"{")  # a mark may go on in what is read next
+        seen = opened if opened >= 0 and re.fullmatch(rb"\{\d*(\}-{0,47})?", held[opened:]) else len(held)
+        if mark is None:
+            at += seen
+            del held[:seen]
+            seen = 0
+            if at >= stop:
+                return
+
+
+class PageReader(DataSourceReader):
+    def __init__(self, paths: list[str], size: int):
+        self.paths, self.size = paths, size
+
+    def partitions(self) -> list[Range]:
+        """Ranges of the files named, and of the ``.md`` files in the folders named."""
+        from pyarrow import fs
+
+        out = []
+        for path in self.paths:
+            system, inner, prefix = system_of(path)
+            info = system.get_file_info(inner)
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            files = [info] if info.type == fs.FileType.File else [i for i in system.get_file_info(fs.FileSelector(inner)) if i.path.endswith(".md")]
+            out += [Range(prefix + f.path, at, min(at + self.size, f.size)) for f in sorted(files, key=lambda i: i.path) for at in range(0, f.size, self.size)]
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        system, inner, _ = system_of(partition.path)
+        rows, size = [], 0
+        with system.open_input_file(inner) as stream:
+            stream.seek(partition.start)
+            for number, text, mark in pages_in(stream, partition.start, partition.stop):
+                rows.append((partition.path, number if number < 1 << 31 else None, text.decode("utf-8", "replace").strip("\n"), mark))
+                size += len(text)
+                if size >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PAGES.split(", ")])
+
+
+class PaginatedMarkdown(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return SOURCE
+
+    def schema(self) -> str:
+        return PAGES
+
+    def reader(self, schema) -> PageReader:
+        return PageReader([p for p in self.options["path"].split("\n") if p], int(self.options.get("splitBytes", SPLIT_BYTES)))
+
+
+def read_pages(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, page_no, text, start) of the pages of markdown files, or of the ``.md`` files of folders; ``start`` is where a page's mark begins.
+
+    Pages are as ``split_pages`` gives them; numbers that are no int are null.
+    """
+    spark.dataSource.register(PaginatedMarkdown)
+    return spark.read.format(SOURCE).option("path", "\n".join(paths)).option("splitBytes", str(split_bytes)).load()
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

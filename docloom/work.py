@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,3 +26,9 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` and read it back, so it is made once and lineage ends."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, path: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregates of the rows that were written, taken as they pass."""
+    seen = Observation()
+    return stored(df.observe(seen, *metrics), path), seen.get

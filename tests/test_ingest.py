@@ -1,7 +1,9 @@
 import dataclasses
 import hashlib
+import io
 import json
 import os
+import random
 import shutil
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -285,13 +287,14 @@ def test_extraction_reads_once_and_measures(spark, place, capsys, monkeypatch):
 
     pdf.register("stub", make)
     own = Settings(storage_dir=own.storage_dir, catalog_dir=own.catalog_dir, reader="stub", use_llm=True)
-    found = extract(routes.extract_inputs(spark, str(landing)), own, str(tmp / "x"))
+    found, measured = extract(routes.extract_inputs(spark, str(landing)), own, str(tmp / "x"))
     got = {r.path.rpartition("/")[2]: r for r in found.collect()}
     assert made[0]["use_llm"] is True and made[0]["output_format"] == "markdown" and len(got) == 5
     told = json.loads(got["a.pdf"].metadata)
     assert (told["producer"], told["pages"], told["processor"], told["use_llm"]) == ("stub", 1, "stub", True)
     assert got["d.pdf"].error == "ValueError: not a document" and got["d.pdf"].text is None and got["d.pdf"].metadata == "{}"
     counts = stats.extract_stats(found).first()
+    assert measured == counts.asDict()
     assert (counts.successful, counts.failed) == (4, 1) and counts.total_time > 0 and counts.start_time == min(r.started for r in got.values())
     for name, value in (("DOCLOOM_READER", "stub"), ("CATALOG_DIR", own.catalog_dir)):
         monkeypatch.setenv(name, value)
@@ -355,6 +358,40 @@ def test_extract_sink_and_markdown(spark, tmp_path):
     assert [tuple(r)[1:] for r in markdown.session_lines(line).collect()] == [("1234", True, "Poster Session, Fri, 8 AM", "NCT01234567"), ("", False, "", "")]
 
 
+def test_split_markdown_gives_the_whole_text_s_pages(spark, tmp_path):
+    rng = random.Random(8)
+    parts = ["{", "}", "-", "-" * 47, "-" * 48, "-" * 49, "{1", "2}", "{12}", "\n", "é", "text ", "{3}" + "-" * 48, "{44}" + "-" * 50, "{99999999999}" + "-" * 48]
+    for k in range(4):
+        (tmp_path / f"{k}.md").write_text("".join(rng.choice(parts) for _ in range(400)) if k else "no mark at all", encoding="utf-8")
+    (tmp_path / "empty.md").write_text("")
+    (tmp_path / "other.txt").write_text("{0}" + "-" * 48)
+    whole = [(m.start(), int(m[1])) for m in markdown.MARK.finditer((tmp_path / "1.md").read_bytes())]
+    want = set()
+    for name in ("0.md", "1.md", "2.md", "3.md"):
+        data = (tmp_path / name).read_bytes()
+        marks = list(markdown.MARK.finditer(data))
+        want |= {(name, int(m[1]) if int(m[1]) < 1 << 31 else None, data[m.end() : n.start() if n else None].decode().strip("\n"), m.start()) for m, n in zip(marks, [*marks[1:], None][: len(marks)], strict=True)}
+    for size in (1, 7, 50, 1 << 20):
+        for name in ("0.md", "1.md", "2.md", "3.md") if size < 50 else ():
+            data = (tmp_path / name).read_bytes()
+            own = [(name, n if n < 1 << 31 else None, t.decode().strip("\n"), at) for a in range(0, len(data), size) for n, t, at in markdown.pages_in(io.BytesIO(data[a:]), a, min(a + size, len(data)))]
+            assert len(own) == len(set(own)) and set(own) == {w for w in want if w[0] == name}
+    for size in (500, 1 << 20):
+        df = markdown.read_pages(spark, str(tmp_path), split_bytes=size)
+        rows = [(r.path.rpartition("/")[2], r.page_no, r.text, r.start) for r in df.collect()]
+        assert len(rows) == len(want) and set(rows) == want and len(whole) > 3
+    assert markdown.read_pages(spark, str(tmp_path / "1.md"), split_bytes=100).rdd.getNumPartitions() > 10
+    small = markdown.READ_BYTES
+    try:
+        markdown.READ_BYTES = 5
+        data = (tmp_path / "2.md").read_bytes()
+        assert [(at, n) for n, _, at in markdown.pages_in(io.BytesIO(data), 0, len(data))] == [(m.start(), int(m[1])) for m in markdown.MARK.finditer(data)]
+    finally:
+        markdown.READ_BYTES = small
+    with pytest.raises(Exception, match="none.md"):
+        markdown.read_pages(spark, str(tmp_path / "none.md")).count()
+
+
 def landed(spark, landing, own, tmp, seen):
     check = lambda f: validity.valid_light(pdf.read_blocks(f, reader).where("error IS NULL"))
     ingest_landing(spark, str(landing), "abstract", own, str(tmp / "work"), check, lambda df, n: seen.append({r.path.rpartition("/")[2]: (r.message, r.is_duplicate) for r in df.collect()})).awaitTermination()
