@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from docloom.llm.cutting import plan
 from docloom.llm.words import text_bytes
 
 CAPACITY, END = 1024, 0
-#: Bytes of texts handled at a time, distinct parts whose ids a worker keeps, and rows of one length in a rank group.
-CHUNK_BYTES, MOST_KEPT, GROUP_ROWS = 8 << 20, 400_000, 10_000
+#: Parts that the library gets as one text.
+JOINED = 512
+#: Bytes of texts handled at a time, distinct parts after which a worker forgets those that it kept, and rows of one length in a rank group.
+CHUNK_BYTES, MOST_KEPT, GROUP_ROWS = 8 << 20, 500_000, 10_000
 TOKENS = "doc_id long, doc_tokens long, blocks array<binary>, tail_tokens int, tail binary"
 _SOLID, _ALNUM, _PUNCT = (np.zeros(256, bool) for _ in range(3))
 _SOLID[0x21:0x7F] = True
@@ -65,18 +68,37 @@ class Encoder:
 
         self.library = Tokenizer.from_str(json)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, np.ndarray] = {}
-
-    def _part_ids(self, parts: list[bytes]) -> list[np.ndarray]:
-        fresh = [p for p in parts if p not in self.kept]
-        found = self.library.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-        own = dict(zip(fresh, (np.array(e.ids, "<u4") for e in found), strict=True))
-        out = [own[p] if p in own else self.kept[p] for p in parts]
-        if len(self.kept) + len(own) > MOST_KEPT:
-            self.kept = {}
-        if len(own) <= MOST_KEPT:
-            self.kept |= own
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        """Kept parts have slots; a slot's ids are ``flat[start : start + size]``."""
+        self.kept: dict[bytes, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and how many each has. Parts go to the library with a special token between them, which it never joins across; that is cheaper than one by one."""
+        encode = lambda texts: [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.special or any(t in p for t in self.special for p in parts):
+            found = encode([p.decode() for p in parts])
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), "<u4", int(size.sum())), size
+        between = self.special[0]
+        found = encode([(between.join(parts[i : i + JOINED]) + between).decode() for i in range(0, len(parts), JOINED)])
+        flat = np.fromiter(chain.from_iterable(found), "<u4")
+        ends = np.flatnonzero(flat == self.library.token_to_id(between.decode()))
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
+    def _slots(self, parts: list[bytes]) -> np.ndarray:
+        """A slot of each of the distinct parts; new ones are encoded."""
+        if len(self.kept) > MOST_KEPT:
+            self._forget()
+        kept = self.kept
+        fresh = [p for p in parts if p not in kept]
+        flat, size = self._encoded(fresh)
+        kept.update(zip(fresh, range(len(kept), len(kept) + len(fresh)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        return np.fromiter(map(kept.__getitem__, parts), np.int64, len(parts))
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bytes where a part begins: those of rows, and within rows where no token can reach across."""
@@ -102,13 +124,10 @@ class Encoder:
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         cuts = self._cuts(data, offsets)
         parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data.tobytes())]).dictionary_encode()
-        own = self._part_ids(parts.dictionary.to_pylist())
-        which = parts.indices.to_numpy()
-        size = np.array([len(x) for x in own], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat, n = np.concatenate(own), size[which]
+        which = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        n = self.size[which]
         ends = np.cumsum(n)
-        out = flat[np.arange(ends[-1]) + np.repeat(start[which] - (ends - n), n)]
+        out = self.flat[np.arange(ends[-1]) + np.repeat(self.start[which] - (ends - n), n)]
         return out, np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
 
 
