@@ -49,7 +49,7 @@ def dearest_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tup
     return gain, pattern
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, left_over: float = 2e-3) -> list[tuple[np.ndarray, float]]:
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, left_over: float = 4e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each (not rounded), by column generation.
 
     Ends when no pattern gains, when no more than a share ``left_over`` of the tokens

@@ -59,6 +59,18 @@ def tokenizer_json(path: str | None = None) -> str:
         return file.read()
 
 
+class Slots(dict):
+    """Numbers of keys in order of first use; ``fresh`` has the keys that are new since it was emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self.fresh.append(key)
+        self[key] = at = len(self)
+        return at
+
+
 class Encoder:
     """Ids of whole texts, with the ids of frequent parts kept."""
 
@@ -72,7 +84,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Kept parts have slots; a slot's ids are ``flat[start : start + size]``."""
-        self.kept: dict[bytes, int] = {}
+        self.kept = Slots()
         self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +104,12 @@ class Encoder:
         """A slot of each of the distinct parts; new ones are encoded."""
         if len(self.kept) > MOST_KEPT:
             self._forget()
-        kept = self.kept
-        fresh = [p for p in parts if p not in kept]
-        flat, size = self._encoded(fresh)
-        kept.update(zip(fresh, range(len(kept), len(kept) + len(fresh)), strict=True))
+        slots = np.fromiter(map(self.kept.__getitem__, parts), np.int64, len(parts))
+        flat, size = self._encoded(self.kept.fresh)
+        self.kept.fresh = []
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        return np.fromiter(map(kept.__getitem__, parts), np.int64, len(parts))
+        return slots
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bytes where a part begins: those of rows, and within rows where no token can reach across."""
