@@ -35,6 +35,8 @@ SHARD, DIGITS = "shard", 2
 MOST_COMMITS, AT_A_TIME = 32, 16
 #: Rows of a page's range beyond which it is divided further.
 MOST_TOGETHER = 10_000
+#: Bytes of a row group: rows are sorted by hash, so a lookup reads the group whose range holds it.
+GROUP_BYTES = 8 << 20
 DOCUMENTS, STATUS = "documents", "status"
 
 
@@ -154,7 +156,7 @@ class Catalog:
         """Stage rows, one file a shard, and claim the next version of each shard; the shards that another was first with."""
         claims, token = self.claims, uuid.uuid4().hex
         at = f"{self.path}/staging/{token}"
-        rows.withColumn(SHARD, shard_of(F.col(key))).repartition(SHARD).sortWithinPartitions(SHARD, key).write.option("parquet.bloom.filter.enabled#hash", "true").partitionBy(SHARD).parquet(at)
+        rows.withColumn(SHARD, shard_of(F.col(key))).repartition(SHARD).sortWithinPartitions(SHARD, key).write.option("parquet.block.size", str(GROUP_BYTES)).partitionBy(SHARD).parquet(at)
         staged = [n.partition("=")[2] for n in claims.folder.names(at) if n.startswith(f"{SHARD}=")]
 
         def one(shard: str) -> bool:
@@ -233,6 +235,25 @@ class Catalog:
                 self._keep_compact(shards)
                 return True
 
+    def bring_in(self, rows: DataFrame) -> None:
+        """Add those of some rows whose hashes the catalog doesn't have, whoever else writes meanwhile."""
+        base = self.heads()
+        lost = self.append(rows.join(self.rows(base).select("hash"), "hash", "left_anti"), base)
+        while lost:
+            base = self.heads(lost)
+            lost = self.append(rows.where(shard_of(F.col("hash")).isin(lost)).join(self.rows(base).select("hash"), "hash", "left_anti"), base)
+
+    def log_statuses(self, rows: DataFrame) -> None:
+        """Log many statuses (id, status, ts) of documents that are there; ids of none are passed over."""
+        wrong = F.raise_error(F.lit("a wrong status"))
+        rows = rows.select("id", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(wrong).alias("status"), "ts")
+        lost = None
+        while lost is None or lost:
+            base = self.heads(lost)
+            own = rows if lost is None else rows.where(shard_of(F.col("id")).isin(lost))
+            lost = self._commit(own.join(self._read(DOCUMENTS, CATALOG, base).select("id"), "id", "left_semi").select(*STATUS_LOG.names), "id", STATUS, base)
+        self._keep_compact(self.claims.shards())
+
     def statuses(self) -> DataFrame:
         return latest_status(self.log())
 

@@ -16,8 +16,10 @@ from docloom.functions import text as fn
 from docloom.operators import batch, dedup, headers, stats, validity
 from docloom.plans import catalog as cat
 from docloom.plans import extract, ingest
-from docloom.plans.storage import FileStore
+from docloom.plans.storage import FileStore, PackStore, written
+from docloom.sources import files as sources
 from docloom.sources import markdown
+from docloom.work import stored, work_dir
 
 STORE = "/store"
 #: The production limit, and one that many documents go over.
@@ -281,12 +283,98 @@ def paginated_split(spark, sf_dir):
     return markdown.split_pages(markdown.render_pages(turns, "conv_id")).select("conv_id", "page_no", "text")
 
 
+def _contents(spark, sf_dir):
+    return _files(spark, sf_dir).withColumn("content", F.col("text").cast("binary"))
+
+
+def ingest_run(spark, sf_dir):
+    """Publications are taken in, then all documents: contents checked, packed and catalogued, and the second run's answers."""
+    at = work_dir(spark)
+    own = Settings(storage_dir=f"{at}/storage", catalog_dir=f"{at}/catalog", packed=True)
+    files, valid = _contents(spark, sf_dir), validity.valid_light(_lines(spark, sf_dir))
+    ingest.ingest(spark, files.where("type = 'publication'"), valid, own, f"{at}/first")
+    return ingest.ingest(spark, files, valid, own, f"{at}/second").select("path", "document_id", "original_filename", "type", "status", "message", "is_duplicate")
+
+
+def catalog_round_trip(spark, sf_dir):
+    """All documents in two commits, the second against versions that the first has overtaken; statuses logged, and all compacted."""
+    catalog = cat.Catalog(spark, work_dir(spark))
+    catalog.create()
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    firsts = dedup.first_wins(_files(spark, sf_dir), "path").where("is_first")
+    dated = {c: at for c in ("upload_date", "created_at", "updated_at")}
+    rows = firsts.select(ingest.document_id(F.col("hash")).alias("id"), F.col("name").alias("original_filename"), F.lit("/s").alias("storage_path"), "type", "hash", F.lit("ingested").alias("status"), "metadata").withColumns(dated)
+    before = catalog.heads()
+    catalog.append(rows.where("type = 'publication'"), before)
+    lost = catalog.append(rows, before)
+    catalog.bring_in(rows.where(cat.shard_of(F.col("hash")).isin(lost)))
+    catalog.log_statuses(rows.where("hash < '4'").select("id", F.lit("processing_failed").alias("status"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ts")))
+    catalog.compact()
+    return catalog.rows().select("id", "hash", "original_filename", "type", "status")
+
+
+def packed_round_trip(spark, sf_dir):
+    """All contents packed and read again by ranges."""
+    store = PackStore(spark, f"{(at := work_dir(spark))}/storage")
+    store.bootstrap()
+    files = _contents(spark, sf_dir)
+    store.write(files.dropDuplicates(["hash"]).select("hash", "content"), at)
+    back = store.read(files).select("hash", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("found"))
+    return files.select("doc_id", "hash").join(back, "hash").select("doc_id", "length", "found")
+
+
+def _filed(spark, sf_dir):
+    """Every content as a file of a store; the store's folder."""
+    store = FileStore(spark, f"{(at := work_dir(spark))}/storage")
+    store.bootstrap()
+    files = _contents(spark, sf_dir).dropDuplicates(["hash"])
+    store.write(files.withColumn("name", F.lit("x.pdf")).withColumn("type", F.lit("abstract")).withColumn("storage_path", store.path()).select("hash", "storage_path", "content"), at)
+    return store.base
+
+
+def storage_scan(spark, sf_dir):
+    """Stored files as a listing finds them, empty ones too."""
+    return sources.scan_storage(spark, _filed(spark, sf_dir)).select(fn.basename(F.col("path")).alias("name"), "length")
+
+
+def folder_scan(spark, sf_dir):
+    """Stored files as a folder's scan reads them."""
+    found = sources.scan_directory(spark, _filed(spark, sf_dir), "abstract", recursive=True)
+    return found.select("name", "length", F.sha2("content", 256).alias("hash"), meta.field(F.col("metadata"), "source_type").alias("source_type"), "error")
+
+
+def dedup_vs_repeated_catalog(spark, sf_dir):
+    """A catalog that has every hash twice gives every file one answer still."""
+    files = _files(spark, sf_dir)
+    own = _catalog(files)
+    found = dedup.against_catalog(files, own.unionByName(own.withColumn("id", F.concat(F.lit("0"), "id")).withColumn("original_filename", F.lit("other"))))
+    return found.select("doc_id", F.col("known.id").alias("known_id"), F.col("known.original_filename").alias("known_name"))
+
+
+def list_after(spark, sf_dir):
+    """The page after the 20th row, by its key."""
+    rows = _dated(spark, sf_dir)
+    last = cat.page_of(rows, 1, 19).first()
+    return cat.page_after(rows, 100, last.upload_date if last else None, last.id if last else None).select("id", "original_filename")
+
+
+def paginated_ranges(spark, sf_dir):
+    """Conversations as files of paginated markdown, read by ranges of 1,000 bytes."""
+    at = work_dir(spark)
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page_no"), "text")
+    texts = markdown.render_pages(turns, "conv_id").select(F.concat(F.lit(f"{at}/md/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("storage_path"), F.col("markdown").cast("binary").alias("content"))
+    stored(written(texts), f"{at}/written")
+    pages = markdown.read_pages(spark, f"{at}/md", split_bytes=1000)
+    return pages.select(fn.stem(F.col("path")).cast("long").alias("conv_id"), "page_no", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         content_hash, dedup_first_wins, dedup_vs_catalog, new_documents, orphan_files, valid_files, valid_layout, size_check, directory_results, directory_answer, metadata_or_empty, extracts, extract_stats, is_batch_layout, ingest_responses, batch_summary, directory_summary,
         storage_stats, service_stats, pdf_count_by_folder, folder_preview, list_documents, find_by_hash, find_by_id, latest_status, metadata_extract,
         metadata_merge, is_batch, is_batch_standard, page_difference, turn_similarity, page_counts, strip_html, page_headers, header_text, block_text, paginated_split,
+        ingest_run, catalog_round_trip, packed_round_trip, storage_scan, folder_scan, dedup_vs_repeated_catalog, list_after, paginated_ranges,
     )
 }
 
@@ -380,5 +468,13 @@ ORACLES = {
 both_ AS (SELECT page_id, CASE WHEN len(own) > 0 THEN own ELSE spare END AS headers FROM own)
 SELECT page_id, chr(10) || '--- Page 1 Header ---' || chr(10) || array_to_string(headers, chr(10)) || chr(10) || '---' || chr(10) || chr(10) AS header_text FROM both_ WHERE len(headers) > 0""",
     "block_text": f"""WITH blocks AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND text <> '' THEN trim(text, '{_WS}') ELSE nullif({BARE.format("'<p> ' || text || ' </p>'")}, '') END AS t FROM conversations) SELECT conv_id, coalesce(string_agg(t, ' ' ORDER BY turn), '') AS text FROM blocks GROUP BY conv_id""",
+    "ingest_run": f"WITH {OUTCOME} SELECT path, document_id, original_filename, type, status, message, is_duplicate FROM outcome",
+    "catalog_round_trip": f"WITH {FILES}, firsts AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY hash ORDER BY path) = 1) SELECT {_uuid('hash')} AS id, hash, name AS original_filename, type, CASE WHEN hash < '4' THEN 'processing_failed' ELSE 'ingested' END AS status FROM firsts",
+    "packed_round_trip": f"WITH {FILES} SELECT doc_id, length, hash AS found FROM files",
+    "storage_scan": f"WITH {FILES} SELECT DISTINCT hash || '_x.pdf' AS name, length FROM files",
+    "folder_scan": f"WITH {FILES} SELECT DISTINCT hash || '_x.pdf' AS name, length, hash, 'directory_scan' AS source_type, NULL::VARCHAR AS error FROM files",
+    "dedup_vs_repeated_catalog": f"WITH {FILES}, {_catalog_sql()} SELECT doc_id, CASE WHEN '0' || c.id < c.id THEN '0' || c.id ELSE c.id END AS known_id, CASE WHEN '0' || c.id < c.id THEN 'other' ELSE c.original_filename END AS known_name FROM files LEFT JOIN catalog c USING (hash)",
+    "list_after": f"WITH {FILES}, {_catalog_sql()} SELECT id, original_filename FROM catalog ORDER BY ('0x' || substr(hash, 1, 6))::BIGINT, id LIMIT 100 OFFSET 20",
+    "paginated_ranges": "SELECT conv_id, turn::INT AS page_no, trim(coalesce(text, ''), chr(10)) AS text FROM conversations",
     "paginated_split": "SELECT conv_id, turn::INT AS page_no, trim(coalesce(text, ''), chr(10)) AS text FROM conversations",
 }
