@@ -125,6 +125,46 @@ def op12_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _op13_sql() -> str:
+    """Cheapest repairs row by row: of each state (0 to 3, see ``repair``) the least (cost, audit, turns) so far, inserts closed over three times before and after each row."""
+    states, least = range(4), lambda xs: xs[0] if len(xs) == 1 else f"list_min([{', '.join(xs)}])"
+    way = lambda s, cost, letter, line="": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {f'list_append({s}.t, {line})' if line else f'{s}.t'}}}"
+
+    def closed(source: str, kept: str) -> str:
+        for _ in range(3):
+            made = [least([f"s{t}", *(way(f"s{s}", repair.INSERT, "I", f"'{repair.ROLE[t]}:'") for s in repair.BEFORE[t])]) + f" AS s{t}" for t in states]
+            source = f"(SELECT {kept}, {', '.join(made)} FROM {source})"
+        return source
+
+    def passed(t: int) -> str:
+        kept = [f"CASE WHEN NOT must_go AND initial = '{i}' THEN {way(f's{s}', 'more', 'K', 'line')} END" for i, to in repair.KEPT.items() for s, end in to.items() if end == t]
+        roled = [f"CASE WHEN NOT must_go THEN {way(f's{s}', f'{repair.REROLE} + more', 'R', f"'{repair.ROLE[t]}:' || text")} END" for s in repair.BEFORE[t]]
+        return least([way(f"s{t}", repair.DELETE, "D"), *kept, *roled]) + f" AS s{t}"
+
+    begin = ", ".join(f"{{'c': {0 if t == repair.START else 1_000_000_000}::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s{t}" for t in states)
+    all_states = ", ".join(f"s{t}" for t in states)
+    joined = f"(SELECT w.conv, w.i, {all_states}, initial, must_go, more, line, text FROM walk w JOIN rows r ON r.conv IS NOT DISTINCT FROM w.conv AND r.i = w.i + 1)"
+    bit = "list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: {bit}), 4294967295)"
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {crc} % 20 AS kind FROM keyed),
+damaged AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+seen AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS known FROM placed),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN known THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+rows AS MATERIALIZED (SELECT conv, i, turn, role[1:1] AS initial, fault, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN {repair.TRUNCATED} ELSE 0 END AS more, role || ':' || text AS line, text,
+  coalesce(lag(role[1:1]) OVER (PARTITION BY conv ORDER BY i) || role[1:1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM faults),
+counts AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(illegal) AS illegal FROM rows GROUP BY conv),
+walk AS (SELECT conv, 0::BIGINT AS i, {begin} FROM counts
+  UNION ALL SELECT conv, i + 1, {", ".join(map(passed, states))} FROM {closed(joined, "conv, i, initial, must_go, more, line, text")}),
+best AS (SELECT conv, list_min([s{repair.START}, s{repair.ASSISTANT}]) AS b FROM {closed("(SELECT w.* FROM walk w JOIN counts c ON c.conv IS NOT DISTINCT FROM w.conv AND w.i = c.n)", "conv")})
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_bucket_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
@@ -150,4 +190,5 @@ ORACLES: dict[str, str] = {
     "op1_legacy_archive": OP1_SQL,
     "op5_jaccard_rtree": OP5_SQL,
     "op11_pair_naming": OP11_SQL,
+    "op13_bucket_queue": _op13_sql(),
 }

@@ -111,7 +111,7 @@ def test_op10(spark, docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     own = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df, want = QUERIES[name](spark, SF_DIR), own.execute(ORACLES[name])
     names = [d[0] for d in want.description]
