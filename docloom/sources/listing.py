@@ -126,11 +126,13 @@ def dealt(files: DataFrame) -> DataFrame:
 
 
 def with_contents_of(spark: SparkSession, files: DataFrame, most: int) -> DataFrame:
-    """``with_contents``, by Spark's own source where the first path's file system is one that pyarrow doesn't know."""
+    """``with_contents``, by Spark's own source where the first path's file system is one that pyarrow doesn't know; that one doesn't show hidden files, which are errors then."""
     first = files.select("path").first()
     if first is None or is_known(first[0]):
         return with_contents(dealt(files), most)
     folders = [r[0] for r in files.select("root").distinct().collect()]
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).where(F.col("length") <= min(most, MOST_READABLE)).select("path", "content")
-    content = F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.col("content"))
-    return files.join(read, "path", "left").withColumn("content", content).select(*files.columns, "content")
+    found = files.join(read, "path", "left").withColumn("content", F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.col("content")))
+    unread = F.col("error").isNull() & F.col("content").isNull() & (F.col("length") <= most)
+    error = F.when(unread, "Spark's source doesn't show this file").otherwise(F.col("error"))
+    return found.withColumn("error", error).select(*files.columns, "content")

@@ -19,7 +19,7 @@ from docloom.plans import catalog as cat
 from docloom.plans import ingest as ingestion
 from docloom.plans import routes, storage
 from docloom.plans.catalog import Catalog
-from docloom.plans.claims import Head
+from docloom.plans.claims import HadoopFolder, Head
 from docloom.plans.extract import extract, extracted, write_extracts
 from docloom.plans.ingest import ingest
 from docloom.schemas import CATALOG
@@ -217,6 +217,30 @@ def test_commits_are_claimed_once_and_finished_by_others(spark, tmp_path):
     assert head.version == 0 or not claims.take(shard, Head(head.version, head.generation, "late", "documents"))
 
 
+def test_folders_by_hadoop(spark, tmp_path):
+    own = HadoopFolder(spark, f"file://{tmp_path}")
+    own.make(f"{tmp_path}/a/b")
+    assert own.put_if_absent(f"{tmp_path}/a/b/1", "first") and not own.put_if_absent(f"{tmp_path}/a/b/1", "second")
+    assert own.read(f"{tmp_path}/a/b/1") == "first" and own.read(f"{tmp_path}/none") == "" and own.names(f"{tmp_path}/none") == []
+    assert own.move(f"{tmp_path}/a/b", f"{tmp_path}/c/d") and not own.move(f"{tmp_path}/a/b", f"{tmp_path}/c/e")
+    assert [n for n in own.names(f"{tmp_path}/c/d") if not n.startswith(".")] == ["1"]
+    own.delete(f"{tmp_path}/c")
+    assert own.names(f"{tmp_path}/c") == []
+
+
+def test_a_file_system_that_only_spark_reads(spark, place):
+    landing, own, tmp = place
+    (landing / "empty.pdf").write_bytes(b"")
+    (landing / ".hidden.pdf").write_text("a hidden document")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./in", f"file://{landing}")
+    got = {r.name: (bytes(r.content) if r.content is not None else None, r.error) for r in files.scan_directory(spark, "viewfs://shelf/in", "abstract", most=100).collect()}
+    hidden = got.pop(".hidden.pdf")
+    assert hidden[0] is None and hidden[1]
+    assert got == {"a.pdf": (b"first document", None), "b.PDF": (b"first document", None), "c.pdf": (b"short", None), "d.pdf": (b"bad file here", None), "e.pdf": (None, None), "empty.pdf": (b"", None)}
+    deep = {r.path for r in files.scan_storage(spark, "viewfs://shelf/in").collect()}
+    assert "viewfs://shelf/in/deep/g.pdf" in deep and len(deep) == 9
+
+
 def test_compaction_keeps_readers_and_bounds_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cat, "MOST_COMMITS", 4)
     catalog = Catalog(spark, str(tmp_path))
@@ -234,6 +258,8 @@ def test_compaction_keeps_readers_and_bounds_files(spark, tmp_path, monkeypatch)
     assert [{r.status: r["count"] for r in s} for s in states] == [{"ingested": 1, "processing_failed": k} for k in range(1, 11)]
     assert catalog.compact() == []
     assert catalog.check().count() == 0 and catalog.rows().count() == 11 and catalog.log().count() == 0
+    found = catalog.find_by_hash(catalog_row(same[1])[5])
+    assert found.count() == 1 and len(found.inputFiles()) == 1
     held = catalog.rows()
     assert catalog.compact() == [] and held.count() == 11  # planned before, read after
 
