@@ -37,6 +37,8 @@ MOST_COMMITS, AT_A_TIME = 32, 16
 MOST_TOGETHER = 10_000
 #: Bytes of a row group: rows are sorted by hash, so a lookup reads the group whose range holds it.
 GROUP_BYTES = 8 << 20
+#: Rows of a file of a compacted shard, about: larger shards are divided by the hash's next digits, which the files' folders bear.
+FILE_ROWS, PART = 1_000_000, "part"
 DOCUMENTS, STATUS = "documents", "status"
 
 
@@ -138,25 +140,33 @@ class Catalog:
         with ThreadPoolExecutor(AT_A_TIME) as pool:
             return [p for found in pool.map(of, [s for s, h in heads.items() if h.version]) for p in found]
 
-    def _read(self, kind: str, schema: T.StructType, heads: Mapping[str, Head]) -> DataFrame:
+    def _read(self, kind: str, schema: T.StructType, heads: Mapping[str, Head], key: str | None = None) -> DataFrame:
+        """Rows of some shards' versions; those that may hold a hash or id alone, if ``key`` is one."""
         paths = self._commits(heads, kind)
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if key is not None:
+            paths = [p for at in paths for p in self._parts(at, key)]
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _parts(self, commit: str, key: str) -> list[str]:
+        parts = [n for n in self.claims.folder.names(commit) if n.startswith(f"{PART}=")]
+        return [f"{commit}/{n}" for n in parts if key[DIGITS:].startswith(n.partition("=")[2])] if parts else [commit]
 
     def log(self, heads: Mapping[str, Head] | None = None) -> DataFrame:
         return self._read(STATUS, STATUS_LOG, self.heads() if heads is None else heads)
 
-    def rows(self, heads: Mapping[str, Head] | None = None) -> DataFrame:
-        """All documents, or those of some shards' versions (see ``heads``), with their present status."""
+    def rows(self, heads: Mapping[str, Head] | None = None, key: str | None = None) -> DataFrame:
+        """All documents, or those of some shards' versions (see ``heads``), with their present status; ``key``, a hash or an id without hyphens, spares what can't hold it."""
         heads = self.heads() if heads is None else heads
-        own = self._read(DOCUMENTS, CATALOG, heads)
+        own = self._read(DOCUMENTS, CATALOG, heads, key)
         changed = self.log(heads).groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
         return own.join(changed, "id", "left").select(*(F.coalesce("__status", "status").alias(c) if c == "status" else F.coalesce("__ts", c).alias(c) if c == "updated_at" else c for c in CATALOG.names))
 
-    def _commit(self, rows: DataFrame, key: str, kind: str, base: Mapping[str, Head], generations: int = 0) -> list[str]:
-        """Stage rows, one file a shard, and claim the next version of each shard; the shards that another was first with."""
+    def _commit(self, rows: DataFrame, key: str, kind: str, base: Mapping[str, Head], generations: int = 0, digits: int = 0) -> list[str]:
+        """Stage rows, one file a shard (or one for each of its ``digits`` next digits), and claim the next version of each shard; the shards that another was first with."""
         claims, token = self.claims, uuid.uuid4().hex
         at = f"{self.path}/staging/{token}"
-        rows.withColumn(SHARD, shard_of(F.col(key))).repartition(SHARD).sortWithinPartitions(SHARD, key).write.option("parquet.block.size", str(GROUP_BYTES)).partitionBy(SHARD).parquet(at)
+        by = {SHARD: shard_of(F.col(key))} | ({PART: F.substring(key, DIGITS + 1, digits)} if digits else {})
+        rows.withColumns(by).repartition(*by).sortWithinPartitions(*by, key).write.option("parquet.block.size", str(GROUP_BYTES)).partitionBy(*by).parquet(at)
         staged = [n.partition("=")[2] for n in claims.folder.names(at) if n.startswith(f"{SHARD}=")]
 
         def one(shard: str) -> bool:
@@ -194,7 +204,11 @@ class Catalog:
     def compact(self, shards: Iterable[str] | None = None) -> list[str]:
         """Fold the commits and statuses of all shards, or of some, into new generations; return those that a writer was first with, left as they are."""
         base = {s: h for s, h in self.heads(shards).items() if h.version}
-        lost = self._commit(self.rows(base), "hash", DOCUMENTS, base, generations=1)
+        rows = self.rows(base)
+        most, digits = rows.groupBy(shard_of(F.col("hash"))).count().agg(F.max("count")).first()[0] or 0, 0
+        while most > FILE_ROWS * 16**digits:
+            digits += 1
+        lost = self._commit(rows, "hash", DOCUMENTS, base, generations=1, digits=digits)
         claims = self.claims
         for shard, head in base.items():
             if shard not in lost:
@@ -205,11 +219,11 @@ class Catalog:
         return lost
 
     def find_by_hash(self, hash_: str) -> DataFrame:
-        return by_hash(self.rows(self.heads([hash_[:DIGITS]])), hash_)
+        return by_hash(self.rows(self.heads([hash_[:DIGITS]]), hash_), hash_)
 
     def find_by_id(self, id_: str) -> DataFrame:
-        shard = self.spark.range(1).select(shard_of(normalised_uuid(F.lit(id_)))).first()[0]
-        return by_id(self.rows(self.heads([shard] if shard else [])), id_)
+        key = (self.spark.range(1).select(normalised_uuid(F.lit(id_))).first()[0] or "").replace("-", "")
+        return by_id(self.rows(self.heads([key[:DIGITS]] if key else []), key), id_)
 
     def exists(self, hash_: str) -> bool:
         return not self.find_by_hash(hash_).isEmpty()

@@ -264,6 +264,23 @@ def test_compaction_keeps_readers_and_bounds_files(spark, tmp_path, monkeypatch)
     assert catalog.compact() == [] and held.count() == 11  # planned before, read after
 
 
+def test_a_lookup_opens_as_few_files_in_a_large_catalog(spark, tmp_path, monkeypatch):
+    """Files opened don't grow with the catalog, by hash or by id, and answers stay."""
+    monkeypatch.setattr(cat, "FILE_ROWS", 3)
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.create()
+    rows = [r for r in map(catalog_row, range(3000)) if r[5].startswith("0")]
+    assert catalog.append(spark.createDataFrame(rows[:100], CATALOG)) == [] and catalog.compact() == []
+    catalog.bring_in(spark.createDataFrame(rows[60:], CATALOG))
+    assert catalog.compact() == []
+    assert len(catalog.rows().inputFiles()) > 80 and catalog.rows().count() == len(rows) and catalog.check().count() == 0
+    for r in rows[::40]:
+        for found in (catalog.find_by_hash(r[5]), catalog.find_by_id(r[0].upper())):
+            assert len(found.inputFiles()) == 1 and [(f.id, f.hash, f.original_filename) for f in found.collect()] == [(r[0], r[5], r[1])]
+    assert catalog.update_status(rows[7][0], "processing_failed") and catalog.find_by_id(rows[7][0]).first().status == "processing_failed"
+    assert catalog.find_by_hash("ff" * 32).count() == 0
+
+
 @pytest.mark.parametrize("together", [10_000, 3])
 def test_pages(spark, monkeypatch, together):
     monkeypatch.setattr(cat, "MOST_TOGETHER", together)
