@@ -97,6 +97,9 @@ def chunks(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
+            if held and size + batch.nbytes > 4 * CHUNK_BYTES:  # a very long text stays by itself
+                yield _chunk(number, pa.Table.from_batches(held))
+                held, size, number = [], 0, number + 1
             held.append(batch)
             size += batch.nbytes
             if size >= CHUNK_BYTES:

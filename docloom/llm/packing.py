@@ -167,6 +167,9 @@ def tokens(docs: DataFrame, json: str, capacity: int = CAPACITY, end: int = END)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            if held and size + batch.nbytes > 4 * CHUNK_BYTES:  # a very long text stays by itself
+                yield cut(pa.Table.from_batches(held))
+                held, size = [], 0
             held.append(batch)
             size += batch.nbytes
             if size >= CHUNK_BYTES:
