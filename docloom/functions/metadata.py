@@ -42,6 +42,20 @@ def merged(left: Column, right: Column, pretty: bool = False) -> Column:
     return F.to_json(F.get(both, 0), {"pretty": str(pretty).lower()})
 
 
+def variant(c: Column) -> Column:
+    """Metadata as a VARIANT that is always an object; what isn't one is ``{}``."""
+    parsed_ = F.try_parse_json(c)
+    return F.when(F.schema_of_variant(parsed_).startswith("OBJECT"), parsed_).otherwise(F.parse_json(F.lit("{}")))
+
+
+def merged_variants(left: Column, right: Column) -> Column:
+    """Two VARIANT objects as one; the right one's values win, and all keep their types. Nothing is written as text or parsed."""
+    fields = lambda c: F.coalesce(F.try_variant_get(c, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    one = F.array(F.struct(fields(left).alias("a"), fields(right).alias("b")))
+    both = F.transform(one, lambda s: F.map_concat(F.map_filter(s["a"], lambda k, _: ~F.map_contains_key(s["b"], k)), s["b"]))
+    return F.to_variant_object(F.get(both, 0))
+
+
 def with_values(c: Column, **values: Column) -> Column:
     """A JSON object with further text values, which win."""
     return merged(c, F.to_json(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string"))))))

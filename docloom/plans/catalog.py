@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.metadata import variant
 from docloom.functions.text import normalised_uuid
 from docloom.operators.dedup import latest_status, repeated_hashes
 from docloom.plans.claims import Claims, Head
-from docloom.schemas import CATALOG, MOST_CHARACTERS, STATUS_LOG, STATUSES, TYPES
+from docloom.schemas import CATALOG, HOT_KEYS, MOST_CHARACTERS, STATUS_LOG, STATUSES, STORED, TYPES
 
 SHARD, DIGITS = "shard", 2
 #: Commits of a shard after which it is compacted, and shards that are worked on at a time.
@@ -95,6 +96,15 @@ def by_id(rows: DataFrame, id_: str) -> DataFrame:
     return rows.where(F.col("id") == normalised_uuid(F.lit(id_))).limit(1)
 
 
+def _as_stored(rows: DataFrame) -> DataFrame:
+    own = rows.withColumn("metadata", variant(F.col("metadata")))
+    return own.select(*CATALOG.names, *(F.try_variant_get("metadata", f"$.{k}", "string").alias(k) for k in HOT_KEYS))
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.to_json("metadata").alias(c) if c == "metadata" else c for c in CATALOG.names))
+
+
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
@@ -154,12 +164,21 @@ class Catalog:
     def log(self, heads: Mapping[str, Head] | None = None) -> DataFrame:
         return self._read(STATUS, STATUS_LOG, self.heads() if heads is None else heads)
 
-    def rows(self, heads: Mapping[str, Head] | None = None, key: str | None = None) -> DataFrame:
-        """All documents, or those of some shards' versions (see ``heads``), with their present status; ``key``, a hash or an id without hyphens, spares what can't hold it."""
+    def stored_rows(self, heads: Mapping[str, Head] | None = None, key: str | None = None) -> DataFrame:
+        """``rows`` with their metadata as VARIANT, and its ``HOT_KEYS`` as columns."""
         heads = self.heads() if heads is None else heads
-        own = self._read(DOCUMENTS, CATALOG, heads, key)
+        own = self._read(DOCUMENTS, STORED, heads, key)
         changed = self.log(heads).groupBy("id").agg(F.max_by("status", "ts").alias("__status"), F.max("ts").alias("__ts"))
-        return own.join(changed, "id", "left").select(*(F.coalesce("__status", "status").alias(c) if c == "status" else F.coalesce("__ts", c).alias(c) if c == "updated_at" else c for c in CATALOG.names))
+        return own.join(changed, "id", "left").select(*(F.coalesce("__status", "status").alias(c) if c == "status" else F.coalesce("__ts", c).alias(c) if c == "updated_at" else c for c in STORED.names))
+
+    def rows(self, heads: Mapping[str, Head] | None = None, key: str | None = None) -> DataFrame:
+        """All documents, or those of some shards' versions (see ``heads``), with their present status; ``key``, a hash or an id without hyphens, spares what can't hold it."""
+        return _as_text(self.stored_rows(heads, key))
+
+    def with_metadata(self, name: str, value: str) -> DataFrame:
+        """Documents whose metadata has a text or number under a key; a hot key is a column's filter, another one looks into the VARIANT."""
+        found = F.col(name) if name in HOT_KEYS else F.try_variant_get("metadata", f"$.{name}", "string")
+        return _as_text(self.stored_rows().where(found == value))
 
     def _commit(self, rows: DataFrame, key: str, kind: str, base: Mapping[str, Head], generations: int = 0, digits: int = 0) -> list[str]:
         """Stage rows, one file a shard (or one for each of its ``digits`` next digits), and claim the next version of each shard; the shards that another was first with."""
@@ -191,7 +210,7 @@ class Catalog:
         for name, most in MOST_CHARACTERS.items():
             good = good & F.col(name).isNotNull() & (F.length(name) <= most)
         checked = rows.withColumn("type", F.when(good, F.col("type")).otherwise(F.raise_error(F.lit("a catalog row has a wrong type or status, or a missing or too long text"))))
-        lost = self._commit(checked.select(*CATALOG.names), "hash", DOCUMENTS, self.heads() if base is None else base)
+        lost = self._commit(_as_stored(checked), "hash", DOCUMENTS, self.heads() if base is None else base)
         self._keep_compact([s for s in base or self.claims.shards() if s not in lost])
         return lost
 
@@ -204,7 +223,7 @@ class Catalog:
     def compact(self, shards: Iterable[str] | None = None) -> list[str]:
         """Fold the commits and statuses of all shards, or of some, into new generations; return those that a writer was first with, left as they are."""
         base = {s: h for s, h in self.heads(shards).items() if h.version}
-        rows = self.rows(base)
+        rows = self.stored_rows(base)
         most, digits = rows.groupBy(shard_of(F.col("hash"))).count().agg(F.max("count")).first()[0] or 0, 0
         while most > FILE_ROWS * 16**digits:
             digits += 1
@@ -265,7 +284,7 @@ class Catalog:
         while lost is None or lost:
             base = self.heads(lost)
             own = rows if lost is None else rows.where(shard_of(F.col("id")).isin(lost))
-            lost = self._commit(own.join(self._read(DOCUMENTS, CATALOG, base).select("id"), "id", "left_semi").select(*STATUS_LOG.names), "id", STATUS, base)
+            lost = self._commit(own.join(self._read(DOCUMENTS, STORED, base).select("id"), "id", "left_semi").select(*STATUS_LOG.names), "id", STATUS, base)
         self._keep_compact(self.claims.shards())
 
     def statuses(self) -> DataFrame:

@@ -186,6 +186,14 @@ def metadata_merge(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", meta.field(own, "k", "int").alias("k"), meta.field(own, "kind").alias("kind"), meta.field(own, "user", "long").alias("user"))
 
 
+def metadata_variant(spark, sf_dir):
+    """The merge of ``metadata_merge`` on VARIANT values, and the types that they keep."""
+    left = meta.merged_variants(meta.variant(F.col("props")), F.to_variant_object(F.struct(F.upper("event_type").alias("kind"))))
+    own = meta.merged_variants(left, F.to_variant_object(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user"))))
+    rows = _table(spark, sf_dir, "events").select("event_id", own.alias("own"))
+    return rows.select("event_id", F.variant_get("own", "$.k", "int").alias("k"), F.variant_get("own", "$.kind", "string").alias("kind"), F.variant_get("own", "$.user", "long").alias("user"), F.schema_of_variant(F.variant_get("own", "$.user", "variant")).alias("user_type"))
+
+
 def metadata_or_empty(spark, sf_dir):
     """Metadata that is an object, missing, or an array."""
     given = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "[1]")
@@ -374,7 +382,7 @@ QUERIES = {
         content_hash, dedup_first_wins, dedup_vs_catalog, new_documents, orphan_files, valid_files, valid_layout, size_check, directory_results, directory_answer, metadata_or_empty, extracts, extract_stats, is_batch_layout, ingest_responses, batch_summary, directory_summary,
         storage_stats, service_stats, pdf_count_by_folder, folder_preview, list_documents, find_by_hash, find_by_id, latest_status, metadata_extract,
         metadata_merge, is_batch, is_batch_standard, page_difference, turn_similarity, page_counts, strip_html, page_headers, header_text, block_text, paginated_split,
-        ingest_run, catalog_round_trip, packed_round_trip, storage_scan, folder_scan, dedup_vs_repeated_catalog, list_after, paginated_ranges,
+        ingest_run, catalog_round_trip, packed_round_trip, storage_scan, folder_scan, dedup_vs_repeated_catalog, list_after, paginated_ranges, metadata_variant,
     )
 }
 
@@ -457,6 +465,7 @@ ORACLES = {
     "latest_status": "SELECT user_id AS id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "metadata_extract": "SELECT event_id, json_type(props) = 'OBJECT' AS is_object, json_extract_string(props, '$.k')::INT AS k FROM events",
     "metadata_merge": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, event_type AS kind, user_id AS user FROM events",
+    "metadata_variant": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, event_type AS kind, user_id AS user, 'BIGINT' AS user_type FROM events",
     "is_batch": f"WITH {FILES}, {LINES}, {_batch_sql('lines', 'path', KEYWORDS)}",
     "is_batch_standard": f"WITH {FILES}, {LINES}, {_batch_sql('lines', 'path', batch.BATCH_KEYWORDS)}",
     "page_difference": f"WITH turns AS (SELECT conv_id, turn AS page_no, text FROM conversations), {_batch_sql('turns', 'conv_id', ())}",

@@ -21,6 +21,9 @@ CATALOG = _schema(
     "id string, original_filename string, storage_path string, type string, upload_date timestamp, hash string, "
     "status string, metadata string, created_at timestamp, updated_at timestamp"
 )
+#: Keys of the metadata that are searched for: the catalog's files have them as columns beside the whole as VARIANT.
+HOT_KEYS = ("source_type", "source_path")
+STORED = T.StructType([*(T.StructField(f.name, T.VariantType() if f.name == "metadata" else f.dataType) for f in CATALOG.fields), *(T.StructField(k, T.StringType()) for k in HOT_KEYS)])
 #: Append-only; the latest row of an id is its status.
 STATUS_LOG = _schema("id string, status string, ts timestamp")
 #: What the ingestion operators read; ``content`` may be left out where ``hash`` is there.

@@ -209,7 +209,7 @@ def test_commits_are_claimed_once_and_finished_by_others(spark, tmp_path):
     assert catalog.rows().count() == 3 and catalog.check().count() == 0
     shard = catalog_row(4)[5][:2]
     claims, head = catalog.claims, catalog.heads([shard])[shard]
-    frame(4).withColumn("shard", F.lit(shard)).write.partitionBy("shard").parquet(f"{catalog.path}/staging/abc")
+    cat._as_stored(frame(4)).withColumn("shard", F.lit(shard)).write.partitionBy("shard").parquet(f"{catalog.path}/staging/abc")
     assert claims.take(shard, Head(head.version + 1, head.generation, "abc", "documents"))  # and its writer dies
     assert catalog.exists(catalog_row(4)[5]) and not os.path.exists(f"{catalog.path}/staging/abc/shard={shard}")
     assert not claims.take(shard, Head(head.version + 1, head.generation, "def", "documents"))
@@ -264,6 +264,20 @@ def test_compaction_keeps_readers_and_bounds_files(spark, tmp_path, monkeypatch)
     assert catalog.compact() == [] and held.count() == 11  # planned before, read after
 
 
+def test_metadata_in_the_catalog(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.create()
+    given = ['{"source_type": "upload", "n": 1, "deep": {"a": [1, 2.5, "x", null, true]}}', '{"source_type": "local_file", "n": "1"}', '{"n": 2}']
+    rows = [(*catalog_row(k)[:7], m, *catalog_row(k)[8:]) for k, m in enumerate(given)]
+    assert catalog.append(spark.createDataFrame(rows, CATALOG)) == []
+    for _ in range(2):
+        assert {r.original_filename: json.loads(r.metadata) for r in catalog.rows().collect()} == {f"{k}.pdf": json.loads(m) for k, m in enumerate(given)}
+        assert {r.original_filename for r in catalog.with_metadata("n", "1").collect()} == {"0.pdf", "1.pdf"}
+        hot = catalog.with_metadata("source_type", "upload")
+        assert [r.original_filename for r in hot.collect()] == ["0.pdf"] and "EqualTo(source_type,upload)" in hot._jdf.queryExecution().executedPlan().toString()
+        assert catalog.compact() == []
+
+
 def test_a_lookup_opens_as_few_files_in_a_large_catalog(spark, tmp_path, monkeypatch):
     """Files opened don't grow with the catalog, by hash or by id, and answers stay."""
     monkeypatch.setattr(cat, "FILE_ROWS", 3)
