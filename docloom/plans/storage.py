@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import storage_folder
-from docloom.sources.files import safe_name
+from docloom.schemas import MOST_CHARACTERS
+from docloom.sources.files import MOST_STORED, safe_name
 from docloom.sources.listing import list_folder
 from docloom.sources.systems import refuse_unshared, system_of
 from docloom.work import stored, work_dir
@@ -78,8 +79,10 @@ class FileStore:
     mounted: bool = False
 
     def bootstrap(self) -> None:
-        """Make the storage folders; refuse a folder that executors don't share."""
+        """Make the storage folders; refuse a folder that executors don't share, and one whose paths would be too long for the catalog."""
         refuse_unshared(self.spark, self.base, self.mounted)
+        if len(self.base) + len("/publications/") + 65 + MOST_STORED > MOST_CHARACTERS["storage_path"]:
+            raise ValueError(f"the storage's path is too long: {self.base}")
         for name in FOLDERS:
             system, inner, _ = system_of(f"{self.base}/{name}")
             system.create_dir(inner, recursive=True)

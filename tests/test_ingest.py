@@ -16,7 +16,6 @@ from docloom.__main__ import main
 from docloom.config import Settings
 from docloom.operators import batch, headers, stats, validity
 from docloom.plans import catalog as cat
-from docloom.plans import ingest as ingestion
 from docloom.plans import routes, storage
 from docloom.plans.catalog import Catalog
 from docloom.plans.claims import HadoopFolder, Head
@@ -144,6 +143,8 @@ def test_names_stay_in_the_store_and_contents_with_their_names(spark, place):
     assert sum(len(f) for _, _, f in os.walk(tmp / "storage")) == len(names) and not (tmp / "evil").exists()
     with pytest.raises(ValueError):
         refuse_unshared(type("S", (), {"sparkContext": type("C", (), {"master": "spark://x"})()})(), "/local/folder")
+    with pytest.raises(ValueError):
+        storage.FileStore(spark, f"{tmp}/{'d' * 400}").bootstrap()
     bad = spark.createDataFrame([(f"{own.storage_dir}/abstracts/../../x", bytearray(b"x"), hashlib.sha256(b"x").hexdigest()), (f"{own.storage_dir}/abstracts/y", bytearray(b"x"), "0")], "storage_path string, content binary, hash string")
     errors = {r.storage_path[-1]: r.error for r in storage.written(bad, own.storage_dir).collect()}
     assert "outside" in errors["x"] and "changed" in errors["y"]
