@@ -372,7 +372,7 @@ def paginated_ranges(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page_no"), "text")
     texts = markdown.render_pages(turns, "conv_id").select(F.concat(F.lit(f"{at}/md/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("storage_path"), F.col("markdown").cast("binary").alias("content"))
     stored(written(texts), f"{at}/written")
-    pages = markdown.read_pages(spark, f"{at}/md", split_bytes=1000)
+    pages = markdown.read_pages(spark, f"{at}/md", split_bytes=1000, task_bytes=100_000)
     return pages.select(fn.stem(F.col("path")).cast("long").alias("conv_id"), "page_no", "text")
 
 

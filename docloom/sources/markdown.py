@@ -27,10 +27,10 @@ PAGES = "path string, page_no int, text string, start long"
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    stop: int
+class Ranges(InputPartition):
+    """What one task reads: (path, start, stop) of each range."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 def pages_in(stream, start: int, stop: int) -> Iterator[tuple[int | None, bytes, int]]:
@@ -65,34 +65,42 @@ def pages_in(stream, start: int, stop: int) -> Iterator[tuple[int | None, bytes,
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, paths: list[str], size: int):
-        self.paths, self.size = paths, size
+    def __init__(self, paths: list[str], size: int, together: int):
+        self.paths, self.size, self.together = paths, size, together
 
-    def partitions(self) -> list[Range]:
-        """Ranges of the files named, and of the ``.md`` files in the folders named."""
+    def partitions(self) -> list[Ranges]:
+        """Ranges of the files named, and of the ``.md`` files in the folders named; small ones go together."""
         from pyarrow import fs
 
-        out = []
+        out, own, full = [], [], 0
         for path in self.paths:
             system, inner, prefix = system_of(path)
             info = system.get_file_info(inner)
             if info.type == fs.FileType.NotFound:
                 raise FileNotFoundError(path)
             files = [info] if info.type == fs.FileType.File else [i for i in system.get_file_info(fs.FileSelector(inner)) if i.path.endswith(".md")]
-            out += [Range(prefix + f.path, at, min(at + self.size, f.size)) for f in sorted(files, key=lambda i: i.path) for at in range(0, f.size, self.size)]
-        return out
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        system, inner, _ = system_of(partition.path)
+            for f in sorted(files, key=lambda i: i.path):
+                for at in range(0, f.size, self.size):
+                    stop = min(at + self.size, f.size)
+                    if own and full + stop - at > self.together:
+                        out.append(Ranges(own))
+                        own, full = [], 0
+                    own.append((prefix + f.path, at, stop))
+                    full += stop - at
+        return [*out, Ranges(own)] if own else out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        with system.open_input_file(inner) as stream:
-            stream.seek(partition.start)
-            for number, text, mark in pages_in(stream, partition.start, partition.stop):
-                rows.append((partition.path, number if number < 1 << 31 else None, text.decode("utf-8", "replace").strip("\n"), mark))
-                size += len(text)
-                if size >= BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, size = [], 0
+        for path, start, stop in partition.ranges:
+            system, inner, _ = system_of(path)
+            with system.open_input_file(inner) as stream:
+                stream.seek(start)
+                for number, text, mark in pages_in(stream, start, stop):
+                    rows.append((path, number if number < 1 << 31 else None, text.decode("utf-8", "replace").strip("\n"), mark))
+                    size += len(text)
+                    if size >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -110,16 +118,18 @@ class PaginatedMarkdown(DataSource):
         return PAGES
 
     def reader(self, schema) -> PageReader:
-        return PageReader([p for p in self.options["path"].split("\n") if p], int(self.options.get("splitBytes", SPLIT_BYTES)))
+        size = int(self.options.get("splitBytes", SPLIT_BYTES))
+        return PageReader([p for p in self.options["path"].split("\n") if p], size, max(size, int(self.options.get("taskBytes", size))))
 
 
-def read_pages(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_pages(spark: SparkSession, *paths: str, split_bytes: int = SPLIT_BYTES, task_bytes: int = 0) -> DataFrame:
     """(path, page_no, text, start) of the pages of markdown files, or of the ``.md`` files of folders; ``start`` is where a page's mark begins.
 
-    Pages are as ``split_pages`` gives them; numbers that are no int are null.
+    Pages are as ``split_pages`` gives them; numbers that are no int are null. A range is of ``split_bytes``
+    at most, and a task reads ranges of ``task_bytes`` together (one range at least).
     """
     spark.dataSource.register(PaginatedMarkdown)
-    return spark.read.format(SOURCE).option("path", "\n".join(paths)).option("splitBytes", str(split_bytes)).load()
+    return spark.read.format(SOURCE).option("path", "\n".join(paths)).option("splitBytes", str(split_bytes)).option("taskBytes", str(task_bytes)).load()
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

@@ -439,6 +439,8 @@ def test_split_markdown_gives_the_whole_text_s_pages(spark, tmp_path):
         rows = [(r.path.rpartition("/")[2], r.page_no, r.text, r.start) for r in df.collect()]
         assert len(rows) == len(want) and set(rows) == want and len(whole) > 3
     assert markdown.read_pages(spark, str(tmp_path / "1.md"), split_bytes=100).rdd.getNumPartitions() > 10
+    together = markdown.read_pages(spark, str(tmp_path), split_bytes=50, task_bytes=2000)
+    assert {(r.path.rpartition("/")[2], r.page_no, r.text, r.start) for r in together.collect()} == want and together.count() == len(want) and together.rdd.getNumPartitions() < 30
     small = markdown.READ_BYTES
     try:
         markdown.READ_BYTES = 5
