@@ -28,3 +28,10 @@ def test_query_matches_duckdb(spark, duck, name):
     at = [[d[0] for d in want.description].index(c) for c in columns]
     assert len(want.description) == len(columns)
     assert got == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall()) and got
+
+
+@pytest.mark.parametrize("name", ["folder_scan"])
+def test_query_on_a_cluster(spark, duck, monkeypatch, name):
+    """The work folder is shared by all executors, so a store in it is not refused."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://x")
+    test_query_matches_duckdb(spark, duck, name)
