@@ -30,7 +30,7 @@ def test_query_matches_duckdb(spark, duck, name):
     assert got == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall()) and got
 
 
-@pytest.mark.parametrize("name", ["folder_scan", "ingest_run", "packed_round_trip"])
+@pytest.mark.parametrize("name", ["folder_scan", "ingest_run", "packed_round_trip", "storage_scan"])
 def test_query_on_a_cluster(spark, duck, monkeypatch, name):
     """The work folder is shared by all executors, so a store in it is not refused."""
     monkeypatch.setattr(spark.sparkContext, "master", "spark://x")
