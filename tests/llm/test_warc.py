@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 
 import pytest
 
@@ -98,3 +99,15 @@ def test_dates_and_headers():
     assert warc.warc_date("1998") == "1998-01-01T00:00:00Z"
     assert warc.warc_date("19980203040506") == "1998-02-03T04:05:06Z"
     assert warc.synthetic_id("a", 1) == warc.synthetic_id("a", 1) != warc.synthetic_id("a", 2)
+
+
+def test_archives_are_packed_fast_and_read_once(spark, table, tmp_path):
+    pages = table([(i, f"http://h/{i}", " ".join(hashlib.md5(b"%d" % (i * k % 997)).hexdigest()[:5] for k in range(400))) for i in range(200)], "page_id long, url string, html string", "pages", 1)
+    records = warc.archive_pages(pages, str(tmp_path / "kept"))
+    for kind in ("arc", "warc"):
+        for file in (tmp_path / "kept" / kind).glob("*.gz"):
+            whole = gzip.decompress(packed := file.read_bytes())
+            own, default = (len(zlib.compress(whole, level, 31)) for level in (4, 6))
+            assert abs(len(packed) - own) < abs(len(packed) - default)
+    found = warc.resolved(records)
+    assert found.inputFiles() and not any("/kept/" in f for f in found.inputFiles()) and found.count() == 200
