@@ -1,7 +1,12 @@
+import os
+import uuid
+
 import duckdb
 import pytest
 
+from docloom import queries
 from docloom.queries import ORACLES, QUERIES
+from docloom.work import work_dir
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "conversations", "events")
@@ -35,3 +40,27 @@ def test_query_on_a_cluster(spark, duck, monkeypatch, name):
     """The work folder is shared by all executors, so a store in it is not refused."""
     monkeypatch.setattr(spark.sparkContext, "master", "spark://x")
     test_query_matches_duckdb(spark, duck, name)
+
+
+def test_work_folder_is_the_same_to_all_tasks(spark, monkeypatch, tmp_path):
+    """Executors have working folders of their own: with a relative path each wrote to and listed another folder, and storage_scan had no rows."""
+    relative = os.path.relpath(tmp_path, spark._jvm.System.getProperty("user.dir"))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: relative)
+    assert os.path.dirname(work_dir(spark)) in (f"file:{tmp_path}", f"file://{tmp_path}")
+
+
+def test_storage_scan_without_the_setting(spark, duck, monkeypatch):
+    """Spark refuses to change spark.checkpoint.dir in a running session, so a folder isn't kept there."""
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: default[0] if key == "spark.checkpoint.dir" else get(self, key, *default))
+    test_query_matches_duckdb(spark, duck, "storage_scan")
+
+
+def test_storage_scan_lacks_no_file_unseen(spark, duck, monkeypatch, tmp_path):
+    """A content that can't be written (a folder has its name) is an error, not a row less."""
+    at = f"{tmp_path}/{uuid.uuid4().hex}"
+    monkeypatch.setattr(queries, "work_dir", lambda spark: at)
+    name = duck.execute(f"SELECT min(name) FROM ({ORACLES['storage_scan']})").fetchone()[0]
+    os.makedirs(f"{at}/storage/abstracts/{name}/in the way")
+    with pytest.raises(OSError, match=name[:64]):
+        queries.storage_scan(spark, SF_DIR)
