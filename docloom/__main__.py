@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from docloom.config import Settings, app_info
 from docloom.operators.stats import batch_summary, service_stats
 from docloom.plans.extract import extract, write_extracts
+from docloom.plans.ingest import store_of
 from docloom.plans.routes import extract_inputs, take_in
 from docloom.schemas import RESPONSE, TYPES
 from docloom.sources.files import SourceError, scan_directory, scan_file, scan_storage
@@ -55,7 +56,12 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     spark = settings.session()
     if args.command == "stats":
-        print(service_stats(scan_storage(spark, settings.storage_dir), settings.max_file_size, settings.retry_attempts).toJSON().first())
+        try:
+            store_of(spark, settings).bootstrap()
+            print(service_stats(scan_storage(spark, settings.storage_dir), settings.max_file_size, settings.retry_attempts).toJSON().first())
+        except OSError as e:
+            log.error("%s", e)
+            return 1
         return 0
     try:
         if args.command == "extract":

@@ -57,7 +57,7 @@ def checked(files: DataFrame, validity: DataFrame, max_file_size: int, prefix: s
     noted = [F.col(c) for c in validity.columns if c == "is_batch"] or [F.lit(None).cast("boolean").alias("is_batch")]
     known = files.join(validity.select("path", "valid", *noted), "path", "left")
     known = known if "error" in files.columns else known.withColumn("error", F.lit(None).cast("string"))
-    large = too_large(F.col("length"), max_file_size)
+    large = F.coalesce(too_large(F.col("length"), max_file_size), F.lit(False))  # what can't be listed has no length
     why = (
         F.when(large, size_message(F.col("length"), max_file_size))
         .when(F.col("error").isNotNull(), F.col("error"))

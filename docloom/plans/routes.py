@@ -82,6 +82,6 @@ def ingest_directory(spark: SparkSession, path: str, type_: str, settings: Setti
 
 
 def extract_inputs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, name, content) of the PDF files of a folder, or of one file."""
+    """(path, name, content, error) of the PDF files of a folder, or of one file."""
     own = scan_file(spark, path, "publication") if path.lower().endswith(".pdf") else scan_directory(spark, path, "publication", recursive)
-    return own.select("path", basename(F.col("path")).alias("name"), "content")
+    return own.select("path", basename(F.col("path")).alias("name"), "content", "error")

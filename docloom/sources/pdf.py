@@ -16,6 +16,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.config import Settings
 
@@ -60,20 +61,22 @@ register("light", lambda options: light)
 
 
 def read_blocks(files: DataFrame, reader: str | Reader = "light") -> DataFrame:
-    """Blocks of (path, content), pages and blocks from 0. A page without blocks is one row of null block_no.
+    """Blocks of (path, content) and maybe error, pages and blocks from 0. A page without blocks is one row of null block_no.
 
     The first row of a file bears the reader's metadata (JSON), when it was
     started (Unix time) and how many seconds it took. A file that the reader fails
-    on is one row with its ``error``; it never fails the job. Store the result
+    on is one row with its ``error``, and so is one that comes with an error; it never fails the job. Store the result
     before using it twice: each use reads anew.
     """
     read = READERS[reader]({}) if isinstance(reader, str) else reader
     names, types = zip(*(f.split() for f in SCHEMA.split(", ")), strict=True)
     kinds = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t] for t in types]
 
-    def rows_of(path: str, content: bytes | None) -> list[tuple]:
+    def rows_of(path: str, content: bytes | None, error: str | None) -> list[tuple]:
         started, began = time.time(), time.perf_counter()
         told, out = None, []
+        if error is not None:
+            return [(path, None, None, None, None, None, error, None, started, 0.0)]
         try:
             found = read(content or b"")
             document = found if isinstance(found, Document) else Document(found)
@@ -88,7 +91,8 @@ def read_blocks(files: DataFrame, reader: str | Reader = "light") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows_of(path, content.as_py()), strict=True), kinds, strict=True)], names=list(names))
+            for path, content, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows_of(path, content.as_py(), error), strict=True), kinds, strict=True)], names=list(names))
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    error = F.col("error") if "error" in files.columns else F.lit(None)
+    return files.select("path", "content", error.cast("string").alias("error")).mapInArrow(run, SCHEMA)

@@ -23,6 +23,7 @@ from docloom.plans.extract import extract, extracted, write_extracts
 from docloom.plans.ingest import ingest
 from docloom.schemas import CATALOG
 from docloom.sources import files, markdown, pdf
+from docloom.sources.listing import NO_FILE, list_folder
 from docloom.sources.systems import refuse_unshared
 from docloom.streaming.landing import ingest_landing
 
@@ -125,6 +126,39 @@ def test_errors_of_single_files(spark, place, monkeypatch):
     assert Catalog(spark, own.catalog_dir).rows().count() == 2
 
 
+def test_what_can_t_be_listed_is_answered(spark, place, capsys, monkeypatch):
+    """A folder that can't be listed, a link that leads nowhere and a pipe are errors of their own, beside the other files."""
+    landing, own, tmp = place
+    (landing / "deep/loop").symlink_to("loop")  # looking at it fails, so it may be a folder
+    (landing / "gone.pdf").symlink_to("nowhere")
+    os.mkfifo(landing / "pipe.pdf")
+    answer, results = routes.ingest_directory(spark, str(landing), "abstract", own, recursive=True, reader=reader)
+    got = {r.file.rpartition("/")[2]: r for r in results.collect()}
+    bad = {"loop": "OSError: ", "gone.pdf": "FileNotFoundError: ", "pipe.pdf": NO_FILE}
+    assert sorted(got) == sorted(["a.pdf", "b.PDF", "c.pdf", "d.pdf", "e.pdf", "g.pdf", *bad])
+    assert all((r.success, r.response) == (False, None) and r.error.startswith(bad[n]) if n in bad else r.success for n, r in got.items())
+    row = answer.first()
+    assert (row.total_files, row.successful, row.failed) == (9, 6, 3)
+    found, counts = extract(routes.extract_inputs(spark, str(landing)), dataclasses.replace(own, reader="lenient"), str(tmp / "x"), lambda content: [[]])
+    assert {r.path.rpartition("/")[2] for r in found.where("error IS NOT NULL").collect()} == {"gone.pdf", "pipe.pdf"} and (counts["successful"], counts["failed"]) == (5, 2)
+    places = [("data", "in", str(landing)), ("data", "deep", str(landing / "deep"))]
+    assert {r.name: (r.exists, r.pdf_count, r.error) for r in files.pdf_listing(spark, places).collect()} == {"in": (True, 7, None), "deep": (True, 1, None)}
+    monkeypatch.setattr(files, "_status", lambda spark, path: spark._jvm.org.apache.hadoop.fs.FileStatus(0, True, 1, 1, 0, spark._jvm.org.apache.hadoop.fs.Path(path)))  # removed since
+    gone = {r.name: (r.exists, r.pdf_count, r.error) for r in files.pdf_listing(spark, [*places, ("data", "gone", str(landing / "gone"))]).collect()}["gone"]
+    assert gone[:2] == (False, None) and gone[2].startswith("FileNotFoundError: ")
+    with pytest.raises(OSError, match="loop: "):
+        files.scan_storage(spark, str(landing))
+    assert list_folder(spark, str(landing / "deep")).count() == 1  # nothing below was asked for
+    with pytest.raises(OSError, match="none: "):
+        landed(spark, landing / "none", own, tmp, [])
+    (landing / "deep/loop").unlink()
+    assert files.scan_storage(spark, str(landing)).count() == 7  # what isn't a file is not counted
+    monkeypatch.setenv("STORAGE_DIR", str(tmp / "new"))
+    assert main(["stats"]) == 0 and json.loads(capsys.readouterr().out)["storage"]["total_files"] == 0
+    (tmp / "new/abstracts/loop").symlink_to("loop")
+    assert main(["stats"]) == 1 and capsys.readouterr().out == ""
+
+
 def test_names_stay_in_the_store_and_contents_with_their_names(spark, place):
     landing, own, tmp = place
     names = ["a.pdf", "a.pdf", "../../../../evil/own.pdf", "/etc/passwd.pdf", "s3://x/y.pdf", "b\\c\n\x01.pdf", "..pdf", "n" * 250 + ".pdf"]

@@ -64,3 +64,17 @@ def test_storage_scan_lacks_no_file_unseen(spark, duck, monkeypatch, tmp_path):
     os.makedirs(f"{at}/storage/abstracts/{name}/in the way")
     with pytest.raises(OSError, match=name[:64]):
         queries.storage_scan(spark, SF_DIR)
+
+
+@pytest.mark.parametrize("bad", ["missing", "loop"])
+def test_storage_scan_s_listing_fails_as_such(spark, monkeypatch, tmp_path, bad):
+    """A store that can't be listed, or something in it, was passed over: a failure looked like a result."""
+    at = f"{tmp_path}/{uuid.uuid4().hex}"
+    if bad == "loop":
+        os.makedirs(f"{at}/storage/abstracts/deep")
+        os.symlink("loop", f"{at}/storage/abstracts/deep/loop")
+        monkeypatch.setattr(queries, "work_dir", lambda spark: at)
+    else:
+        monkeypatch.setattr(queries, "_filed", lambda spark, sf_dir: f"{at}/missing")
+    with pytest.raises(OSError, match=f"1 folders or files can't be listed, the first is .*/{bad}: "):
+        queries.storage_scan(spark, SF_DIR)
